@@ -2,23 +2,53 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ebbmark.llm import near_dedup
+from ebbmark.llm import decontam, line_dedup, near_dedup, packing, quality
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 4096 tokens, one row per piece."""
+    pieces = packing.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source", "sequence_length")
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text without the lines of repeated three-line windows."""
+    return line_dedup.without_repeats(_read(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines_removed")
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of the quality rules for every document."""
+    out = quality.judged(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+    counts = [F.col(f"__q.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    return out.select("doc_id", *counts, F.col("__failed").alias("base_failed"), F.col("__kept").alias("kept"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold a benchmark passage."""
+    return decontam.leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).drop("th")
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class of near copies of every document, on four-word shingles."""
     return near_dedup.near_duplicates(_read(spark, sf_dir, "documents"), shingle=4).drop("text_key")
 
 
 QUERIES = {
+    "op1_packing": op1_packing,
+    "op7_line_dedup": op7_line_dedup,
+    "op8_quality_rules": op8_quality_rules,
+    "op9_decontamination": op9_decontamination,
     "op10_near_dedup": op10_near_dedup,
 }
 SQL = {
+    "op7_line_dedup": line_dedup.SQL,
     "op10_near_dedup": near_dedup.SQL,
 }
