@@ -4,11 +4,13 @@ Every distinct shingle set (class) is posted under each of its coordinate-value
 classes is a candidate if it collides on at least ``matches`` of ``coords`` coordinates, found as in
 a T-occurrence merge: a class is posted only under its rarest ``len - matches + 1`` keys (prefix), and
 the common keys that are skipped there are counted from the two key lists when a candidate meets.
-Candidates are confirmed on the full shingle sets of the whole texts.
+A candidate must also pass a bitmap test: shingles are hashed to 1024 parity bits, and two sets differ
+in at least as many shingles as their bitmaps differ in bits, so no link fails it. What passes is
+confirmed on the full shingle sets of the whole texts.
 
 Groups of copies do not become all pairs. Equal sets are one class. Each class is first tried against
-the class it collides with most among the first and last class of its posting lists; what that links
-is one component, and later only pairs of classes from different components meet.
+up to three leaders: of every posting list the class whose keys are the most common (the text most like
+the others). What that links is one component, and later only classes of different components meet.
 
 At similarity 0.8 a pair reaches fewer than 13 of 32 matches with probability below 1e-6; that is the
 only way to lose a link.
@@ -23,7 +25,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ebbmark.core.tables import small, table
@@ -31,7 +33,9 @@ from ebbmark.llm.batches import bounded
 from ebbmark.llm.components import components
 from ebbmark.llm.words import WordHashes, shingles
 
-BLOCK = 64
+BLOCK, LEADERS = 64, 3
+#: 64-bit words of a parity bitmap.
+WORDS = 16
 
 
 def _signer(k: int, coords: int):
@@ -41,7 +45,7 @@ def _signer(k: int, coords: int):
     place = np.arange(coords, dtype=np.int64) << 32
     cache = WordHashes()
 
-    @F.pandas_udf("n_shingles long, cls binary, keys array<long>")
+    @F.pandas_udf("n_shingles long, cls binary, keys array<long>, bits array<long>")
     def sign(texts: pd.Series) -> pd.DataFrame:
         sets = [shingles(cache.of(t.encode().lower().split()), k) if t else shingles(np.empty(0, np.uint64), k) for t in texts]
         sizes = np.array([len(s) for s in sets], dtype=np.int64)
@@ -59,6 +63,7 @@ def _signer(k: int, coords: int):
                 "n_shingles": sizes,
                 "cls": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
                 "keys": [next(row) if n else None for n in sizes],
+                "bits": [np.packbits(np.bincount((x >> np.uint64(20)).astype(np.int64) % (64 * WORDS), minlength=64 * WORDS) & 1).view(np.int64) if len(x) else None for x in sets],
             }
         )
 
@@ -102,46 +107,25 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coords
     classes = table(
         signed.filter("cls is not null")
         .groupBy("cls")
-        .agg(F.min("doc_id").alias("first_id"), F.min(F.struct("text_key", "keys")).alias("one"))
-        .select(F.monotonically_increasing_id().alias("v"), "cls", "first_id", "one.text_key", "one.keys"),
+        .agg(F.min("doc_id").alias("first_id"), F.min(F.struct("text_key", "n_shingles", "keys", "bits")).alias("one"))
+        .select(F.monotonically_increasing_id().alias("v"), "cls", "first_id", "one.*"),
         "classes",
     )
+    signed = signed.drop("keys", "bits")
     posts = classes.select("v", F.explode("keys").alias("key"))
-    shared = posts.groupBy("key").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).filter("n > 1")
-    met = posts.join(shared, "key")
-    lists = table(
-        met.groupBy("v")
-        .agg(F.collect_list(F.struct("n", "key", "lo", "hi")).alias("posted"))
-        .filter(F.size("posted") >= matches)
-        .withColumn("posted", F.array_sort("posted")),
-        "lists",
-    )
-
-    texts_of = lambda ids: _texts_of(texts, classes, ids)
+    met = posts.join(posts.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key")
+    lists = met.groupBy("v").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("posted"), F.sum("n").alias("common"))
+    lists = table(lists.filter(F.size("posted") >= matches).join(classes.select("v", F.col("n_shingles").alias("size"), "bits"), "v"), "lists")
     confirm = _confirmer(shingle, percent)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         pairs = table(pairs, "pairs")
-        at = table(texts_of(pairs.select(F.explode(F.array("x", "y")).alias("v")).distinct()), "texts")
+        at = table(_texts_of(texts, classes, pairs.select(F.explode(F.array("x", "y")).alias("v")).distinct()), "texts")
         left, right = at.select(F.col("v").alias("x"), F.col("text").alias("tx")), at.select(F.col("v").alias("y"), F.col("text").alias("ty"))
         return table(pairs.join(left, "x").join(right, "y").filter(confirm("tx", "ty")).select("x", "y"), "links")
 
-    # one try for each class: the end of its posting lists that it collides with most
-    tries = (
-        lists.select("v", F.explode("posted").alias("p"))
-        .select("v", F.explode(F.array("p.lo", "p.hi")).alias("u"))
-        .filter("u <> v")
-        .groupBy("v", "u")
-        .agg(F.count("*").alias("hits"))
-        .filter(F.col("hits") >= matches // 2)
-        .groupBy("v")
-        .agg(F.max(F.struct("hits", "u")).alias("best"))
-        .select(F.least("v", "best.u").alias("x"), F.greatest("v", "best.u").alias("y"))
-        .distinct()
-    )
-    links = confirmed(tries)
-    comp = components(links)
-    links = links.unionByName(confirmed(_across(lists, comp, matches)))
+    first = confirmed(_tries(lists, percent))
+    links = first.unionByName(confirmed(_across(lists, components(first), matches, percent)))
     comp = components(links)
 
     named = classes.select("v", "cls", "first_id").join(comp, "v", "left")
@@ -160,20 +144,37 @@ def _texts_of(texts: DataFrame, classes: DataFrame, ids: DataFrame) -> DataFrame
     return texts.select("text_key", "text").join(small(need), "text_key").dropDuplicates(["v"]).select("v", "text")
 
 
-def _across(lists: DataFrame, comp: DataFrame, matches: int) -> DataFrame:
-    """Distinct pairs (x, y) of classes in different components that reach ``matches`` collisions.
+def _may_link(left: str, right: str, percent: int) -> Column:
+    """The bitmap test: |A xor B| <= (|A| + |B|) (100 - percent) / (100 + percent)."""
+    differ = sum((F.bit_count(F.get(f"{left}bits", F.lit(i)).bitwiseXOR(F.get(f"{right}bits", F.lit(i)))) for i in range(WORDS)), F.lit(0))
+    return differ * (100 + percent) <= (F.col(f"{left}size") + F.col(f"{right}size")) * (100 - percent)
+
+
+def _tries(lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, y) of each class with the leaders that it collides with most."""
+    posts = lists.select("v", "common", F.explode("posted.key").alias("key"))
+    heads = posts.groupBy("key").agg(F.max(F.struct("common", "v")).alias("head")).select("key", F.col("head.v").alias("u"))
+    hits = posts.join(heads, "key").filter("u <> v").groupBy("v", "u").agg(F.count("*").alias("hits"))
+    best = hits.groupBy("v").agg(F.slice(F.sort_array(F.collect_list(F.struct("hits", "u")), asc=False), 1, LEADERS).alias("best"))
+    pairs = best.select("v", F.explode("best.u").alias("u")).select(F.least("v", "u").alias("x"), F.greatest("v", "u").alias("y")).distinct()
+    side = lambda k: lists.select(F.col("v").alias(k), F.col("bits").alias(f"{k}_bits"), F.col("size").alias(f"{k}_size"))
+    return pairs.join(side("x"), "x").join(side("y"), "y").filter(_may_link("x_", "y_", percent)).select("x", "y")
+
+
+def _across(lists: DataFrame, comp: DataFrame, matches: int, percent: int) -> DataFrame:
+    """Distinct candidate pairs (x, y) of classes with different comp.
 
     Within a posting list the largest component meets all others but not itself, so a list that one
     group of copies fills costs its other members times its length; both sides are dealt in blocks.
     """
-    known = lists.join(comp, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
-    rows = known.select(
+    rows = lists.join(comp, "v", "left").select(
         "v",
-        "comp",
-        F.transform("posted", lambda p: p["key"]).alias("keys"),
-        F.explode(F.slice("posted", 1, F.size("posted") - F.lit(matches - 1))).alias("p"),
-    ).select("v", "comp", "keys", F.col("p.key").alias("key"))
-    rows = table(rows, "prefix")
+        F.coalesce("comp", "v").alias("comp"),
+        F.col("posted.key").alias("keys"),
+        "bits",
+        "size",
+        F.explode(F.slice("posted.key", 1, F.size("posted") - F.lit(matches - 1))).alias("key"),
+    )
     sizes = (
         rows.groupBy("key", "comp")
         .agg(F.count("*").alias("n"))
@@ -182,12 +183,12 @@ def _across(lists: DataFrame, comp: DataFrame, matches: int) -> DataFrame:
         .filter("groups > 1")
         .select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"), F.col("top.comp").alias("main"))
     )
-    mixed = rows.join(sizes, "key")
-    right = mixed.select("key", F.pmod(F.xxhash64("v"), "blocks").cast("int").alias("block"), *(F.col(c).alias(f"r_{c}") for c in ("v", "comp", "keys", "main")))
-    left = mixed.filter("comp <> main").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "v", "comp", "keys")
-    meets = (F.col("comp") != F.col("r_comp")) & ((F.col("r_comp") == F.col("r_main")) | (F.col("v") < F.col("r_v")))
-    alike = F.size(F.array_intersect("keys", "r_keys")) >= matches
-    return left.join(right, ["key", "block"]).filter(meets & alike).select(F.least("v", "r_v").alias("x"), F.greatest("v", "r_v").alias("y")).distinct()
+    mixed = table(rows.join(sizes, "key"), "mixed")
+    right = mixed.select("key", F.pmod(F.xxhash64("v"), "blocks").cast("int").alias("block"), *(F.col(c).alias(f"r_{c}") for c in ("v", "comp", "keys", "bits", "size", "main")))
+    left = mixed.filter("comp <> main").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *(F.col(c).alias(f"l_{c}") for c in ("v", "comp", "keys", "bits", "size")))
+    meets = (F.col("l_comp") != F.col("r_comp")) & ((F.col("r_comp") == F.col("r_main")) | (F.col("l_v") < F.col("r_v")))
+    alike = _may_link("l_", "r_", percent) & (F.size(F.array_intersect("l_keys", "r_keys")) >= matches)
+    return left.join(right, ["key", "block"]).filter(meets & alike).select(F.least("l_v", "r_v").alias("x"), F.greatest("l_v", "r_v").alias("y")).distinct()
 
 
 def deduplicated(docs: DataFrame, **how) -> DataFrame:
