@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbmark.llm import decontam, line_dedup, near_dedup, packing, quality
+from ebbmark.core.tables import table
+from ebbmark.llm import chat, decontam, line_dedup, near_dedup, packing, pii, quality, secrets, span_dedup, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +20,34 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source", "sequence_length")
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document, as counts, a digest of the base spans, and all spans."""
+    return secrets.digest(_read(spark, sf_dir, "documents"))
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page; a page's outcome is the label with its number: bad if of quality 0."""
+    outcomes = _read(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (1 - F.col("quality")).alias("bad"))
+    return url_filter.judged(_read(spark, sf_dir, "pages"), outcomes)
+
+
+def op4_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text without repeated sentence spans."""
+    return span_dedup.without_repeats(_read(spark, sf_dir, "documents")).select("doc_id", "text", "n_removed", "removed")
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document, as counts, a digest of the base spans, and all spans."""
+    return pii.digest(_read(spark, sf_dir, "documents"))
+
+
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, written as a raw transcript, parsed back into canonical turns."""
+    raw = table(chat.transcripts(_read(spark, sf_dir, "conversations")), "transcripts")
+    model = chat.parameters(chat.counts(raw))
+    return chat.formatted(raw, model).select("conv_id", "part", F.size("roles_found").cast("long").alias("n_turns"), F.array_join("roles_found", ",").alias("roles"), "rendered")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text without the lines of repeated three-line windows."""
     return line_dedup.without_repeats(_read(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines_removed")
@@ -43,12 +72,18 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_secrets": op2_secrets,
+    "op3_url_filter": op3_url_filter,
+    "op4_span_dedup": op4_span_dedup,
+    "op5_pii": op5_pii,
+    "op6_chat_format": op6_chat_format,
     "op7_line_dedup": op7_line_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op9_decontamination": op9_decontamination,
     "op10_near_dedup": op10_near_dedup,
 }
 SQL = {
+    "op3_url_filter": url_filter.SQL,
     "op7_line_dedup": line_dedup.SQL,
     "op10_near_dedup": near_dedup.SQL,
 }
