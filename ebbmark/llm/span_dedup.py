@@ -27,6 +27,8 @@ from ebbmark.core.tables import small, table
 from ebbmark.llm.batches import bounded
 
 RUN, LONG_PAIR, LEAST = 3, 24, 10
+#: Stands for a null doc_id: it comes first.
+NO_ID = -(2**63)
 _END = re.compile(r"(?<=[.!?])\s+|\s*\n\s*")
 
 
@@ -84,29 +86,30 @@ def _cutter():
 
 
 def repeated_sentences(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, gone): the indexes of the sentences to remove, for each document that has any."""
+    """(id, th, gone): the indexes of the sentences to remove, for each document that has any.
+
+    id is the doc_id, or the least long for null; th is the hash of the text.
+    """
     bounded(docs.sparkSession)
-    cut = docs.select("doc_id", F.xxhash64("text").alias("th"), _hasher()("text").alias("s"))
-    rows = cut.select("doc_id", "th", F.explode(F.arrays_zip("s.at", "s.run", "s.h1", "s.h2")).alias("x")).select("doc_id", "th", "x.at", "x.run", "x.h1", "x.h2")
+    cut = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("th"), _hasher()("text").alias("s"))
+    rows = cut.select("id", "th", F.explode(F.arrays_zip("s.at", "s.run", "s.h1", "s.h2")).alias("x")).select("id", "th", "x.at", "x.run", "x.h1", "x.h2")
     rows = table(rows, "spans")
-    # least doc_id first, then the least place in it: plain minima that combine before the shuffle
-    ids = rows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"), F.count_if(F.col("doc_id").isNull()).alias("nulls"))
-    ids = ids.filter("n > 1").withColumn("first_id", F.when(F.col("nulls") == 0, F.col("first_id"))).drop("n", "nulls")
+    # least id first, then the least place in it: plain minima that combine before the shuffle
+    ids = rows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("id").alias("first_id")).filter("n > 1").drop("n")
     met = table(rows.join(ids, ["h1", "h2"]), "repeats")
-    here = met.filter(F.col("doc_id").eqNullSafe(F.col("first_id")))
-    first = here.groupBy("h1", "h2").agg(F.min(F.struct("th", "at")).alias("first"))
     place = F.struct("th", "at")
-    later = met.join(first, ["h1", "h2"]).filter(~(F.col("doc_id").eqNullSafe(F.col("first_id")) & (place == F.col("first"))))
-    hit = later.select("doc_id", "th", F.explode(F.sequence("at", F.col("at") + F.col("run") - 1)).alias("i")).distinct()
-    return hit.groupBy("doc_id", "th").agg(F.collect_list("i").alias("gone"))
+    first = met.filter("id = first_id").groupBy("h1", "h2").agg(F.min(place).alias("first"))
+    later = met.join(first, ["h1", "h2"]).filter((F.col("id") != F.col("first_id")) | (place != F.col("first")))
+    hit = later.select("id", "th", F.explode(F.sequence("at", F.col("at") + F.col("run") - 1)).alias("i")).distinct()
+    return hit.groupBy("id", "th").agg(F.collect_list("i").alias("gone"))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs with repeated spans removed from ``text``; n_removed (sentences, long) and removed (code point ranges)."""
-    gone = table(repeated_sentences(docs).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("gone").alias("__gone")), "gone")
+    gone = table(repeated_sentences(docs).select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("gone").alias("__gone")), "gone")
     names = [c for c in docs.columns if c not in ("n_removed", "removed")]
     keyed = docs.select(*names, F.xxhash64("text").alias("__h"))
-    joined = keyed.join(small(gone, 20_000), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__th")), "left")
+    joined = keyed.join(small(gone, 20_000), (F.coalesce("doc_id", F.lit(NO_ID)) == F.col("__id")) & (F.col("__h") == F.col("__th")), "left")
     done = joined.withColumn("__x", _cutter()("text", "__gone"))
     out = [F.col("__x.text").alias("text") if c == "text" else F.col(c) for c in names]
     return done.select(*out, F.greatest(F.coalesce(F.size("__gone"), F.lit(0)), F.lit(0)).cast("long").alias("n_removed"), F.col("__x.removed").alias("removed"))

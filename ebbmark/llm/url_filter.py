@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ebbmark.core.tables import small
+from ebbmark.core.tables import small, table
 
 #: (verdict, host, path)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -78,7 +78,7 @@ def reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
     seen = pages.select("page_id", host.alias("host")).join(outcomes.filter("bad is not null").select("page_id", "bad"), "page_id", "left")
     hosts = seen.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("bad"))
     domain, suffix = domain_and_suffix(F.col("host"))
-    hosts = hosts.withColumns({"domain": domain, "suffix": suffix})
+    hosts = table(hosts.withColumns({"domain": domain, "suffix": suffix}), "hosts")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     # add-one keeps the corpus rate off 0 and 1
@@ -98,7 +98,7 @@ def reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
 def judged(pages: DataFrame, outcomes: DataFrame, rules=RULES) -> DataFrame:
     """(page_id, host, path, rule, verdict) of every row of pages(page_id, url)."""
     # the hosts' joins and the pages' share the host as key; copies of one host split as a skewed join
-    known = reputation(pages, outcomes).select("host", (F.col("bound") > LIMIT).alias("bad_host"))
+    known = table(reputation(pages, outcomes).select("host", (F.col("bound") > LIMIT).alias("bad_host")), "reputation")
     out = ruled(pages.select("page_id", "url"), rules).join(small(known), "host", "left")
     method = F.when((F.col("host") != "") & F.col("bad_host"), "block").otherwise("allow")
     return out.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", method).alias("verdict"))
