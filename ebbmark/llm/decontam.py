@@ -2,7 +2,8 @@
 
 Words are lower-cased runs of letters and digits. Every window of 12 words of a benchmark item is
 hashed under three fixed masks; each mask ignores every third position, so that any substitutions in
-one residue class leave a mask unharmed. Training texts are hashed at every position and joined. A hit
+one residue class leave a mask unharmed. Training texts are hashed and joined at every position where a
+mask's first two neighbouring words are such a pair of the benchmark (elsewhere it cannot match). A hit
 is verified by comparing all words of both windows: at least 10 of 12 must be equal. Items of 5 to 11
 words are compared whole, under one mask of their length, with one substitution in six allowed; items
 of fewer words are too common to look for. A document is contaminated if a window is verified.
@@ -26,7 +27,7 @@ MASKS = tuple(tuple(i for i in range(SPAN) if i % 3 != r) for r in range(3))
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
 def _hash(mark: int, parts: list[Column]) -> Column:
@@ -34,14 +35,14 @@ def _hash(mark: int, parts: list[Column]) -> Column:
 
 
 def seeds(items: DataFrame) -> DataFrame:
-    """(h, win, item_id, n_items): the masked hashes of every distinct window of the benchmark."""
+    """(h, win, item_id): the masked hashes of every distinct window of the benchmark."""
     cut = items.select("item_id", words(F.col("text")).alias("ws")).filter(F.size("ws") >= LEAST)
     long = cut.filter(F.size("ws") >= SPAN).select("item_id", "ws", F.explode(F.sequence(F.lit(1), F.size("ws") - SPAN + 1)).alias("i"))
     wins = long.select("item_id", F.slice("ws", F.col("i"), SPAN).alias("win")).unionByName(cut.filter(F.size("ws") < SPAN).select("item_id", F.col("ws").alias("win")))
-    wins = wins.groupBy("win").agg(F.min("item_id").alias("item_id"), F.count_distinct("item_id").alias("n_items"))
+    wins = wins.groupBy("win").agg(F.min("item_id").alias("item_id"))
     masked = F.array(*(_hash(m, [F.get("win", F.lit(i)) for i in mask]) for m, mask in enumerate(MASKS)))
     whole = F.array(*(F.when(F.size("win") == n, _hash(n, [F.get("win", F.lit(i)) for i in range(n)])) for n in range(LEAST, SPAN)))
-    return wins.select(F.explode(F.when(F.size("win") == SPAN, masked).otherwise(F.array_compact(whole))).alias("h"), "win", "item_id", "n_items")
+    return wins.select(F.explode(F.when(F.size("win") == SPAN, masked).otherwise(F.array_compact(whole))).alias("h"), "win", "item_id")
 
 
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -52,15 +53,28 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """
     found = table(seeds(items), "seeds")
     short = [r[0] for r in found.select(F.size("win").alias("n")).filter(F.col("n") < SPAN).distinct().collect()]
-    cut = docs.select("doc_id", F.xxhash64("text").alias("th"), words(F.col("text")).alias("ws"))
-    looks = [(m, mask) for m, mask in enumerate(MASKS)] + [(n, tuple(range(n))) for n in sorted(short)]
-    at = cut.filter(F.size("ws") >= min([SPAN, *short])).select("doc_id", "th", "ws", F.explode(F.sequence(F.lit(0), F.size("ws") - min([SPAN, *short]))).alias("at"))
-    hashed = at.select("doc_id", "th", "ws", "at", F.explode(F.array(*(_hash(m, [F.get("ws", F.col("at") + i) for i in mask]) for m, mask in looks))).alias("h"))
-    hits = hashed.join(small(found), "h").select("doc_id", "th", "at", "item_id", "win", F.slice("ws", F.col("at") + 1, F.size("win")).alias("mine"))
-    equal = F.size(F.filter(F.zip_with("win", "mine", lambda a, b: a.eqNullSafe(b)), lambda x: x))
-    sure = hits.filter(equal * 6 >= F.size("win") * 5)
-    cover = F.size(F.array_distinct(F.flatten(F.collect_set(F.sequence("at", F.col("at") + F.size("win") - 1)))))
-    return sure.groupBy("doc_id", "th").agg(F.min("item_id").alias("item_id"), F.count_distinct("at").alias("n_windows"), cover.cast("long").alias("n_words"))
+    least = min([SPAN, *short])
+    # every mask looks at a pair of neighbours first: at 1, 2 and 0 for the three, at 0 for whole items
+    looks = [(m, mask, (1, 2, 0)[m]) for m, mask in enumerate(MASKS)] + [(n, tuple(range(n)), 0) for n in sorted(short)]
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    # words stay in generated code: no lambda, and no copy of the word array with every position
+    cut = keyed.select("doc_id", "th", words(F.col("text")).alias("ws"))
+    at = cut.select("doc_id", "th", "ws", F.explode_outer(F.when(F.size("ws") >= least, F.sequence(F.lit(0), F.size("ws") - 2))).alias("j")).filter("j is not null")
+    word = lambda array, i: F.get(array, F.greatest(i, F.lit(-1)) if isinstance(i, Column) else F.lit(i))
+    pair = lambda array, i: F.xxhash64(word(array, i), word(array, i + 1))
+    pairs = found.select(F.explode(F.array(*(pair("win", i) for i in range(3)))).alias("pair")).distinct()
+    near = at.select("doc_id", "th", "ws", "j", pair("ws", F.col("j")).alias("pair")).join(small(pairs), "pair", "left_semi")
+    tries = F.array(*(F.struct((F.col("j") - off).alias("at"), _hash(m, [word("ws", F.col("j") + (i - off)) for i in mask]).alias("h")) for m, mask, off in looks))
+    hashed = near.select("doc_id", "th", F.explode(tries).alias("t")).select("doc_id", "th", "t.at", "t.h").filter("at >= 0")
+    hits = hashed.join(small(found), "h").groupBy("doc_id", "th").agg(F.collect_set(F.struct("at", "win", "item_id")).alias("hits"))
+    hits = table(hits.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "hits"), "hits")
+    met = keyed.join(small(hits, 20_000), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th"))).select("doc_id", "th", words(F.col("text")).alias("ws"), "hits")
+    equal = lambda x: F.size(F.filter(F.zip_with(x["win"], F.slice("ws", x["at"] + 1, F.size(x["win"])), lambda a, b: a.eqNullSafe(b)), lambda e: e))
+    sure = met.select("doc_id", "th", F.filter("hits", lambda x: equal(x) * 6 >= F.size(x["win"]) * 5).alias("sure")).filter(F.size("sure") > 0)
+    covered = F.flatten(F.transform("sure", lambda x: F.sequence(x["at"], x["at"] + F.size(x["win"]) - 1)))
+    count = lambda c: F.size(F.array_distinct(c)).cast("long")
+    out = sure.select("doc_id", "th", F.array_min(F.col("sure.item_id")).alias("item_id"), count(F.col("sure.at")).alias("n_windows"), count(covered).alias("n_words"))
+    return out.dropDuplicates(["doc_id", "th"])
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:

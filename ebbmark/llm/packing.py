@@ -22,6 +22,7 @@ rows and repeated doc_ids are packed row by row; an empty table gives no pieces.
 from __future__ import annotations
 
 import bisect
+import functools
 import re
 from collections.abc import Iterator
 from fractions import Fraction
@@ -130,6 +131,76 @@ class Schedule:
             k += 1
 
 
+class Encoder:
+    """Ids of whole texts by the tokenizer, word by word with a memory of up to ``limit`` words.
+
+    Holds for tokenizers that cut at blanks, lower-case, and end every word of letters, every digit and
+    every run of signs with its own end token (``</w>``); ``word_bpe_49k.json`` is one. A chunk between
+    blanks that is not plainly of that form (rare letters, marks, special tokens) is encoded as it is.
+    """
+
+    _odd_blank = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+    _blank = re.compile(r"[ \t\n\r]+")
+    _ascii = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+    _latin = re.compile(r"([a-z\u00df-\u00f6\u00f8-\u00ff]+)([!-/:-@\[-`{-~]*)")
+
+    def __init__(self, path: str, limit: int = 400_000):
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        ends = [t.endswith("</w>") for t, _ in sorted(self.tokenizer.get_vocab().items(), key=lambda x: x[1])]
+        self.ends = np.array(ends)
+        self.chunks: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def _parts(self, chunk: str) -> list[str] | None:
+        """The words of a chunk, or None if it has to be encoded as it is."""
+        low = chunk.lower()
+        if chunk.isascii():
+            return None if "<|" in chunk or not chunk.isprintable() else self._ascii.findall(low)
+        if m := self._latin.fullmatch(low):
+            return [x for x in m.groups() if x]
+        return None
+
+    def _learn(self, words: list[str]) -> None:
+        for i in range(0, len(words), 4000):
+            some = words[i : i + 4000]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(some):
+                data, at = ids.tobytes(), 0
+                for w, end in zip(some, (4 * cuts).tolist()):
+                    self.words[w] = data[at:end]
+                    at = end
+            else:
+                for w in some:
+                    self.words[w] = self._whole(w)
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        cut = [[c for c in self._blank.split(t) if c] if self._odd_blank.search(t) else t.split() for t in (t or "" for t in texts)]
+        known = self.chunks
+        if len(known) > self.limit:
+            known.clear()
+        if len(self.words) > self.limit:
+            self.words.clear()
+        parts = {c: self._parts(c) for c in {c for cs in cut for c in cs} - known.keys()}
+        self._learn(list({w for ws in parts.values() if ws for w in ws} - self.words.keys()))
+        words = self.words
+        for c, ws in parts.items():
+            known[c] = self._whole(c) if ws is None else words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws])
+        return [b"".join([known[c] for c in cs]) for cs in cut]
+
+
+@functools.lru_cache(maxsize=2)
+def _encoder(path: str) -> Encoder:
+    """One encoder for all tasks of a Python worker."""
+    return Encoder(path)
+
+
 def _tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """(part, doc_id, source, before, n, ids): ids as little-endian unsigned 32-bit integers; before
     counts the tokens of the same source that come earlier in the same partition."""
@@ -137,25 +208,11 @@ def _tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     schema = f"part int, doc_id {kind}, source string, before long, n long, ids binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        tok = Tokenizer.from_file(tokenizer)
-        part, sums, cache = TaskContext.get().partitionId(), {}, {}
-        # no id spans blanks of this kind, so each chunk between them is encoded once and remembered
-        blank = re.compile(r"[ \t\n\r]+")
+        part, sums = TaskContext.get().partitionId(), {}
         last = np.array([end_id], "<u4").tobytes()
         for b in batches:
             col = {n: b.column(i) for i, n in enumerate(b.schema.names)}
-            chunks = [blank.split(t) if t else [] for t in col["text"].to_pylist()]
-            new = list({c for cs in chunks for c in cs if c not in cache})
-            if len(cache) + len(new) > 300_000:
-                cache = {}
-                new = list({c for cs in chunks for c in cs})
-            for i in range(0, len(new), 5000):
-                some = new[i : i + 5000]
-                for c, e in zip(some, tok.encode_batch_fast(some, add_special_tokens=False)):
-                    cache[c] = np.array(e.ids, "<u4").tobytes()
-            ids = [b"".join([cache[c] for c in cs]) + last for cs in chunks]
+            ids = [x + last for x in _encoder(tokenizer).encode(col["text"].to_pylist())]
             before, sources = [], [s or "" for s in col["source"].to_pylist()]
             for s, x in zip(sources, ids):
                 before.append(sums.get(s, 0))
