@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 
-def bounded(spark: SparkSession, rows: int = 2000, mb: int = 16) -> SparkSession:
+def bounded(spark: SparkSession, rows: int = 500, mb: int = 4) -> SparkSession:
     """Set the session's Arrow batches to ``rows`` rows and ``mb`` MB at most."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", mb << 20)

@@ -144,7 +144,7 @@ class Encoder:
     _ascii = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
     _latin = re.compile(r"([a-z\u00df-\u00f6\u00f8-\u00ff]+)([!-/:-@\[-`{-~]*)")
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
@@ -163,9 +163,9 @@ class Encoder:
         return None
 
     def _learn(self, words: list[str]) -> None:
-        for i in range(0, len(words), 4000):
-            some = words[i : i + 4000]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+        for i in range(0, len(words), 500):
+            some = words[i : i + 500]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(some):
                 data, at = ids.tobytes(), 0
@@ -187,12 +187,12 @@ class Encoder:
             known.clear()
         if len(self.words) > self.limit:
             self.words.clear()
-        parts = {c: self._parts(c) for c in {c for cs in cut for c in cs} - known.keys()}
-        self._learn(list({w for ws in parts.values() if ws for w in ws} - self.words.keys()))
+        parts = {c: self._parts(c) for c in set().union(*cut) - known.keys()}
+        self._learn(list(set().union(*filter(None, parts.values())) - self.words.keys()))
         words = self.words
         for c, ws in parts.items():
             known[c] = self._whole(c) if ws is None else words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws])
-        return [b"".join([known[c] for c in cs]) for cs in cut]
+        return [b"".join(map(known.__getitem__, cs)) for cs in cut]
 
 
 @functools.lru_cache(maxsize=2)
@@ -219,6 +219,7 @@ def _tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                 sums[s] = before[-1] + len(x) // 4
             arrays = [pa.array([part] * len(ids), pa.int32()), col["doc_id"], pa.array(sources, pa.string()), pa.array(before, pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, ["part", "doc_id", "source", "before", "n", "ids"])
+        _encoder(tokenizer).chunks.clear()
 
     return docs.select("doc_id", "text", "source").mapInArrow(run, schema)
 

@@ -16,7 +16,7 @@ _S30, _S27, _S31 = np.uint64(30), np.uint64(27), np.uint64(31)
 class WordHashes(dict):
     """word -> 64-bit hash, remembered up to ``limit`` words (then forgotten and begun anew)."""
 
-    def __init__(self, limit: int = 300_000):
+    def __init__(self, limit: int = 150_000):
         super().__init__()
         self.limit = limit
 
