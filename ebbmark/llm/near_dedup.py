@@ -33,7 +33,7 @@ from ebbmark.llm.batches import bounded
 from ebbmark.llm.components import components
 from ebbmark.llm.words import WordHashes, shingles
 
-BLOCK, LEADERS = 64, 3
+BLOCK, LEADERS = 512, 3
 #: 64-bit words of a parity bitmap.
 WORDS = 16
 
