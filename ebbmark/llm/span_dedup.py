@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ebbmark.core.tables import small, table
+from ebbmark.core.tables import table
 from ebbmark.llm.batches import bounded
 
 RUN, LONG_PAIR, LEAST = 3, 24, 10
@@ -109,7 +109,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     gone = table(repeated_sentences(docs).select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("gone").alias("__gone")), "gone")
     names = [c for c in docs.columns if c not in ("n_removed", "removed")]
     keyed = docs.select(*names, F.xxhash64("text").alias("__h"))
-    joined = keyed.join(small(gone, 20_000), (F.coalesce("doc_id", F.lit(NO_ID)) == F.col("__id")) & (F.col("__h") == F.col("__th")), "left")
+    joined = keyed.join(gone, (F.coalesce("doc_id", F.lit(NO_ID)) == F.col("__id")) & (F.col("__h") == F.col("__th")), "left")
     done = joined.withColumn("__x", _cutter()("text", "__gone"))
     out = [F.col("__x.text").alias("text") if c == "text" else F.col(c) for c in names]
     return done.select(*out, F.greatest(F.coalesce(F.size("__gone"), F.lit(0)), F.lit(0)).cast("long").alias("n_removed"), F.col("__x.removed").alias("removed"))
