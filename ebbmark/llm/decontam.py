@@ -68,7 +68,10 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     hashed = near.select("doc_id", "th", F.explode(tries).alias("t")).select("doc_id", "th", "t.at", "t.h").filter("at >= 0")
     hits = hashed.join(small(found), "h").groupBy("doc_id", "th").agg(F.collect_set(F.struct("at", "win", "item_id")).alias("hits"))
     hits = table(hits.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "hits"), "hits")
-    met = keyed.join(small(hits, 20_000), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th"))).select("doc_id", "th", words(F.col("text")).alias("ws"), "hits")
+    # the texts of the documents hit first, by keys alone, then their hits
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th"))
+    texts = keyed.join(small(hits.select("__id", "__th")), same, "left_semi")
+    met = texts.join(hits, same).select("doc_id", "th", words(F.col("text")).alias("ws"), "hits")
     equal = lambda x: F.size(F.filter(F.zip_with(x["win"], F.slice("ws", x["at"] + 1, F.size(x["win"])), lambda a, b: a.eqNullSafe(b)), lambda e: e))
     sure = met.select("doc_id", "th", F.filter("hits", lambda x: equal(x) * 6 >= F.size(x["win"]) * 5).alias("sure")).filter(F.size("sure") > 0)
     covered = F.flatten(F.transform("sure", lambda x: F.sequence(x["at"], x["at"] + F.size(x["win"]) - 1)))
