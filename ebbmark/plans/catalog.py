@@ -191,7 +191,7 @@ _t(
     T.trend_replication,
 )
 _t("t14_basket_rsi", D.sql("rsi") + "select entity_id, 'rsi' as series_id, date, round(avg(value), 6) as value from rsi group by all", lambda o: T.basket_mean(T.rsi(o), "rsi"))
-_t("t15_weighted_basket", D.sql("legs") + "select entity_id, 'basket' as series_id, date, round(sum(value * weight) / sum(weight) / 1000, 6) as value from legs group by all", lambda o: T.weighted_basket(o.drop("weight"), o.select(*KEY, "date", "weight"), "basket").withColumn("value", F.col("value") / 1000), D.legs)
+_t("t15_weighted_basket", D.sql("legs") + "select entity_id, 'basket' as series_id, date, round(ln(sum(value * weight) / sum(weight)), 6) as value from legs group by all", lambda o: T.weighted_basket(o.drop("weight"), o.select(*KEY, "date", "weight"), "basket").withColumn("value", F.ln("value")), D.legs)
 _t("t_basket_sum", D.sql("obs") + "select entity_id, 'sum' as series_id, date, round(sum(value), 6) as value from obs group by all", lambda o: T.basket_sum(o, "sum"))
 _t(
     "t16_chain",
