@@ -49,7 +49,7 @@ def without_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
     cover = table(covered_lines(docs, span).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("covered").alias("__gone")), "covered")
     names = [c for c in docs.columns if c != "n_lines_removed"]
     keyed = docs.select(*names, F.xxhash64("text").alias("__h"))
-    joined = keyed.join(cover, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__th")), "left")
+    joined = keyed.join(cover.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__th")), "left")
     lines = F.split("text", "\n")
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
     kept = F.array_join(F.transform(stay, lambda i: F.get(F.col("__lines"), i)), "\n")
