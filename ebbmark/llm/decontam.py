@@ -1,12 +1,13 @@
 """Benchmark decontamination by spaced-seed hashing, with DataFrame functions only.
 
-Words are lower-cased runs of letters and digits. Every window of 12 words of a benchmark item is
-hashed under three fixed masks; each mask ignores every third position, so that any substitutions in
-one residue class leave a mask unharmed. Training texts are hashed and joined at every position where a
-mask's first two neighbouring words are such a pair of the benchmark (elsewhere it cannot match). A hit
-is verified by comparing all words of both windows: at least 10 of 12 must be equal. Items of 5 to 11
-words are compared whole, under one mask of their length, with one substitution in six allowed; items
-of fewer words are too common to look for. A document is contaminated if a window is verified.
+Words are lower-cased runs of letters and digits. Every window of 12 words of a benchmark item is cut
+into four groups of three words and hashed under six masks, one for each two groups: two substitutions
+anywhere touch two groups at most, and the mask of the two others is unharmed. Items of 5 to 11 words are
+one window; from 6 words on, one substitution is allowed, and each half of the item is a mask. Training
+texts are hashed at every position where a mask's first three words are such a triple of the benchmark
+(elsewhere it cannot match). A hit is verified by comparing all words of both windows: at least 10 of 12,
+or 5 of 6, must be equal. Items of fewer than 5 words are too common to look for. A document is
+contaminated if a window is verified.
 
 Windows that many items share are one window, so a common phrase does not multiply with the items.
 
@@ -16,22 +17,34 @@ one document; an empty benchmark leaves all documents.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ebbmark.core.tables import small, table
 
 SPAN, LEAST = 12, 5
-#: Positions that each mask looks at: those not congruent to the mask's number.
-MASKS = tuple(tuple(i for i in range(SPAN) if i % 3 != r) for r in range(3))
+
+
+def masks(n: int) -> list[tuple[int, ...]]:
+    """Positions that each mask of a window of n words looks at.
+
+    One word in six may differ: twice as many groups as that, each of three words or more side by side,
+    and a mask for every choice of half of them, so that one mask meets none of the words that differ.
+    """
+    changes = n // 6
+    groups = 2 * changes or 1
+    cut = [range(n * g // groups, n * (g + 1) // groups) for g in range(groups)]
+    return [tuple(i for g in some for i in g) for some in combinations(cut, changes or 1)]
 
 
 def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
-def _hash(mark: int, parts: list[Column]) -> Column:
-    return F.xxhash64(F.lit(mark), *parts)
+def _hash(n: int, k: int, parts: list[Column]) -> Column:
+    return F.xxhash64(F.lit(n), F.lit(k), *parts)
 
 
 def seeds(items: DataFrame) -> DataFrame:
@@ -40,44 +53,37 @@ def seeds(items: DataFrame) -> DataFrame:
     long = cut.filter(F.size("ws") >= SPAN).select("item_id", "ws", F.explode(F.sequence(F.lit(1), F.size("ws") - SPAN + 1)).alias("i"))
     wins = long.select("item_id", F.slice("ws", F.col("i"), SPAN).alias("win")).unionByName(cut.filter(F.size("ws") < SPAN).select("item_id", F.col("ws").alias("win")))
     wins = wins.groupBy("win").agg(F.min("item_id").alias("item_id"))
-    masked = F.array(*(_hash(m, [F.get("win", F.lit(i)) for i in mask]) for m, mask in enumerate(MASKS)))
-    whole = F.array(*(F.when(F.size("win") == n, _hash(n, [F.get("win", F.lit(i)) for i in range(n)])) for n in range(LEAST, SPAN)))
-    return wins.select(F.explode(F.when(F.size("win") == SPAN, masked).otherwise(F.array_compact(whole))).alias("h"), "win", "item_id")
+    masked = F.array(*(F.when(F.size("win") == n, _hash(n, k, [F.get("win", F.lit(i)) for i in mask])) for n in range(LEAST, SPAN + 1) for k, mask in enumerate(masks(n))))
+    return wins.select(F.explode(F.array_compact(masked)).alias("h"), "win", "item_id")
 
 
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, th, item_id, n_windows, n_words): the contaminated documents.
 
-    item_id is the least item met, n_windows counts verified windows, n_words the words they cover.
-    th is the hash of the text.
+    item_id is the least item met, n_windows counts the positions of verified windows, n_words the words
+    they cover. th is the hash of the text.
     """
     found = table(seeds(items), "seeds")
-    short = [r[0] for r in found.select(F.size("win").alias("n")).filter(F.col("n") < SPAN).distinct().collect()]
-    least = min([SPAN, *short])
-    # every mask looks at a pair of neighbours first: at 1, 2 and 0 for the three, at 0 for whole items
-    looks = [(m, mask, (1, 2, 0)[m]) for m, mask in enumerate(MASKS)] + [(n, tuple(range(n)), 0) for n in sorted(short)]
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    # words stay in generated code: no lambda, and no copy of the word array with every position
-    cut = keyed.select("doc_id", "th", words(F.col("text")).alias("ws"))
-    at = cut.select("doc_id", "th", "ws", F.explode_outer(F.when(F.size("ws") >= least, F.sequence(F.lit(0), F.size("ws") - 2))).alias("j")).filter("j is not null")
+    lengths = sorted({SPAN, *(r[0] for r in found.select(F.size("win")).distinct().collect())})
+    looks = [(n, k, mask) for n in lengths for k, mask in enumerate(masks(n))]
     word = lambda array, i: F.get(array, F.greatest(i, F.lit(-1)) if isinstance(i, Column) else F.lit(i))
-    pair = lambda array, i: F.xxhash64(word(array, i), word(array, i + 1))
-    pairs = found.select(F.explode(F.array(*(pair("win", i) for i in range(3)))).alias("pair")).distinct()
-    near = at.select("doc_id", "th", "ws", "j", pair("ws", F.col("j")).alias("pair")).join(small(pairs), "pair", "left_semi")
-    tries = F.array(*(F.struct((F.col("j") - off).alias("at"), _hash(m, [word("ws", F.col("j") + (i - off)) for i in mask]).alias("h")) for m, mask, off in looks))
-    hashed = near.select("doc_id", "th", F.explode(tries).alias("t")).select("doc_id", "th", "t.at", "t.h").filter("at >= 0")
-    hits = hashed.join(small(found), "h").groupBy("doc_id", "th").agg(F.collect_set(F.struct("at", "win", "item_id")).alias("hits"))
-    hits = table(hits.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "hits"), "hits")
-    # the texts of the documents hit first, by keys alone, then their hits
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th"))
-    texts = keyed.join(small(hits.select("__id", "__th")), same, "left_semi")
-    met = texts.join(hits, same).select("doc_id", "th", words(F.col("text")).alias("ws"), "hits")
-    equal = lambda x: F.size(F.filter(F.zip_with(x["win"], F.slice("ws", x["at"] + 1, F.size(x["win"])), lambda a, b: a.eqNullSafe(b)), lambda e: e))
-    sure = met.select("doc_id", "th", F.filter("hits", lambda x: equal(x) * 6 >= F.size(x["win"]) * 5).alias("sure")).filter(F.size("sure") > 0)
-    covered = F.flatten(F.transform("sure", lambda x: F.sequence(x["at"], x["at"] + F.size(x["win"]) - 1)))
+    triple = lambda array, i: F.xxhash64(*(word(array, i + d) for d in range(3)))
+    first = F.array(*(F.when(F.size("win") == n, triple("win", i)) for n, i in sorted({(n, mask[0]) for n, _, mask in looks})))
+    triples = found.select(F.explode(F.array_compact(first)).alias("triple")).distinct()
+    # words stay in generated code: no lambda, and no copy of the word array with every position
+    cut = docs.select("doc_id", F.xxhash64("text").alias("th"), words(F.col("text")).alias("ws"))
+    at = cut.select("doc_id", "th", "ws", F.explode_outer(F.when(F.size("ws") >= lengths[0], F.sequence(F.lit(0), F.size("ws") - 3))).alias("j")).filter("j is not null")
+    near = at.select("doc_id", "th", "ws", "j", triple("ws", F.col("j")).alias("triple")).join(small(triples), "triple", "left_semi")
+    tries = F.array(*(F.struct((F.col("j") - mask[0]).alias("at"), F.lit(n).alias("n"), _hash(n, k, [word("ws", F.col("j") + (i - mask[0])) for i in mask]).alias("h")) for n, k, mask in looks))
+    hashed = near.select("doc_id", "th", "ws", F.explode(tries).alias("t")).filter((F.col("t.at") >= 0) & (F.col("t.at") + F.col("t.n") <= F.size("ws")))
+    hashed = hashed.select("doc_id", "th", "t.at", "t.n", "t.h", F.slice("ws", F.col("t.at") + 1, F.col("t.n")).alias("got"))
+    # verified before they are gathered, so that a common half of an item costs no memory
+    equal = F.size(F.filter(F.zip_with("win", "got", lambda a, b: a.eqNullSafe(b)), lambda e: e))
+    sure = hashed.join(small(found), "h").filter((F.size("win") == F.col("n")) & (equal * 6 >= F.col("n") * 5))
+    hits = sure.groupBy("doc_id", "th").agg(F.min("item_id").alias("item_id"), F.collect_set(F.struct("at", "n")).alias("hits"))
+    covered = F.flatten(F.transform("hits", lambda x: F.sequence(x["at"], x["at"] + x["n"] - 1)))
     count = lambda c: F.size(F.array_distinct(c)).cast("long")
-    out = sure.select("doc_id", "th", F.array_min(F.col("sure.item_id")).alias("item_id"), count(F.col("sure.at")).alias("n_windows"), count(covered).alias("n_words"))
-    return out.dropDuplicates(["doc_id", "th"])
+    return hits.select("doc_id", "th", "item_id", count(F.col("hits.at")).alias("n_windows"), count(covered).alias("n_words"))
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
