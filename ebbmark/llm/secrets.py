@@ -4,7 +4,9 @@ Base patterns find ``assign``, ``access`` and ``hex`` spans. The method reads so
 syntax as name-literal pairs (``name = "x"``, ``name: x``, ``name := 'x' + other``, keyword arguments,
 JSON members), propagates constants through names and concatenations in text order, and scores every
 literal by the most sensitive name it reaches and by its own look (length, entropy, placeholders). A
-literal that scores SCORE or more, and lies in no base span, is a ``literal`` span.
+literal that scores SCORE or more, and lies in no base span, is a ``literal`` span. Names, literals and
+concatenations may be of any length; the lexer passes over a text once, and a concatenation refers to
+its parts instead of copying them.
 
 Nulls and edges: a null text is empty; a text without a colon or equals sign has no pairs. Offsets are
 code points, end exclusive.
@@ -15,6 +17,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -52,8 +55,9 @@ SENSITIVE = {
 PLACEHOLDERS = ("example", "changeme", "placeholder", "your", "dummy", "sample", "xxxx", "none", "null", "true", "false", "todo")
 SCORE = 0.5
 
-_LITERAL = r"\"(?:[^\"\\\n]|\\.){0,500}\"|'(?:[^'\\\n]|\\.){0,500}'"
-_PAIR = re.compile(rf"""(?P<name>[A-Za-z_][A-Za-z0-9_.\-]{{0,80}})["'\]]{{0,2}}[ \t]*(?::=|=>|=|:)(?![=/])[ \t]*(?P<value>(?:{_LITERAL}|[A-Za-z0-9_+/][A-Za-z0-9_+/.=\-]*)(?:[ \t]*\+[ \t]*(?:{_LITERAL}|[A-Za-z_][A-Za-z0-9_.]*))*)""")
+_LITERAL = r"\"[^\"\\\n]*+(?:\\.[^\"\\\n]*+)*+\"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'"
+#: A name with or without a value: a name without one is passed over whole, which keeps the scan linear.
+_PAIR = re.compile(rf"""(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*+)(?:["'\]]{{0,2}}[ \t]*+(?::=|=>|=|:)(?![=/])[ \t]*+(?P<value>(?:{_LITERAL}|[A-Za-z0-9_+/][A-Za-z0-9_+/.=\-]*+)(?:[ \t]*+\+[ \t]*+(?:{_LITERAL}|[A-Za-z_][A-Za-z0-9_.]*+))*+))?""")
 _TERM = re.compile(rf"{_LITERAL}|[^\s+\"'][^\s\"']*")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 
@@ -66,40 +70,93 @@ def name_score(name: str) -> float:
     return min(1.0, max(best, two))
 
 
-def literal_score(value: str) -> float:
+class Look(NamedTuple):
+    """What literal_score needs of a text that may be too long to write out, as parts add up."""
+
+    counts: dict[str, float]  # of each character, times 2 ** power
+    n: float
+    power: int
+    held: bool  # holds a placeholder
+    head: str
+    tail: str
+
+
+_EDGE = max(map(len, PLACEHOLDERS)) - 1
+
+
+def look(value: str) -> Look:
     low = value.lower()
-    if len(value) < 8 or any(p in low for p in PLACEHOLDERS) or any(c in value for c in "<>${} \t"):
+    return Look({c: float(k) for c, k in Counter(value).items()}, float(len(value)), 0, any(p in low for p in PLACEHOLDERS), low[:_EDGE], low[-_EDGE:])
+
+
+def together(x: Look, y: Look) -> Look:
+    """The look of x followed by y."""
+    power = max(x.power, y.power)
+    a, b = math.ldexp(1.0, x.power - power), math.ldexp(1.0, y.power - power)
+    counts = {c: k * a for c, k in x.counts.items()}
+    for c, k in y.counts.items():
+        counts[c] = counts.get(c, 0.0) + k * b
+    n = x.n * a + y.n * b
+    if n > 2.0**200:
+        counts, n, power = {c: k * 2.0**-100 for c, k in counts.items()}, n * 2.0**-100, power + 100
+    seam = x.tail + y.head
+    return Look(counts, n, power, x.held or y.held or any(p in seam for p in PLACEHOLDERS), (x.head + y.head)[:_EDGE], (x.tail + y.tail)[-_EDGE:])
+
+
+def literal_score(value: str | Look) -> float:
+    v = value if isinstance(value, Look) else look(value)
+    if (v.n < 8 and not v.power) or v.held or any(c in v.counts for c in "<>${} \t"):
         return 0.0
-    n = len(value)
-    entropy = -sum(k / n * math.log2(k / n) for k in Counter(value).values())
-    mixed = sum(any(f(c) for c in value) for f in (str.isdigit, str.isupper, str.islower)) + any(not c.isalnum() for c in value)
+    entropy = -sum(k / v.n * math.log2(k / v.n) for k in v.counts.values() if k / v.n)
+    mixed = sum(any(map(f, v.counts)) for f in (str.isdigit, str.isupper, str.islower)) + any(not c.isalnum() for c in v.counts)
     return min(1.0, entropy / 3.5) * (0.4 if mixed == 1 else 0.8 if mixed == 2 else 1.0)
 
 
 def literals(text: str) -> list[tuple[int, int, float]]:
-    """(start, end, score) of each literal that reaches a sensitive name."""
-    bound: dict[str, list[tuple[int, int]]] = {}
-    best: dict[tuple[int, int], float] = {}
+    """(start, end, score) of each literal that reaches a sensitive name.
+
+    Literals and values are nodes in text order; a value points to the nodes it is made of, all of them
+    earlier, so one pass from the last to the first carries the weights of names down to the literals.
+    """
+    bound: dict[str, tuple[int, Look]] = {}
+    spans: list[tuple[int, int] | None] = []
+    below: list[list[int]] = []
+    weights: list[float] = []
+    scores: list[float] = []
+
+    def node(span: tuple[int, int] | None, parts: list[int], weight: float, score: float) -> int:
+        spans.append(span)
+        below.append(parts)
+        weights.append(weight)
+        scores.append(score)
+        return len(spans) - 1
+
     for m in _PAIR.finditer(text):
-        name, base, parts = m["name"], m.start("value"), []
+        if m["value"] is None:
+            continue
+        name, base, parts, whole = m["name"], m.start("value"), [], None
         for t in _TERM.finditer(m["value"]):
             a, b, term = base + t.start(), base + t.end(), t[0]
-            if term[0] in "\"'":
-                parts.append((a + 1, b - 1))
-            elif term in bound:
-                parts += bound[term]
+            if term[0] not in "\"'" and term in bound:
+                part, seen = bound[term]
             else:
-                parts.append((a, b))
-        parts = parts[:64]
-        bound[name] = parts
+                a, b = (a + 1, b - 1) if term[0] in "\"'" else (a, b)
+                part, seen = node((a, b), [], 0.0, 0.0), look(text[a:b])
+            parts.append(part)
+            whole = seen if whole is None else together(whole, seen)
+        whole = whole or look("")
         weight = name_score(name)
-        if weight:
-            whole = literal_score("".join(text[a:b] for a, b in parts))
-            for span in parts:
-                score = weight * max(whole, literal_score(text[span[0] : span[1]]))
-                if score > best.get(span, 0.0):
-                    best[span] = score
-    return sorted((a, b, s) for (a, b), s in best.items() if s >= SCORE and b > a)
+        bound[name] = node(None, parts, weight, weight * literal_score(whole) if weight else 0.0), whole
+    out = []
+    for i in range(len(spans) - 1, -1, -1):
+        if (span := spans[i]) is None:
+            for j in below[i]:
+                weights[j], scores[j] = max(weights[j], weights[i]), max(scores[j], scores[i])
+        elif weights[i] and span[1] > span[0]:
+            score = max(scores[i], weights[i] * literal_score(text[span[0] : span[1]]))
+            if score >= SCORE:
+                out.append((*span, score))
+    return sorted(out)
 
 
 def spans_of(text: str | None) -> list[tuple[str, int, int, float]]:

@@ -1,11 +1,12 @@
 """Cases at and beyond former limits of the operators: each must come out as from a smaller input."""
 
 import random
+import time
 from itertools import combinations
 
 import pytest
 
-from ebbmark.llm import decontam
+from ebbmark.llm import decontam, secrets
 
 SCHEMA = "doc_id long, text string, lang string, source string, kept string"
 
@@ -53,3 +54,39 @@ def test_leaks_at_every_place_of_changes(spark):
     bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
     got = {r.doc_id: (r.n_windows, r.n_words) for r in decontam.leaks(frame(spark, [" ".join(w) for w in texts]), bench).collect()}
     assert got == want
+
+
+# --- 2 secrets
+
+
+def _found(text):
+    return [text[a:b] for k, a, b, _ in secrets.spans_of(text) if k == "literal"]
+
+
+@pytest.mark.parametrize("n", [24, 500, 501, 600, 50_000])
+def test_literals_of_any_length(n):
+    rng = random.Random(n)
+    value = "".join(rng.choice("ghijklmnpqrstvwyzGHIJKLMNPQRSTVWYZ0123456789+/") for _ in range(n))  # no placeholder by chance
+    for text in (f'encryption_key = "{value}"', f'{{"credentials": "{value}", "n": 1}}', f"auth = '{value}'\nn = 1", f'k = "{value}"\nclient_credential = k', f'signing_key = "" + "{value}" + ""'):
+        assert _found(text) == [value]
+
+
+def test_names_of_any_length():
+    long = "client_credential_" + "of_the_other_side_" * 20
+    assert _found(f'{long} = "Zx8fQ2LmNp4RtVw"') == ["Zx8fQ2LmNp4RtVw"]
+    name = "part_" * 40
+    assert _found(f'{name} = "Zx8fQ2LmNp4RtVw"\ncredential = {name}') == ["Zx8fQ2LmNp4RtVw"]
+
+
+def test_concatenations_of_any_length():
+    parts = [f"Zx8fQ2LmNp4RtV{i:03}" for i in range(300)]
+    assert _found("credential = " + " + ".join(f'"{p}"' for p in parts)) == parts
+    assert _found("\n".join(["s = ''", *(f's = s + "{p}"' for p in parts), "credential = s"])) == parts
+    assert _found("credential = " + " + ".join(f'"{c}"' for c in "Zx8fQ2LmNp4RtVw" * 20)) == list("Zx8fQ2LmNp4RtVw" * 20)
+
+
+def test_repeated_doubling_and_long_runs_take_linear_time():
+    begin = time.monotonic()
+    assert _found('s = "Zx8fQ2LmNp4RtVw"\n' + "s = s + s\n" * 20_000 + "credential = s") == ["Zx8fQ2LmNp4RtVw"]
+    assert _found("a" * 300_000 + "\n" + "b = " + "x" * 10 + '"' + "c" * 300_000) == []
+    assert time.monotonic() - begin < 20
