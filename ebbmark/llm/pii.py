@@ -6,7 +6,8 @@ the base spans of at most TRAIN_DOCS documents (the least by hash among those wi
 same windows with the entity rewritten in other forms (spelled-out or defanged addresses, numbers
 without + or with other separators), and windows with numbers that are no personal data. It then reads
 every text: a text is covered by windows of WINDOW characters every STRIDE; each window that has an @, a
-digit or an ``at`` in brackets or between blanks before a ``dot`` is decoded (no other can hold one of the kinds). Overlapping windows are
+digit or an ``at`` between blanks or brackets, with a dot or ``dot`` to follow, is decoded, and so are the windows next to
+it, which settle the tags near its edges. No other can hold one of the kinds: a plausible address has an @ or such an ``at``, the other kinds have digits. Overlapping windows are
 reconciled over the whole text: each character takes its tag from the window in which it lies farthest
 from an edge. Runs of one kind that are plausible (digit counts, Luhn, number ranges) and lie in no base
 span are ``seq_`` spans.
@@ -42,7 +43,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]")
-_ANCHOR = re.compile(r"[0-9@]|[\[( ]at[\]) ](?=.{1,60}?[\[( ]dot[\]) ])")
+#: What every plausible span holds: an @, a digit, or an at with a dot after one word or none.
+_ANCHOR = re.compile(r"[0-9@]|[\s\[(]at(?=[\s\])]\s{0,2}[\w-]*\s{0,2}[\[(]?(?:\.|dot)[\])]?\s{0,2}[\w-])", re.IGNORECASE)
 
 
 def luhn(digits: str) -> bool:
@@ -94,7 +96,7 @@ def _made(kind: str, rng: random.Random) -> str:
 
 def _rewritten(kind: str, s: str, rng: random.Random) -> str:
     if kind == "email":
-        at, dot = rng.choice([("@", "."), (" at ", " dot "), ("(at)", "."), ("[at]", "[dot]"), (" at ", "."), (" (at) ", " (dot) ")])
+        at, dot = rng.choice([("@", "."), (" at ", " dot "), ("(at)", "."), ("[at]", "[dot]"), (" at ", "."), (" (at) ", " (dot) "), (" AT ", " DOT "), ("(AT)", "."), ("[AT]", "[DOT]")])
         return s.replace("@", at).replace(".", dot) if at != "@" else s
     digits = "".join(_DIGITS.findall(s))
     if kind == "ip":
@@ -158,7 +160,8 @@ def training_windows(texts: list[str], seed: int = 11) -> tuple[np.ndarray, np.n
 def plausible(kind: str, s: str) -> bool:
     digits = "".join(_DIGITS.findall(s))
     if kind == "email":
-        return bool(re.fullmatch(r"[\w.%+-]+\s?[\[(]?(?:@|at)[\])]?\s?[\w-]+(?:\s?[\[(]?(?:\.|dot)[\])]?\s?[\w-]+)+", s)) and ("@" in s or re.search(r"[\s\[(]at[\s\])]", s) is not None)
+        s = re.sub(r"(?i)\s?[\[(]dot[\])]\s?|\sdot\s", ".", s)  # also before the at
+        return bool(re.fullmatch(r"(?i)[\w.%+-]+\s?[\[(]?(?:@|at)[\])]?\s?[\w-]+(?:\s?[\[(]?(?:\.|dot)[\])]?\s?[\w-]+)+", s)) and ("@" in s or re.search(r"(?i)[\s\[(]at[\s\])]", s) is not None)
     if kind == "ip":
         parts = re.findall(r"[0-9]+", s)
         return len(parts) == 4 and all(len(x) < 4 and int(x) < 256 for x in parts) and not re.search(r"[A-Za-z]", s)
@@ -173,7 +176,7 @@ def tagged(texts: list[str], model: dict) -> list[list[tuple[str, int, int]]]:
     """The tagger's plausible spans of each text, whole texts, windows decoded in fixed-size batches."""
     where, owners, starts = [], [], []
     for i, t in enumerate(texts):
-        at = sorted({w for m in _ANCHOR.finditer(t) for w in (m.start() // STRIDE - 1, m.start() // STRIDE) if w >= 0})
+        at = sorted({w for m in _ANCHOR.finditer(t) for w in range(m.start() // STRIDE - 2, m.start() // STRIDE + 2) if 0 <= w * STRIDE < len(t)})
         owners += [i] * len(at)
         starts += [w * STRIDE for w in at]
     tags: dict[int, dict[int, tuple[int, int]]] = {}

@@ -1,12 +1,14 @@
 """Cases at and beyond former limits of the operators: each must come out as from a smaller input."""
 
 import random
+import re
 import time
 from itertools import combinations
 
+import numpy as np
 import pytest
 
-from ebbmark.llm import decontam, secrets
+from ebbmark.llm import decontam, pii, secrets, tagger
 
 SCHEMA = "doc_id long, text string, lang string, source string, kept string"
 
@@ -90,3 +92,25 @@ def test_repeated_doubling_and_long_runs_take_linear_time():
     assert _found('s = "Zx8fQ2LmNp4RtVw"\n' + "s = s + s\n" * 20_000 + "credential = s") == ["Zx8fQ2LmNp4RtVw"]
     assert _found("a" * 300_000 + "\n" + "b = " + "x" * 10 + '"' + "c" * 300_000) == []
     assert time.monotonic() - begin < 20
+
+
+# --- 5 personal data
+
+
+def test_every_training_form_reaches_the_decoder(monkeypatch):
+    rng, seen = random.Random(5), []
+    monkeypatch.setattr(tagger, "decode", lambda model, x: seen.extend(map(tuple, x)) or np.zeros(x.shape, np.int64))
+    forms = [re.sub("[0-9]", "", pii._rewritten("email", pii._made("email", rng), rng)) for _ in range(300)]
+    forms += ["jane.doe(at)site.org", "jane at site.org", "jane.doe AT site DOT org", "jane[AT]site[DOT]org", "jane (at) site.org"]
+    for form in forms:
+        assert pii.plausible("email", form), form
+        seen.clear()
+        text = "some words stand here and more " * 5 + "x" * rng.randint(0, 40) + " "
+        a, b = len(text), len(text) + len(form)
+        text += form + " follow until the end of the line" * 4
+        pii.tagged([text], {})
+        for at in range(0, b, pii.STRIDE):
+            assert at + pii.WINDOW <= a or tuple(tagger.codes(text[at : at + pii.WINDOW], pii.WINDOW)) in seen, form
+    seen.clear()
+    pii.tagged(["some words stand here and more of them follow until the end of the line. " * 4], {})
+    assert not seen
