@@ -2,14 +2,15 @@
 
 Base patterns find ``assign``, ``access`` and ``hex`` spans. The method reads source and configuration
 syntax as name-literal pairs (``name = "x"``, ``name: x``, ``name := 'x' + other``, keyword arguments,
-JSON members), propagates constants through names and concatenations in text order, and scores every
-literal by the most sensitive name it reaches and by its own look (length, entropy, placeholders). A
+JSON members), propagates constants through names and concatenations in text order (a name used before
+it is bound stands for what it is bound to next), and scores every literal by the most sensitive name it reaches and by its own look (length, entropy, placeholders). A
 literal that scores SCORE or more, and lies in no base span, is a ``literal`` span. Names, literals and
 concatenations may be of any length; the lexer passes over a text once, and a concatenation refers to
 its parts instead of copying them.
 
-Nulls and edges: a null text is empty; a text without a colon or equals sign has no pairs. Offsets are
-code points, end exclusive.
+Nulls and edges: a null text is empty; a text without a colon or equals sign has no pairs; repeated rows
+are scanned each; an empty table gives no rows; docs keep their columns, one named spans is replaced.
+Offsets are code points, end exclusive.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from ebbmark.llm.batches import bounded
 
 KINDS = ("assign", "access", "hex", "literal")
-ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 CUES = ("passw", "secret", "token", "api")
@@ -58,6 +59,7 @@ SCORE = 0.5
 _LITERAL = r"\"[^\"\\\n]*+(?:\\.[^\"\\\n]*+)*+\"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'"
 #: A name with or without a value: a name without one is passed over whole, which keeps the scan linear.
 _PAIR = re.compile(rf"""(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*+)(?:["'\]]{{0,2}}[ \t]*+(?::=|=>|=|:)(?![=/])[ \t]*+(?P<value>(?:{_LITERAL}|[A-Za-z0-9_+/][A-Za-z0-9_+/.=\-]*+)(?:[ \t]*+\+[ \t]*+(?:{_LITERAL}|[A-Za-z_][A-Za-z0-9_.]*+))*+))?""")
+_NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.\-]*")
 _TERM = re.compile(rf"{_LITERAL}|[^\s+\"'][^\s\"']*")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 
@@ -116,9 +118,12 @@ def literals(text: str) -> list[tuple[int, int, float]]:
     """(start, end, score) of each literal that reaches a sensitive name.
 
     Literals and values are nodes in text order; a value points to the nodes it is made of, all of them
-    earlier, so one pass from the last to the first carries the weights of names down to the literals.
+    earlier, so one pass from the last to the first carries the weights of names down to the literals. A name
+    used before it is bound points forward instead; passes alternate until nothing changes.
     """
     bound: dict[str, tuple[int, Look]] = {}
+    waiting: dict[str, list[int]] = {}  # nodes of names not bound yet
+    forward: list[tuple[int, int]] = []
     spans: list[tuple[int, int] | None] = []
     below: list[list[int]] = []
     weights: list[float] = []
@@ -142,17 +147,35 @@ def literals(text: str) -> list[tuple[int, int, float]]:
             else:
                 a, b = (a + 1, b - 1) if term[0] in "\"'" else (a, b)
                 part, seen = node((a, b), [], 0.0, 0.0), look(text[a:b])
+                if term[0] not in "\"'" and _NAME.fullmatch(term):
+                    waiting.setdefault(term, []).append(part)
             parts.append(part)
             whole = seen if whole is None else together(whole, seen)
         whole = whole or look("")
         weight = name_score(name)
-        bound[name] = node(None, parts, weight, weight * literal_score(whole) if weight else 0.0), whole
-    out = []
-    for i in range(len(spans) - 1, -1, -1):
-        if (span := spans[i]) is None:
+        value = node(None, parts, weight, weight * literal_score(whole) if weight else 0.0)
+        bound[name] = value, whole
+        for use in waiting.pop(name, ()):
+            if use != parts[0] or len(parts) > 1:  # not the name on its own right side
+                spans[use] = None
+                forward.append((use, value))
+    forward.sort()
+
+    def carry(i: int, j: int) -> bool:
+        if weights[j] >= weights[i] and scores[j] >= scores[i]:
+            return False
+        weights[j], scores[j] = max(weights[j], weights[i]), max(scores[j], scores[i])
+        return True
+
+    more = True
+    while more:
+        for i in range(len(spans) - 1, -1, -1):
             for j in below[i]:
-                weights[j], scores[j] = max(weights[j], weights[i]), max(scores[j], scores[i])
-        elif weights[i] and span[1] > span[0]:
+                carry(i, j)
+        more = any([carry(i, j) for i, j in forward])
+    out = []
+    for i, span in enumerate(spans):
+        if span is not None and weights[i] and span[1] > span[0]:
             score = max(scores[i], weights[i] * literal_score(text[span[0] : span[1]]))
             if score >= SCORE:
                 out.append((*span, score))
