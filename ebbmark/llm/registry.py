@@ -26,9 +26,9 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdict on every page; a page's outcome is the label with its number: bad if of quality 0."""
-    outcomes = _read(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (1 - F.col("quality")).alias("bad"))
-    return url_filter.judged(_read(spark, sf_dir, "pages"), outcomes)
+    """Verdict on every page; a page's outcome is the label of the document whose number its url holds."""
+    pages = _read(spark, sf_dir, "pages")
+    return url_filter.judged(pages, url_filter.outcomes_of(pages, _read(spark, sf_dir, "labels")))
 
 
 def op4_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

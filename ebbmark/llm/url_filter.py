@@ -4,15 +4,23 @@ Labelled page outcomes are counted per host. Beta-binomial priors shrink them do
 corpus gives the prior of a public suffix, a suffix that of a registered domain, a domain that of a
 host. A level's prior mean is the posterior mean of the level above; its strength is fitted by moments
 from the spread of the rates of all units of the level (between 2 and 1000 pseudo-pages). A host is
-blocked if the lower bound of its share of bad pages, mean - z * sd of its beta posterior, is over the
-limit. So a host with few labels is judged as its domain, and one without any by its domain alone.
+blocked if the lower bound of its share of bad pages is over the limit: mean - z * sd of its beta
+posterior, within 0.04 of the exact 5 % quantile for posteriors of ten pseudo-pages or more. So a host
+with few labels is judged as its domain, and one without any by its domain alone.
+
+A page's outcome is the label of the document that it shows, which its url names by number (outcomes_of).
+A user name and a port count as parts of the host in results, and are left out of its domain; a host of
+digits and dots is a domain and a suffix of its own; a public suffix has two labels if it ends in a
+country's two letters after a label of SECOND.
 
 Everything is counted over all labelled pages, one row per host after map-side sums; the joins on
 domain and suffix carry one row per host or domain.
 
 Rules: a rule fits its host and all subdomains if the url's path starts with the rule's path; the
 longest wins. Nulls and edges: a url that is null or has no ``://`` has an empty host and path, no rule,
-and is allowed; pages whose page_id repeats count once for each row; null outcomes are left out.
+and is allowed; pages whose page_id repeats count once for each row; null outcomes are left out, and
+repeated ones of a page count once, as bad if they disagree; rules of equal length go by host; an empty
+table gives no rows, and without outcomes nothing but the rules blocks; further columns are not used.
 """
 
 from __future__ import annotations
@@ -24,8 +32,8 @@ from ebbmark.core.tables import small, table
 
 #: (verdict, host, path)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-#: Public suffixes of two labels; all others have one.
-TWO_LABELS = ("ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn", "com.mx", "com.tr", "gov.uk", "net.au", "org.au", "org.uk")
+#: Labels that make a public suffix together with a country's two letters.
+SECOND = ("ac", "co", "com", "edu", "gov", "mil", "ne", "net", "or", "org")
 LIMIT, Z = 0.5, 1.64
 _BIG, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -51,14 +59,23 @@ def ruled(pages: DataFrame, rules=RULES) -> DataFrame:
     return out.withColumns({"rule": none if rule is None else rule, "rule_verdict": none if verdict is None else verdict})
 
 
+def outcomes_of(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """(page_id, bad): for pages whose url's path is a language and a document's number, that document's label."""
+    number = F.regexp_extract("url", r"^[^:]*://[^/]*/[a-z]+/([0-9]{1,18})", 1)
+    shown = pages.select("page_id", F.when(number != "", number.cast("long")).alias("doc_id")).filter("doc_id is not null")
+    known = labels.filter("doc_id is not null").groupBy("doc_id").agg((1 - F.min("quality")).alias("bad"))
+    return shown.join(known, "doc_id").select("page_id", "bad")
+
+
 def domain_and_suffix(host: Column) -> tuple[Column, Column]:
-    labels = F.split(host, r"\.")
+    name = F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":[0-9]*$", "")
+    labels = F.split(name, r"\.")
     n = F.size(labels)
-    two = F.array_join(F.slice(labels, F.greatest(n - 1, F.lit(1)), 2), ".")
-    wide = two.isin(*TWO_LABELS)
-    suffix = F.when(wide, two).otherwise(F.element_at(labels, -1))
-    keep = F.when(wide, 3).otherwise(2)
-    return F.array_join(F.slice(labels, F.greatest(n - keep + 1, F.lit(1)), 3), "."), suffix
+    wide = name.rlike(rf"(^|\.)({'|'.join(SECOND)})\.[a-z][a-z]$")
+    number = name.rlike(r"^[0-9.]+$")
+    last = lambda k: F.array_join(F.slice(labels, F.greatest(n - k + 1, F.lit(1)), 3), ".")
+    size = F.when(wide, 2).otherwise(1)
+    return F.when(number, name).otherwise(last(size + 1)), F.when(number, name).otherwise(last(size))
 
 
 def _strength() -> Column:
@@ -75,7 +92,8 @@ def _strength() -> Column:
 def reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
     """(host, n, bad, mean, bound) of every host of pages; outcomes is (page_id, bad as 0 or 1)."""
     host, _ = host_and_path(F.col("url"))
-    seen = pages.select("page_id", host.alias("host")).join(outcomes.filter("bad is not null").select("page_id", "bad"), "page_id", "left")
+    known = outcomes.filter("bad is not null and page_id is not null").groupBy("page_id").agg(F.max("bad").alias("bad"))
+    seen = pages.select("page_id", host.alias("host")).join(known, "page_id", "left")
     hosts = seen.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("bad"))
     domain, suffix = domain_and_suffix(F.col("host"))
     hosts = table(hosts.withColumns({"domain": domain, "suffix": suffix}), "hosts")
@@ -108,7 +126,7 @@ _HOST = "coalesce(case when instr(url, '://') > 0 then translate(regexp_extract(
 _PATH = "coalesce(case when instr(url, '://') > 0 then regexp_extract(regexp_extract(substr(url, instr(url, '://') + 3), '^([^?#]*)', 1), '^[^/]*(.*)$', 1) else '' end, '')"
 _K = """round(1 / greatest(1 / 1001.0::double, least(1 / 3.0::double, coalesce(
   (sum(n * pow(bad / n - prior, 2)) - sum(prior * (1 - prior))) / nullif(sum(n * prior * (1 - prior)) - sum(prior * (1 - prior)), 0), 1 / 3.0::double))) - 1, 9)"""
-_TWO = ", ".join(f"'{s}'" for s in TWO_LABELS)
+_NUMBER = "case when regexp_extract(url, '^[^:]*://[^/]*/[a-z]+/([0-9]{1,18})', 1) <> '' then regexp_extract(url, '^[^:]*://[^/]*/[a-z]+/([0-9]{1,18})', 1)::bigint end"
 
 
 def _level(name: str, source: str) -> str:
@@ -116,12 +134,15 @@ def _level(name: str, source: str) -> str:
 
 
 SQL = f"""
-with p as materialized (select page_id, {_HOST} as host, {_PATH} as path from pages),
-h0 as (select host, count(l.quality) as n, coalesce(sum(1 - l.quality), 0)::bigint as bad, string_split(host, '.') as ls from p left join labels l on l.doc_id = p.page_id group by host),
-h1 as (select *, array_to_string(ls[greatest(len(ls) - 1, 1):], '.') as two from h0),
+with p as materialized (select page_id, {_HOST} as host, {_PATH} as path, {_NUMBER} as doc_id from pages),
+known as (select doc_id, 1 - min(quality) as bad from labels where doc_id is not null group by doc_id),
+outcome as materialized (select page_id, max(bad) as bad from p join known using (doc_id) where page_id is not null and bad is not null group by page_id),
+h0 as (select host, count(o.bad) as n, coalesce(sum(o.bad), 0)::bigint as bad, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') as name
+  from p left join outcome o using (page_id) group by host),
+h1 as (select *, string_split(name, '.') as ls, regexp_matches(name, '^[0-9.]+$') as number, case when regexp_matches(name, '(^|[.])({'|'.join(SECOND)})[.][a-z][a-z]$') then 2 else 1 end as size from h0),
 hosts as materialized (select host, n, bad,
-  case when two in ({_TWO}) then two else ls[len(ls)] end as suffix,
-  array_to_string(ls[greatest(len(ls) - case when two in ({_TWO}) then 2 else 1 end, 1):], '.') as domain from h1),
+  case when number then name else array_to_string(ls[greatest(len(ls) - size + 1, 1):], '.') end as suffix,
+  case when number then name else array_to_string(ls[greatest(len(ls) - size, 1):], '.') end as domain from h1),
 domains as materialized (select domain, suffix, sum(n)::bigint as n, sum(bad)::bigint as bad from hosts group by all),
 suffixes as materialized (select suffix, sum(n)::bigint as n, sum(bad)::bigint as bad from domains group by all),
 {_level("top", "select *, (select (sum(bad) + 1) / (sum(n) + 2) from suffixes) as prior from suffixes")},
