@@ -1,16 +1,20 @@
 """Substring dedup over sliding sentence spans.
 
-A text is cut into sentences at line breaks and after ``.``, ``!`` or ``?`` before a blank. Every run of
-three consecutive sentences is a span, and so is every run of two that holds 24 words or more; a span
-has at least 10 words. Spans are compared lower-cased with blanks collapsed. A span found more than once
-in the corpus keeps its first occurrence, by doc_id (null first), text hash and position; the sentences
-of all other occurrences are removed, overlapping ones merged, with the blanks that follow them.
+A text is cut into sentences at line breaks and after ``.``, ``!`` or ``?`` before a blank; a sentence of
+more than PIECE words is cut further after every PIECE words from its start, so that a long one is several
+units. Every run of RUN consecutive units is a span, whatever its length; it is compared lower-cased with
+blanks collapsed. A span found more than once in the corpus keeps its first occurrence, by doc_id (null
+first), text hash and position; the units of all other occurrences are removed, overlapping ones merged,
+with the blanks that follow them. So a repeated passage is found from RUN of its units on: 3 sentences, or
+one of more than 2 * PIECE words.
 
 Spans travel as 128-bit hashes with their place. A span that a third of the corpus repeats is one row of
-map-side minima; the join back to its places is an equi-join that Spark splits when skewed.
+map-side minima; the minima are written, so that both sides of the join back to the places are plain
+shuffles, which Spark splits where a key is hot.
 
-Nulls and edges: a null text stays null; rows that repeat doc_id and text are one document and each get
-the same result; other columns pass through, output columns replace those of the same name.
+Nulls and edges: a null text stays null, a blank one is one unit; rows that repeat doc_id and text are one
+document and each get the same result; an empty table gives no rows; texts may be of any length; other
+columns pass through, output columns replace those of the same name.
 """
 
 from __future__ import annotations
@@ -26,39 +30,35 @@ from pyspark.sql import functions as F
 from ebbmark.core.tables import table
 from ebbmark.llm.batches import bounded
 
-RUN, LONG_PAIR, LEAST = 3, 24, 10
-#: Stands for a null doc_id: it comes first.
-NO_ID = -(2**63)
+RUN, PIECE = 3, 16
 _END = re.compile(r"(?<=[.!?])\s+|\s*\n\s*")
+_PIECE = re.compile(rf"(?:\S+\s+){{{PIECE}}}(?=\S)")
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
-    """(start, end) of each sentence; the end is the start of the next, so all of the text is covered."""
+    """(start, end) of each unit; the end is the start of the next, so all of the text is covered."""
     cuts = [0, *(m.end() for m in _END.finditer(text)), len(text)]
-    return [(a, b) for a, b in zip(cuts, cuts[1:]) if a < b]
+    out = []
+    for a, b in zip(cuts, cuts[1:]):
+        while b - a > 2 * PIECE and (m := _PIECE.match(text, a, b)):
+            out.append((a, m.end()))
+            a = m.end()
+        if a < b:
+            out.append((a, b))
+    return out
 
 
-def spans(text: str) -> list[tuple[int, int, bytes]]:
-    """(first sentence, sentences, digest) of every span."""
+def spans(text: str) -> list[tuple[int, bytes]]:
+    """(first unit, digest) of every span."""
     parts = [" ".join(text[a:b].lower().split()) for a, b in sentences(text)]
-    sizes = [p.count(" ") + bool(p) for p in parts]
-    out = []
-    for run, need in ((RUN, LEAST), (2, LONG_PAIR)):
-        for i in range(len(parts) - run + 1):
-            if sum(sizes[i : i + run]) >= need:
-                out.append((i, run, xxhash.xxh3_128_digest("\n".join(parts[i : i + run]).encode())))
-    return out
+    return [(i, xxhash.xxh3_128_digest("\n".join(parts[i : i + RUN]).encode())) for i in range(len(parts) - RUN + 1)]
 
 
 def _hasher():
-    @F.pandas_udf("struct<at:array<int>,run:array<int>,h1:array<long>,h2:array<long>>")
+    @F.pandas_udf("struct<h1:array<long>,h2:array<long>>")
     def cut(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t in texts:
-            found = spans(t) if t else []
-            h = np.frombuffer(b"".join(x[2] for x in found), np.int64).reshape(-1, 2)
-            rows.append(([x[0] for x in found], [x[1] for x in found], h[:, 0], h[:, 1]))
-        return pd.DataFrame(rows, columns=["at", "run", "h1", "h2"])
+        found = [np.frombuffer(b"".join(x[1] for x in spans(t)) if t else b"", np.int64).reshape(-1, 2) for t in texts]
+        return pd.DataFrame({"h1": [h[:, 0] for h in found], "h2": [h[:, 1] for h in found]})
 
     return cut.asNondeterministic()
 
@@ -86,30 +86,31 @@ def _cutter():
 
 
 def repeated_sentences(docs: DataFrame) -> DataFrame:
-    """(id, th, gone): the indexes of the sentences to remove, for each document that has any.
-
-    id is the doc_id, or the least long for null; th is the hash of the text.
-    """
+    """(doc_id, th, gone): the indexes of the units to remove, for each document that has any; th is the
+    hash of the text."""
     bounded(docs.sparkSession)
-    cut = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("th"), _hasher()("text").alias("s"))
-    rows = cut.select("id", "th", F.explode(F.arrays_zip("s.at", "s.run", "s.h1", "s.h2")).alias("x")).select("id", "th", "x.at", "x.run", "x.h1", "x.h2")
+    cut = docs.select("doc_id", F.xxhash64("text").alias("th"), _hasher()("text").alias("s"))
+    rows = cut.select("doc_id", "th", F.posexplode(F.arrays_zip("s.h1", "s.h2")).alias("at", "x")).select("doc_id", "th", "at", "x.h1", "x.h2")
     rows = table(rows, "spans")
     # least id first, then the least place in it: plain minima that combine before the shuffle
-    ids = rows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("id").alias("first_id")).filter("n > 1").drop("n")
-    met = table(rows.join(ids, ["h1", "h2"]), "repeats")
+    ids = rows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"), F.max(F.col("doc_id").isNull()).alias("has_null"))
+    ids = table(ids.filter("n > 1").drop("n"), "repeats")
+    in_first = F.when(F.col("has_null"), F.col("doc_id").isNull()).otherwise(F.col("doc_id") == F.col("first_id"))
+    met = table(rows.join(ids, ["h1", "h2"]).select("doc_id", "th", "at", "h1", "h2", in_first.alias("in_first")), "met")
     place = F.struct("th", "at")
-    first = met.filter("id = first_id").groupBy("h1", "h2").agg(F.min(place).alias("first"))
-    later = met.join(first, ["h1", "h2"]).filter((F.col("id") != F.col("first_id")) | (place != F.col("first")))
-    hit = later.select("id", "th", F.explode(F.sequence("at", F.col("at") + F.col("run") - 1)).alias("i")).distinct()
-    return hit.groupBy("id", "th").agg(F.collect_list("i").alias("gone"))
+    first = table(met.filter("in_first").groupBy("h1", "h2").agg(F.min(place).alias("first")), "first")
+    others = met.filter("not in_first").select("doc_id", "th", "at")
+    later = met.filter("in_first").join(first, ["h1", "h2"]).filter(place != F.col("first")).select("doc_id", "th", "at")
+    hit = others.unionByName(later).groupBy("doc_id", "th").agg(F.collect_set("at").alias("at"))
+    return hit.select("doc_id", "th", F.array_distinct(F.flatten(F.transform("at", lambda x: F.sequence(x, x + RUN - 1)))).alias("gone"))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """docs with repeated spans removed from ``text``; n_removed (sentences, long) and removed (code point ranges)."""
-    gone = table(repeated_sentences(docs).select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("gone").alias("__gone")), "gone")
+    """docs with repeated spans removed from ``text``; n_removed (units, long) and removed (code point ranges)."""
+    gone = table(repeated_sentences(docs).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("gone").alias("__gone")), "gone")
     names = [c for c in docs.columns if c not in ("n_removed", "removed")]
     keyed = docs.select(*names, F.xxhash64("text").alias("__h"))
-    joined = keyed.join(gone, (F.coalesce("doc_id", F.lit(NO_ID)) == F.col("__id")) & (F.col("__h") == F.col("__th")), "left")
+    joined = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__th")), "left")
     done = joined.withColumn("__x", _cutter()("text", "__gone"))
     out = [F.col("__x.text").alias("text") if c == "text" else F.col(c) for c in names]
     return done.select(*out, F.greatest(F.coalesce(F.size("__gone"), F.lit(0)), F.lit(0)).cast("long").alias("n_removed"), F.col("__x.removed").alias("removed"))
