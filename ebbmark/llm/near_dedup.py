@@ -33,7 +33,7 @@ from ebbmark.llm.batches import bounded
 from ebbmark.llm.components import components
 from ebbmark.llm.words import WordHashes, shingles
 
-BLOCK, LEADERS = 512, 3
+BLOCK, LEADERS, SALTS = 512, 3, 16
 #: 64-bit words of a parity bitmap.
 WORDS = 16
 
@@ -113,7 +113,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coords
     )
     signed = signed.drop("keys", "bits")
     posts = classes.select("v", F.explode("keys").alias("key"))
-    met = posts.join(posts.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key")
+    # counts are written before they meet the posts: then both sides are plain shuffles, split where a key is hot
+    met = posts.join(table(posts.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "counts"), "key")
     lists = met.groupBy("v").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("posted"), F.sum("n").alias("common"))
     lists = table(lists.filter(F.size("posted") >= matches).join(classes.select("v", F.col("n_shingles").alias("size"), "bits"), "v"), "lists")
     confirm = _confirmer(shingle, percent)
@@ -128,14 +129,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coords
     links = first.unionByName(confirmed(_across(lists, components(first), matches, percent)))
     comp = components(links)
 
-    named = classes.select("v", "cls", "first_id").join(comp, "v", "left")
-    least = named.filter("comp is not null").groupBy("comp").agg(F.min("first_id").alias("least"))
-    named = named.join(least, "comp", "left").select("cls", F.when(F.col("comp").isNull(), F.col("first_id")).otherwise(F.col("least")).alias("least"))
-    return (
-        signed.join(named, "cls", "left")
-        .withColumn("component_id", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("least")))
-        .select("doc_id", "text_key", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
-    )
+    # linked classes and rows with a set meet their least id; the others never enter a join under a null key
+    own = classes.select("v", "cls", "first_id")
+    linked = own.join(comp, "v").withColumn("salt", F.pmod("v", F.lit(SALTS)).cast("int"))
+    least = linked.groupBy("comp").agg(F.min("first_id").alias("least")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    named = linked.join(table(least, "least"), ["comp", "salt"]).select("cls", "least")
+    named = table(named.unionByName(own.join(comp, "v", "left_anti").select("cls", F.col("first_id").alias("least"))), "named")
+    rows = signed.filter("cls is not null").join(named, "cls").select("doc_id", "text_key", "n_shingles", F.col("least").alias("component_id"))
+    rows = rows.unionByName(signed.filter("cls is null").select("doc_id", "text_key", "n_shingles", F.col("doc_id").alias("component_id")))
+    return rows.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def _texts_of(texts: DataFrame, classes: DataFrame, ids: DataFrame) -> DataFrame:
@@ -153,7 +155,7 @@ def _may_link(left: str, right: str, percent: int) -> Column:
 def _tries(lists: DataFrame, percent: int) -> DataFrame:
     """Pairs (x, y) of each class with the leaders that it collides with most."""
     posts = lists.select("v", "common", F.explode("posted.key").alias("key"))
-    heads = posts.groupBy("key").agg(F.max(F.struct("common", "v")).alias("head")).select("key", F.col("head.v").alias("u"))
+    heads = table(posts.groupBy("key").agg(F.max(F.struct("common", "v")).alias("head")).select("key", F.col("head.v").alias("u")), "heads")
     hits = posts.join(heads, "key").filter("u <> v").groupBy("v", "u").agg(F.count("*").alias("hits"))
     best = hits.groupBy("v").agg(F.slice(F.sort_array(F.collect_list(F.struct("hits", "u")), asc=False), 1, LEADERS).alias("best"))
     pairs = best.select("v", F.explode("best.u").alias("u")).select(F.least("v", "u").alias("x"), F.greatest("v", "u").alias("y")).distinct()
@@ -183,7 +185,7 @@ def _across(lists: DataFrame, comp: DataFrame, matches: int, percent: int) -> Da
         .filter("groups > 1")
         .select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"), F.col("top.comp").alias("main"))
     )
-    mixed = table(rows.join(sizes, "key"), "mixed")
+    mixed = table(rows.join(table(sizes, "sizes"), "key"), "mixed")
     right = mixed.select("key", F.pmod(F.xxhash64("v"), "blocks").cast("int").alias("block"), *(F.col(c).alias(f"r_{c}") for c in ("v", "comp", "keys", "bits", "size", "main")))
     left = mixed.filter("comp <> main").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *(F.col(c).alias(f"l_{c}") for c in ("v", "comp", "keys", "bits", "size")))
     meets = (F.col("l_comp") != F.col("r_comp")) & ((F.col("r_comp") == F.col("r_main")) | (F.col("l_v") < F.col("r_v")))
