@@ -11,8 +11,12 @@ contaminated if a window is verified.
 
 Windows that many items share are one window, so a common phrase does not multiply with the items.
 
-Nulls and edges: null and empty texts or items have no window; rows that repeat doc_id and text are
-one document; an empty benchmark leaves all documents.
+Positions travel without the words of their text; what is compared in the end are the 5 to 12 words of a
+window.
+
+Nulls and edges: null and empty texts or items have no window; a null doc_id is one like others; rows that
+repeat doc_id and text are one document; an empty benchmark leaves all documents; a text may be of any
+length; clean() passes all columns through, leaks() returns its own alone.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ebbmark.core.tables import small, table
+from ebbmark.core.tables import BROADCAST_ROWS, fits, small, table
 
 SPAN, LEAST = 12, 5
 
@@ -57,11 +61,21 @@ def seeds(items: DataFrame) -> DataFrame:
     return wins.select(F.explode(F.array_compact(masked)).alias("h"), "win", "item_id")
 
 
-def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
+def _met(cut: DataFrame, at: DataFrame, triples: DataFrame, rows: int) -> DataFrame:
+    """Positions at which a triple of the benchmark stands, with the words of their texts, when the triples
+    are too many to broadcast: narrow rows meet the triples, and only then the words of each text that has any."""
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th"))
+    hit = at.join(triples, "triple", "left_semi").groupBy(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).agg(F.collect_set("j").alias("js"))
+    hit = table(hit, "met")
+    once = cut.join(small(hit.drop("js"), rows), same, "left_semi").dropDuplicates(["doc_id", "th"])
+    return once.join(hit, same).select("doc_id", "th", "ws", F.explode("js").alias("j"))
+
+
+def leaks(docs: DataFrame, items: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """(doc_id, th, item_id, n_windows, n_words): the contaminated documents.
 
     item_id is the least item met, n_windows counts the positions of verified windows, n_words the words
-    they cover. th is the hash of the text.
+    they cover. th is the hash of the text. ``rows`` is how many rows of the benchmark's hashes are broadcast.
     """
     found = table(seeds(items), "seeds")
     lengths = sorted({SPAN, *(r[0] for r in found.select(F.size("win")).distinct().collect())})
@@ -73,13 +87,14 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     # words stay in generated code: no lambda, and no copy of the word array with every position
     cut = docs.select("doc_id", F.xxhash64("text").alias("th"), words(F.col("text")).alias("ws"))
     at = cut.select("doc_id", "th", "ws", F.explode_outer(F.when(F.size("ws") >= lengths[0], F.sequence(F.lit(0), F.size("ws") - 3))).alias("j")).filter("j is not null")
-    near = at.select("doc_id", "th", "ws", "j", triple("ws", F.col("j")).alias("triple")).join(small(triples), "triple", "left_semi")
+    at = at.select("doc_id", "th", "ws", "j", triple("ws", F.col("j")).alias("triple"))
+    near = at.join(F.broadcast(triples), "triple", "left_semi") if fits(triples, rows) else _met(cut, at.drop("ws"), triples, rows)
     tries = F.array(*(F.struct((F.col("j") - mask[0]).alias("at"), F.lit(n).alias("n"), _hash(n, k, [word("ws", F.col("j") + (i - mask[0])) for i in mask]).alias("h")) for n, k, mask in looks))
     hashed = near.select("doc_id", "th", "ws", F.explode(tries).alias("t")).filter((F.col("t.at") >= 0) & (F.col("t.at") + F.col("t.n") <= F.size("ws")))
     hashed = hashed.select("doc_id", "th", "t.at", "t.n", "t.h", F.slice("ws", F.col("t.at") + 1, F.col("t.n")).alias("got"))
     # verified before they are gathered, so that a common half of an item costs no memory
     equal = F.size(F.filter(F.zip_with("win", "got", lambda a, b: a.eqNullSafe(b)), lambda e: e))
-    sure = hashed.join(small(found), "h").filter((F.size("win") == F.col("n")) & (equal * 6 >= F.col("n") * 5))
+    sure = hashed.join(small(found, rows), "h").filter((F.size("win") == F.col("n")) & (equal * 6 >= F.col("n") * 5))
     hits = sure.groupBy("doc_id", "th").agg(F.min("item_id").alias("item_id"), F.collect_set(F.struct("at", "n")).alias("hits"))
     covered = F.flatten(F.transform("hits", lambda x: F.sequence(x["at"], x["at"] + x["n"] - 1)))
     count = lambda c: F.size(F.array_distinct(c)).cast("long")
