@@ -7,6 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ebbmark.llm import decontam, pii, secrets, tagger
 
@@ -56,6 +57,11 @@ def test_leaks_at_every_place_of_changes(spark):
     bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
     got = {r.doc_id: (r.n_windows, r.n_words) for r in decontam.leaks(frame(spark, [" ".join(w) for w in texts]), bench).collect()}
     assert got == want
+    docs = frame(spark, [" ".join(w) for w in texts])
+    docs = docs.unionByName(docs.filter("doc_id < 9").withColumn("doc_id", F.lit(None).cast("long"))).unionByName(docs.filter("doc_id < 5"))
+    found = decontam.leaks(docs, bench, rows=0)
+    assert {r.doc_id: (r.n_windows, r.n_words) for r in found.collect() if r.doc_id is not None} == want
+    assert found.filter("doc_id is null").count() == decontam.leaks(docs, bench).filter("doc_id is null").count() > 0
 
 
 # --- 2 secrets
@@ -94,6 +100,20 @@ def test_repeated_doubling_and_long_runs_take_linear_time():
     assert time.monotonic() - begin < 20
 
 
+def test_constants_bound_after_their_use():
+    assert _found('credential = k\nk = "Zx8fQ2LmNp4RtVw"') == ["Zx8fQ2LmNp4RtVw"]
+    assert _found('credential = "" + a_\na_ = b_\nb_ = c_\nc_ = "Zx8fQ2LmNp4RtVw"') == ["Zx8fQ2LmNp4RtVw"]
+    assert _found("credential = k\nk = k\n" * 3) == []
+    chain = "\n".join(f"n{i} = n{i + 1}" for i in range(5000))
+    assert _found(f'credential = n0\n{chain}\nn5000 = "Zx8fQ2LmNp4RtVw"') == ["Zx8fQ2LmNp4RtVw"]
+
+
+def test_letters_of_names_are_ascii():
+    for text in ("\u017fecret=abcdefgh1", "\u017fecret=abcdefgh1 token", "to\u212aen=abcdefgh1 secret"):
+        assert [s for s in secrets.spans_of(text) if s[0] == "assign"] == []
+    assert [s[0] for s in secrets.spans_of("SeCrEt=abcdefgh1")] == ["assign"]
+
+
 # --- 5 personal data
 
 
