@@ -1,46 +1,51 @@
 """Quality rules with risk-controlled thresholds.
 
 Base rules fail a text with fewer than 10 words, or with more than a fifth of its words in five-word
-windows that it repeats. The method adds rules "signal above cutoff" whose cutoffs are learned from
-labelled documents: in each stratum and for each signal, cutoffs are tried from the mildest on, and one
-is certified while the exact binomial upper bound of the share of good documents that it rejects stays
-within the signal's part of ``risk``. Trying in a fixed order and stopping at the first failure needs no
-further correction; over signals and strata the error level ``delta`` is divided (Bonferroni), so with
-probability 1 - delta no stratum loses more than ``risk`` of its good documents to these rules. Of the
-certified cutoffs the one that rejects most labelled bad documents is used, a good one counting ten
-times. A stratum with too few labels gets no cutoff and loses nothing to the method.
-
-All labelled rows are used. What reaches the driver is a histogram per stratum that has enough good
-labels, so at most labels / 100 strata.
+windows that it repeats. The method adds one rule per stratum, "any signal above its cutoff", with cutoffs
+learned from labelled documents. STEPS are fixed beforehand: step k gives every signal its k-th cutoff, so
+each step rejects all that the one before rejects. In each stratum they are tried from the mildest on, and
+one is certified while the exact binomial upper bound of the share of good documents that it rejects stays
+within ``risk``. Trying in a fixed order and stopping at the first failure needs no further correction; over
+strata the error level ``delta`` is divided by their number (Bonferroni), so with probability 1 - delta no
+stratum loses more than ``risk`` of its good documents to these rules. Of the certified steps the one that
+rejects most labelled bad documents is used, a good one counting ten times. A stratum whose good labels are
+too few to certify even a step without any false rejection gets no rule; such strata are known by their
+number of good labels alone, so they do not count in the division.
+
+All labelled rows are used, and only texts of labelled documents are scored for the cutoffs. What reaches
+the driver is a histogram over the steps for each stratum that has enough good labels.
 
 Nulls and edges: a null text has no words and fails the base rule; a null stratum is one of its own;
-repeated label rows of a document count once, as bad if they disagree; with no labels only the base
-rules act.
+repeated label rows of a document count once, as bad if they disagree; rows that repeat a doc_id are scored
+and judged each; with no labels only the base rules act; an empty table gives no rows; texts may be of any
+length, a batch holds a few megabytes; docs keep their columns, those named __q, __failed, __stratum,
+__step and __kept are replaced.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ebbmark.core.tables import small, table
 from ebbmark.llm.batches import bounded
 from ebbmark.llm.words import WordHashes, windows
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
-#: Fixed cutoffs tried for each signal, mildest first.
+#: Fixed cutoffs of each signal, one for every step, mildest first.
 CUTOFFS = {
-    "symbol_share": [0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1, 0.08, 0.06, 0.04, 0.03, 0.02],
-    "capital_share": [0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2],
-    "bang_share": [0.9, 0.7, 0.5, 0.4, 0.3, 0.2, 0.15, 0.1],
-    "dup_line_share": [0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2],
-    "repeat_share": [0.2, 0.175, 0.15, 0.125, 0.1, 0.075, 0.05],
+    "symbol_share": [0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.12, 0.1, 0.08, 0.06, 0.04, 0.03],
+    "capital_share": [0.9, 0.8, 0.7, 0.6, 0.55, 0.5, 0.45, 0.4, 0.35, 0.3, 0.25, 0.2],
+    "bang_share": [0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.12, 0.1],
+    "dup_line_share": [0.9, 0.85, 0.8, 0.75, 0.7, 0.65, 0.6, 0.55, 0.5, 0.45, 0.4, 0.35],
+    "repeat_share": [0.2, 0.19, 0.18, 0.17, 0.16, 0.15, 0.14, 0.13, 0.12, 0.11, 0.1, 0.08],
 }
+STEPS = 12
 SIGNALS = tuple(CUTOFFS)
 #: 1 for capitals and 2 for small letters of the Latin, Greek and Cyrillic blocks.
 _CASE = np.array([chr(c).isupper() + 2 * chr(c).islower() for c in range(0x530)] + [0], np.int8)
@@ -89,7 +94,8 @@ def _counter():
 
 
 def scored(docs: DataFrame, stratum: str = "lang") -> DataFrame:
-    """docs with a struct ``__q`` of counts, ``__failed`` (base), ``__stratum`` and ``__signals`` (shares)."""
+    """docs with a struct ``__q`` of counts, ``__failed`` (base), ``__stratum`` and ``__step``: the first
+    step that rejects the row, or null."""
     bounded(docs.sparkSession)
     q = lambda c: F.col(f"__q.{c}")
     per = lambda a, b: q(a) / F.greatest(q(b), F.lit(1))
@@ -100,9 +106,13 @@ def scored(docs: DataFrame, stratum: str = "lang") -> DataFrame:
         "dup_line_share": per("n_dup_lines", "n_lines"),
         "repeat_share": per("n_repeat_words", "n_words"),
     }
+    step = F.lit(None).cast("int")
+    for k in reversed(range(STEPS)):
+        over = [shares[s] > CUTOFFS[s][k] for s in SIGNALS]
+        step = F.when(over[0] | over[1] | over[2] | over[3] | over[4], k + 1).otherwise(step)
     out = docs.withColumn("__q", _counter()("text"))
     failed = (q("n_words") < 10) | (100 * q("n_repeat_words") > 20 * q("n_words"))
-    return out.withColumns({"__failed": failed, "__stratum": F.coalesce(F.col(stratum), F.lit("")), "__signals": F.struct(*(shares[s].alias(s) for s in SIGNALS))})
+    return out.withColumns({"__failed": failed, "__stratum": F.col(stratum).cast("string"), "__step": step})
 
 
 def binomial_tail(x: int, n: int, p: float) -> float:
@@ -113,51 +123,39 @@ def binomial_tail(x: int, n: int, p: float) -> float:
     return min(1.0, math.fsum(math.exp(at(k)) for k in range(x + 1)))
 
 
-def choose(good: dict, bad: dict, n_good: int, cutoffs: list[float], risk: float, delta: float) -> float | None:
-    """The certified cutoff of best use; good and bad count the labelled rows above each cutoff."""
+def choose(good: list[int], bad: list[int], n_good: int, risk: float, delta: float) -> int | None:
+    """The certified step of best use; good and bad count the labelled rows that each step rejects."""
     best, use = None, 0
-    for c in cutoffs:
-        if binomial_tail(good.get(c, 0), n_good, risk) > delta:
+    for k, (g, b) in enumerate(zip(good, bad), 1):
+        if binomial_tail(g, n_good, risk) > delta:
             break
-        if (gain := bad.get(c, 0) - 10 * good.get(c, 0)) > use:
-            best, use = c, gain
+        if b - 10 * g > use:
+            best, use = k, b - 10 * g
     return best
 
 
-def thresholds(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.05, delta: float = 0.05) -> dict[str, dict[str, float]]:
-    """stratum -> signal -> certified cutoff, from all rows of labels(doc_id, quality)."""
-    truth = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    level = lambda s: F.size(F.filter(F.array(*map(F.lit, CUTOFFS[s])), lambda c: F.col(f"__signals.{s}") > c))
-    # the cutoffs that a row exceeds are the mildest ones left out: falling lists
-    rows = scored(docs.select("doc_id", "text", stratum), stratum).filter("not __failed").select("doc_id", "__stratum", F.array(*(level(s) for s in SIGNALS)).alias("levels"))
-    rows = rows.join(truth, "doc_id").select("__stratum", "quality", F.posexplode("levels").alias("signal", "level"))
-    each = rows.groupBy("__stratum", "signal", "level").agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") != 1).alias("bad"))
-    enough = each.groupBy("__stratum").agg((F.sum("good") / len(SIGNALS)).alias("n_good")).filter("n_good >= 100")
-    table: dict[str, dict[int, tuple[Counter, Counter]]] = {}
-    for r in each.join(enough, "__stratum").collect():
-        good, bad = table.setdefault(r["__stratum"], {}).setdefault(r["signal"], (Counter(), Counter()))
-        cuts = CUTOFFS[SIGNALS[r["signal"]]]
-        good["n"] += r["good"]
-        for c in cuts[len(cuts) - r["level"] :]:
-            good[c] += r["good"]
-            bad[c] += r["bad"]
-    tests = len(SIGNALS) * max(1, len(table))
-    out: dict[str, dict[str, float]] = {}
-    for name, by in table.items():
-        for i, (good, bad) in by.items():
-            cut = choose(good, bad, good["n"], CUTOFFS[SIGNALS[i]], risk / len(SIGNALS), delta / tests)
-            if cut is not None:
-                out.setdefault(name, {})[SIGNALS[i]] = cut
+def thresholds(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.05, delta: float = 0.05) -> dict[str | None, int]:
+    """stratum -> certified step, from all rows of labels(doc_id, quality)."""
+    truth = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("__quality"))
+    known = docs.select("doc_id", "text", F.col(stratum).alias("__name")).join(small(table(truth, "truth")), "doc_id")
+    rows = scored(known, "__name").filter("not __failed").select("__stratum", "__quality", F.coalesce("__step", F.lit(STEPS + 1)).alias("step"))
+    each = rows.groupBy("__stratum", "step").agg(F.count_if(F.col("__quality") == 1).alias("good"), F.count_if(F.col("__quality") != 1).alias("bad"))
+    least = math.log(delta) / math.log1p(-risk)  # with fewer good labels, none rejected certifies nothing
+    found = each.groupBy("__stratum").agg(F.sum("good").alias("n"), F.collect_list(F.struct("step", "good", "bad")).alias("steps")).filter(F.col("n") >= least).collect()
+    out = {}
+    for r in found:
+        good, bad = ([sum(x[side] for x in r["steps"] if x["step"] <= k) for k in range(1, STEPS + 1)] for side in ("good", "bad"))
+        step = choose(good, bad, r["n"], risk, delta / len(found))
+        if step is not None:
+            out[r["__stratum"]] = step
     return out
 
 
 def judged(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.05, delta: float = 0.05) -> DataFrame:
-    """scored() docs with the boolean ``__kept``: false if a base rule or a certified cutoff rejects."""
-    cuts = thresholds(docs, labels, stratum, risk, delta)
+    """scored() docs with the boolean ``__kept``: false if a base rule or a certified step rejects."""
     verdict = F.lit(False)
-    for name, by in sorted(cuts.items()):
-        for s, c in sorted(by.items()):
-            verdict = verdict | ((F.col("__stratum") == name) & (F.col(f"__signals.{s}") > c))
+    for name, step in thresholds(docs, labels, stratum, risk, delta).items():
+        verdict = verdict | (F.col("__stratum").eqNullSafe(F.lit(name)) & (F.coalesce("__step", F.lit(STEPS + 1)) <= step))
     return scored(docs, stratum).withColumn("__kept", ~F.col("__failed") & ~verdict)
 
 
