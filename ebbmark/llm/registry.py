@@ -42,10 +42,15 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation, written as a raw transcript, parsed back into canonical turns."""
+    """Every conversation, written as a raw transcript, parsed back into canonical turns.
+
+    Fitted on half of the conversations, by hash; ``right`` tells for the others whether all roles are equal.
+    """
     raw = table(chat.transcripts(_read(spark, sf_dir, "conversations")), "transcripts")
-    model = chat.parameters(chat.counts(raw))
-    return chat.formatted(raw, model).select("conv_id", "part", F.size("roles_found").cast("long").alias("n_turns"), F.array_join("roles_found", ",").alias("roles"), "rendered")
+    held = F.pmod(F.xxhash64("conv_id"), F.lit(2)) == 1
+    model = chat.parameters(chat.counts(raw.filter(~held)))
+    right = F.when(held, F.col("roles_found") == F.col("roles"))
+    return chat.formatted(raw, model).select("conv_id", "part", F.size("roles_found").cast("long").alias("n_turns"), F.array_join("roles_found", ",").alias("roles"), "rendered", right.alias("right"))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

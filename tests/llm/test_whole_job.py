@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ebbmark.llm import decontam, pii, secrets, tagger
+from ebbmark.llm import chat, decontam, pii, secrets, tagger
 
 SCHEMA = "doc_id long, text string, lang string, source string, kept string"
 
@@ -134,3 +134,42 @@ def test_every_training_form_reaches_the_decoder(monkeypatch):
     seen.clear()
     pii.tagged(["some words stand here and more of them follow until the end of the line. " * 4], {})
     assert not seen
+
+
+# --- 6 chat
+
+
+def test_long_conversations_are_decoded_as_one(spark):
+    rng = random.Random(8)
+    turns = []
+    for c in range(6):
+        for t in range(rng.choice([1, 5, 40, 300])):
+            role = rng.choice(["user", "assistant"]) if t else "system"
+            turns.append((c, t, role, "\n".join(" ".join(["word"] * rng.randint(1, 60)) + rng.choice([".", "?"]) for _ in range(rng.randint(1, 3)))))
+    turns += [(None, t, "user" if t % 2 else "assistant", f"again {t}?") for t in range(30)]
+    turns += [(7, t, "user", None) for t in range(20)] + [(8, 0, "user", "hi"), (8, 0, "user", "hi"), (8, None, "bot", "x"), (9, 12, "assistant", "late"), (9, 3, "user", " ")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    model = chat.parameters(chat.counts(chat.transcripts(df)))
+    whole = {r.conv_id: r for r in chat.formatted(chat.transcripts(df, part=10**6), model).collect()}
+    assert len(whole) == 10 and whole[7].rendered == "" and whole[7].roles_found == [] and whole[8].rendered.count("hi") == 2
+    for part in (1, 7):
+        by = {}
+        for r in chat.formatted(chat.transcripts(df, part=part), model).orderBy("part").collect():
+            by.setdefault(r.conv_id, []).append(r)
+        for c, rows in by.items():
+            assert "\n".join(r.rendered for r in rows if r.rendered) == whole[c].rendered
+            assert [x for r in rows for x in r.roles_found] == whole[c].roles_found
+    assert chat.formatted(chat.transcripts(df.limit(0)), model).count() == 0 and not chat.counts(chat.transcripts(df.limit(0))).any()
+
+
+def test_borders_lie_on_the_best_path():
+    rng = np.random.default_rng(3)
+    start, step, emit = rng.normal(size=6), rng.normal(size=(6, 6)), rng.normal(size=(6, chat.WIDTH))
+    for _ in range(20):
+        x = np.stack([rng.integers(0, n, 30) for n in chat.SIZES], axis=1)
+        cuts = [0, *sorted(rng.choice(np.arange(1, 30), 4, replace=False)), 30]
+        ends = chat.borders([chat.across(x[a:b], start, step, emit) for a, b in zip(cuts, cuts[1:])])
+        path = chat.viterbi(x, start, step, emit)
+        assert ends == [path[b - 1] for b in cuts[1:]]
+        parts = [chat.viterbi(x[a:b], start, step, emit, before, end) for a, b, before, end in zip(cuts, cuts[1:], [-1, *ends], ends)]
+        assert (np.concatenate(parts) == path).all()
