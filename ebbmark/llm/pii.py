@@ -5,21 +5,25 @@ with CRF transitions over characters. It is trained on the driver from labelled
 the base spans of at most TRAIN_DOCS documents (the least by hash among those with an @ or a digit), the
 same windows with the entity rewritten in other forms (spelled-out or defanged addresses, numbers
 without + or with other separators), and windows with numbers that are no personal data. It then reads
-every text: a text is covered by windows of WINDOW characters every STRIDE; each window that has an @, a
-digit or an ``at`` between blanks or brackets, with a dot or ``dot`` to follow, is decoded, and so are the windows next to
-it, which settle the tags near its edges. No other can hold one of the kinds: a plausible address has an @ or such an ``at``, the other kinds have digits. Overlapping windows are
-reconciled over the whole text: each character takes its tag from the window in which it lies farthest
-from an edge. Runs of one kind that are plausible (digit counts, Luhn, number ranges) and lie in no base
-span are ``seq_`` spans.
+every text as overlapping windows of WINDOW characters, one every STRIDE, reconciled over the whole text:
+each character takes its tag from the window in which it lies farthest from an edge, so each window owns the
+STRIDE characters in its middle. Runs of one kind that are plausible (digit counts, Luhn, number ranges) and
+lie in no base span are ``seq_`` spans.
+
+Only windows that can matter are computed, with the result of computing all: a plausible run holds a digit,
+an @ or an ``at`` between blanks or brackets, so the owners of those characters are decoded, and then, as long
+as a run reaches the edge of what is decoded, the window beyond it.
 
 Nulls and edges: a null text is empty; with no usable document the tagger learns from made-up windows
-alone. Offsets are code points, end exclusive.
+alone; repeated rows are scanned each; an empty table gives no rows; texts may be of any length; docs keep
+their columns, one named spans is replaced. Offsets are code points, end exclusive.
 """
 
 from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from functools import partial
 
 import numpy as np
@@ -33,9 +37,11 @@ from ebbmark.llm.secrets import joined
 
 KINDS = ("email", "ip", "card", "phone")
 ALL = (*KINDS, *(f"seq_{k}" for k in KINDS))
-#: Bounds of the training sample: documents, and characters of each. Reading texts has no such bound.
-TRAIN_DOCS, TRAIN_CHARS = 300, 20_000
-WINDOW, STRIDE, DECODE = 80, 40, 256
+#: Bounds of the training sample: documents, characters of each, base spans of each, and windows around base
+#: spans in all; then the number of made-up windows. Reading texts has no such bounds.
+TRAIN_DOCS, TRAIN_CHARS, TRAIN_SPANS, TRAIN_BASE, TRAIN_MADE = 300, 20_000, 6, 300, 2000
+WINDOW, STRIDE, DECODE = 80, 40, 512
+_EDGE = (WINDOW - STRIDE) // 2
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -43,8 +49,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]")
-#: What every plausible span holds: an @, a digit, or an at with a dot after one word or none.
-_ANCHOR = re.compile(r"[0-9@]|[\s\[(]at(?=[\s\])]\s{0,2}[\w-]*\s{0,2}[\[(]?(?:\.|dot)[\])]?\s{0,2}[\w-])", re.IGNORECASE)
+#: What every plausible span holds: a digit, an @, or an at between blanks or brackets.
+_ANCHOR = re.compile(r"[0-9@]|[\s\[({]at(?=[\s\])}])", re.IGNORECASE)
 
 
 def luhn(digits: str) -> bool:
@@ -85,7 +91,8 @@ def _made(kind: str, rng: random.Random) -> str:
     word = lambda a, b: "".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(rng.randint(a, b)))
     num = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
     if kind == "email":
-        return f"{word(3, 8)}{rng.choice(['.', '_', ''])}{num(rng.randint(0, 2))}@{word(3, 8)}.{rng.choice(['com', 'org', 'net', 'de', 'example.com'])}"
+        name = rng.choice([word(3, 8), word(3, 8), f"{word(1, 8)}{rng.choice('._-')}{word(3, 8)}"])
+        return f"{name}{num(rng.choice([0, 0, 1, 2]))}@{word(3, 8)}.{rng.choice(['com', 'org', 'net', 'de', 'example.com'])}"
     if kind == "ip":
         return ".".join(str(rng.randint(0, 255)) for _ in range(4))
     if kind == "card":
@@ -96,8 +103,12 @@ def _made(kind: str, rng: random.Random) -> str:
 
 def _rewritten(kind: str, s: str, rng: random.Random) -> str:
     if kind == "email":
-        at, dot = rng.choice([("@", "."), (" at ", " dot "), ("(at)", "."), ("[at]", "[dot]"), (" at ", "."), (" (at) ", " (dot) "), (" AT ", " DOT "), ("(AT)", "."), ("[AT]", "[DOT]")])
-        return s.replace("@", at).replace(".", dot) if at != "@" else s
+        at, dot = rng.choice([("@", "."), (" at ", " dot "), ("(at)", "."), ("[at]", "[dot]"), (" at ", "."), (" (at) ", " (dot) "), ("{at}", "{dot}")])
+        if at == "@":
+            return s
+        out = s.replace("@", at)
+        out = out[: out.index(at) + len(at)] + out[out.index(at) + len(at) :].replace(".", dot)
+        return out.upper() if rng.random() < 0.2 else out
     digits = "".join(_DIGITS.findall(s))
     if kind == "ip":
         return s.replace(".", rng.choice([".", "[.]", "(.)"]))
@@ -105,6 +116,12 @@ def _rewritten(kind: str, s: str, rng: random.Random) -> str:
         sep = rng.choice(["", " ", "-", ".", "/", "_"])
         return sep.join(digits[i : i + 4] for i in range(0, len(digits), 4))
     d = digits[-10:].rjust(10, "5")
+    if rng.random() < 0.3:  # groups of any size, by one separator
+        sep, out, rest = rng.choice("/ -."), "0" * rng.randint(1, 2), d
+        while len(rest) > 5:
+            k = rng.randint(2, 4)
+            out, rest = out + rest[:k] + sep, rest[k:]
+        return out + rest
     return rng.choice([s, f"({d[:3]}) {d[3:6]}-{d[6:]}", f"{d[:3]}-{d[3:6]}-{d[6:]}", f"{d[:3]}.{d[3:6]}.{d[6:]}", f"00{digits[:2]} {d[:3]} {d[3:]}", f"+{digits[:2]}/{d[:4]}/{d[4:]}"])
 
 
@@ -118,6 +135,12 @@ def _nothing(rng: random.Random) -> str:
             f"v{num(1)}.{num(1)}.{num(2)}",
             "".join(rng.choice("0123456789abcdef") for _ in range(rng.randint(12, 40))),
             num(rng.randint(1, 8)),
+            num(16),
+            f"{num(2)}/{num(2)}/{num(4)}",
+            f"{num(1)}.{num(1)}",
+            f"{num(2)},{num(3)},{num(3)}",
+            f"section {num(1)}.{num(2)}.{num(1)}",
+            f"{rng.choice(['look', 'sit', 'met', 'arrive'])} at {rng.choice(['home', 'noon', 'the gate', 'last'])}. Then",
             f"AKIA{num(4)}XK{num(3)}",
             "@" + rng.choice(["home", "work", "user1"]),
             f"{num(3)} at {num(2)}",
@@ -125,7 +148,13 @@ def _nothing(rng: random.Random) -> str:
     )
 
 
-def training_windows(texts: list[str], seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+#: By their share in many languages.
+LETTERS = "aaaabccddddeeeeeeefghhiiiiiklllmmnnnnnooooopprrrrrsssssttttttuuvwyz"
+#: Words that may stand before personal data in made-up windows.
+CUES = {"email": ("mail", "write to", "contact", "mail me at"), "ip": ("host", "server", "from", "address"), "card": ("card", "pay with", "number"), "phone": ("call", "phone", "tel", "or")}
+
+
+def training_windows(texts: list[str], seed: int = 11, made: int = TRAIN_MADE) -> tuple[np.ndarray, np.ndarray]:
     """Character ids and BIO tags (0, then 1 + 2k and 2 + 2k of kind k)."""
     rng, xs, ys = random.Random(seed), [], []
 
@@ -143,25 +172,30 @@ def training_windows(texts: list[str], seed: int = 11) -> tuple[np.ndarray, np.n
 
     plain = [t for t in texts if len(t) > 200] or ["some words stand here and more of them follow until the end of the line. " * 4]
     for t in texts:
-        for kind, a, b in base_spans(t)[:6]:
+        for kind, a, b in base_spans(t)[:TRAIN_SPANS]:
             left, right = t[max(0, a - WINDOW) : a], t[b : b + WINDOW]
             if not base_spans(left) and not base_spans(right):
                 add(left, kind, t[a:b], right)
-    xs, ys = xs[:300], ys[:300]
-    for i in range(480):
+    xs, ys = xs[:TRAIN_BASE], ys[:TRAIN_BASE]
+    for i in range(made):
         t = rng.choice(plain)
         a = rng.randrange(max(1, len(t) - 2 * WINDOW))
-        left, right = re.sub(r"[0-9@+]", "x", t[a : a + WINDOW]) + " ", " " + re.sub(r"[0-9@+]", "x", t[a + WINDOW : a + 2 * WINDOW])
-        kind = KINDS[i % 4] if i % 3 else None
-        add(left, kind, _rewritten(kind, _made(kind, rng), rng) if kind else _nothing(rng), right)
+        left, right = re.sub(r"[0-9@+]", "x", t[a : a + WINDOW]), re.sub(r"[0-9@+]", "x", t[a + WINDOW : a + 2 * WINDOW])
+        if rng.random() < 0.5:  # words of other languages than the sample's
+            left, right = (" ".join("".join(rng.choice(LETTERS) for _ in range(rng.choice([1, 2, 2, 3, 3, 4, 5, 6, 8]))) for _ in range(WINDOW // 3)) for _ in range(2))
+        kind = KINDS[i % 5] if i % 5 < 4 else None
+        cue = rng.choice(CUES[kind] if kind else ("on", "since", "is", "about")) + rng.choice([" ", ": ", " is "]) if rng.random() < 0.5 else ""
+        gap = rng.choice([" ", "\n", " (", ", "])
+        add(left + gap + cue, kind, _rewritten(kind, _made(kind, rng), rng) if kind else _nothing(rng), rng.choice([" ", ". ", ", ", ")", "\n"]) + right)
     return np.array(xs), np.array(ys)
 
 
 def plausible(kind: str, s: str) -> bool:
     digits = "".join(_DIGITS.findall(s))
     if kind == "email":
-        s = re.sub(r"(?i)\s?[\[(]dot[\])]\s?|\sdot\s", ".", s)  # also before the at
-        return bool(re.fullmatch(r"(?i)[\w.%+-]+\s?[\[(]?(?:@|at)[\])]?\s?[\w-]+(?:\s?[\[(]?(?:\.|dot)[\])]?\s?[\w-]+)+", s)) and ("@" in s or re.search(r"(?i)[\s\[(]at[\s\])]", s) is not None)
+        s = re.sub(r"(?i)\s?[\[({]dot[\])}]\s?|\sdot\s", ".", s)  # also before the at
+        whole = re.fullmatch(r"(?i)[\w.%+-]+\s?[\[({]?(?:@|at)[\])}]?\s?[\w-]+(?:\s?[\[({]?(?:\.|dot)[\])}]?\s?[\w-]+)+", s)
+        return whole is not None and ("@" in s or re.search(r"(?i)[\s\[({]at[\s\])}]", s) is not None)
     if kind == "ip":
         parts = re.findall(r"[0-9]+", s)
         return len(parts) == 4 and all(len(x) < 4 and int(x) < 256 for x in parts) and not re.search(r"[A-Za-z]", s)
@@ -172,50 +206,64 @@ def plausible(kind: str, s: str) -> bool:
     return 9 <= len(digits) <= 15 and (s[0] in "+(" or len(re.findall(r"[^0-9]+", s)) >= 2)
 
 
-def tagged(texts: list[str], model: dict) -> list[list[tuple[str, int, int]]]:
-    """The tagger's plausible spans of each text, whole texts, windows decoded in fixed-size batches."""
-    where, owners, starts = [], [], []
-    for i, t in enumerate(texts):
-        at = sorted({w for m in _ANCHOR.finditer(t) for w in range(m.start() // STRIDE - 2, m.start() // STRIDE + 2) if 0 <= w * STRIDE < len(t)})
-        owners += [i] * len(at)
-        starts += [w * STRIDE for w in at]
-    tags: dict[int, dict[int, tuple[int, int]]] = {}
-    for a in range(0, len(starts), DECODE):
-        o, s = owners[a : a + DECODE], starts[a : a + DECODE]
-        x = np.array([tagger.codes(texts[i][b : b + WINDOW], WINDOW) for i, b in zip(o, s)])
-        found = tagger.decode(model, x)
-        for i, b, row in zip(o, s, found):
-            mine = tags.setdefault(i, {})
-            for j in np.flatnonzero(row) if row.any() else ():
-                mine.setdefault(b + int(j), (-1, 0))
-            for j in range(min(WINDOW, len(texts[i]) - b)):
-                inner = min(j, WINDOW - 1 - j) if b else WINDOW if j < STRIDE else WINDOW - 1 - j
-                if b + j in mine or row[j]:
-                    if inner > mine.get(b + j, (-1, 0))[0]:
-                        mine[b + j] = (inner, int(row[j]))
-                else:
-                    mine[b + j] = (inner, 0)
-    for i in range(len(texts)):
-        spans, run, kind = [], None, -1
-        mine = tags.get(i, {})
-        for j in [*sorted(mine), None]:
-            tag = mine[j][1] if j is not None else 0
-            k = (tag - 1) // 2 if tag else -1
-            if run is not None and (k != kind or tag % 2 == 1 or j != run[1]):
-                spans.append((KINDS[kind], *run))
-                run = None
-            if k >= 0:
-                run, kind = (run[0] if run else j, j + 1), k
-        out = []
-        for name, a, b in spans:
-            while a < b and not (texts[i][a].isalnum() or texts[i][a] in "+("):
-                a += 1
-            while b > a and not texts[i][b - 1].isalnum():
-                b -= 1
-            if a < b and plausible(name, texts[i][a:b]):
-                out.append((name, a, b))
-        where.append(out)
-    return where
+def _zones(texts: list[str], model: dict, whole: bool) -> dict[tuple[int, int], np.ndarray]:
+    """Tags of the characters that each decoded window owns, by (text, window)."""
+    owner = lambda j: max(0, (j - _EDGE) // STRIDE)
+    todo = {(i, w) for i, t in enumerate(texts) for w in (range(owner(len(t) - 1) + 1) if whole else {owner(m.start()) for m in _ANCHOR.finditer(t)})}
+    out: dict[tuple[int, int], np.ndarray] = {}
+    while todo:
+        keys, todo = sorted(todo), set()
+        for a in range(0, len(keys), DECODE):
+            some = keys[a : a + DECODE]
+            x = np.array([tagger.codes(texts[i][w * STRIDE : w * STRIDE + WINDOW], WINDOW) for i, w in some])
+            for (i, w), row in zip(some, tagger.decode(model, x)):
+                z = row[_EDGE if w else 0 : min(_EDGE + STRIDE, len(texts[i]) - w * STRIDE)]
+                out[i, w] = z
+                if len(z) and z[0] and w:
+                    todo.add((i, w - 1))
+                if len(z) and z[-1] and w * STRIDE + _EDGE + STRIDE < len(texts[i]):
+                    todo.add((i, w + 1))
+        todo -= out.keys()
+    return out
+
+
+def _settled(text: str, a: int, b: int, kinds: list[str]) -> tuple[str, int, int] | None:
+    """The longest plausible part of text[a:b] when up to three words are left off at either end, as the
+    first of these kinds that it can be."""
+    words = [m.span() for m in re.finditer(r"\S+", text[a:b])]
+    parts = [(i, j) for i in range(min(4, len(words))) for j in range(max(i, len(words) - 4), len(words))]
+    for i, j in sorted(parts, key=lambda p: (p[0] - p[1], p[0])):
+        x, y = a + words[i][0], a + words[j][1]
+        while x < y and not (text[x].isalnum() or text[x] in "+("):
+            x += 1
+        while y > x and not text[y - 1].isalnum():
+            y -= 1
+        for kind in kinds if x < y else ():
+            if plausible(kind, text[x:y]):
+                return kind, x, y
+    return None
+
+
+def tagged(texts: list[str], model: dict, whole: bool = False) -> list[list[tuple[str, int, int]]]:
+    """The tagger's plausible spans of each text. ``whole`` decodes all windows, with the same result.
+
+    A run of tagged characters is a span of the kind that most of them show, or else of another that it can be.
+    """
+    runs: list[list[list]] = [[] for _ in texts]  # start, end, kind of each character
+    for (i, w), z in sorted(_zones(texts, model, whole).items()):
+        base = w * STRIDE + (_EDGE if w else 0)
+        for j in np.flatnonzero(z).tolist():
+            kind, inside = divmod(int(z[j]) - 1, 2)
+            if runs[i] and runs[i][-1][1] == base + j and (inside or not texts[i][base + j - 1].isspace()):
+                runs[i][-1][1] += 1
+                runs[i][-1][2].append(kind)
+            else:
+                runs[i].append([base + j, base + j + 1, [kind]])
+    out = []
+    for t, found in zip(texts, runs):
+        by = [(a, b, [KINDS[k] for k, _ in Counter(ks).most_common()]) for a, b, ks in found]
+        out.append([s for a, b, first in by if (s := _settled(t, a, b, first + [k for k in KINDS if k not in first]))])
+    return out
 
 
 def fit(docs: DataFrame) -> dict:
@@ -225,7 +273,7 @@ def fit(docs: DataFrame) -> dict:
     least = [r["h"] for r in some.select("h").distinct().orderBy("h").limit(TRAIN_DOCS).collect()]
     rows = some.filter(F.col("h").isin(least)).groupBy("h").agg(F.min(F.substring("text", 1, TRAIN_CHARS)).alias("text")).orderBy("h").collect()
     x, y = training_windows([r["text"] for r in rows])
-    return tagger.train(x, y, 1 + 2 * len(KINDS))
+    return tagger.train(x, y, 1 + 2 * len(KINDS), epochs=10, batch=64, rate=0.025)
 
 
 def spans_of(texts: list[str | None], model: dict) -> list[list[tuple[str, int, int]]]:

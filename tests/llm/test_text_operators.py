@@ -131,7 +131,7 @@ def test_pii_base_on_random_strings():
 
 def test_pii_digest_keeps_base_and_adds_plausible_spans(spark):
     texts = ["mail me at joe.x@site.example.com now", None, "", "no numbers here", "call +49 123 456 7890 or 10.0.0.1"]
-    model = tagger.train(*pii.training_windows([t for t in texts if t] * 5), 9, epochs=8)
+    model = tagger.train(*pii.training_windows([t for t in texts if t] * 5, made=600), 9, epochs=6)
     out = {r.doc_id: r for r in pii.digest(frame(spark, list(enumerate(texts))), model).collect()}
     for i, t in enumerate(texts):
         base = _base_pii(t or "")
@@ -141,14 +141,14 @@ def test_pii_digest_keeps_base_and_adds_plausible_spans(spark):
 
 
 def test_tagger_learns_held_out_windows():
-    x, y = pii.training_windows([], seed=1)
-    held_x, held_y = pii.training_windows([], seed=2)
+    x, y = pii.training_windows([], seed=1, made=1000)
+    held_x, held_y = pii.training_windows([], seed=2, made=200)
     found = tagger.decode(tagger.train(x, y, 9), held_x[:200])
     assert (found == held_y[:200])[held_y[:200] > 0].mean() > 0.9 and (found == held_y[:200]).mean() > 0.95
 
 
 def test_tagger_gradients():
-    x, y = pii.training_windows([], seed=3)
+    x, y = pii.training_windows([], seed=3, made=4)
     p = {k: v.astype(np.float64) for k, v in tagger.init(9, 1).items()}
     _, g = tagger.loss_and_gradients(p, x[:2], y[:2])
     for k in ("W", "O", "T", "b"):
