@@ -10,9 +10,12 @@ each character takes its tag from the window in which it lies farthest from an e
 STRIDE characters in its middle. Runs of one kind that are plausible (digit counts, Luhn, number ranges) and
 lie in no base span are ``seq_`` spans.
 
+A run is settled as its longest plausible part: with the rest of the words at its ends, without it, or without
+up to three words at either end.
+
 Only windows that can matter are computed, with the result of computing all: a plausible run holds a digit,
-an @ or an ``at`` between blanks or brackets, so the owners of those characters are decoded, and then, as long
-as a run reaches the edge of what is decoded, the window beyond it.
+an @ or an ``at`` between blanks or brackets, or reaches into a word that does, so the owners of those words
+are decoded, and then, as long as a run reaches the edge of what is decoded, the window beyond it.
 
 Nulls and edges: a null text is empty; with no usable document the tagger learns from made-up windows
 alone; repeated rows are scanned each; an empty table gives no rows; texts may be of any length; docs keep
@@ -24,6 +27,7 @@ from __future__ import annotations
 import random
 import re
 from collections import Counter
+from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
@@ -49,6 +53,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]")
+_BLANK = re.compile(r"\s")
 #: What every plausible span holds: a digit, an @, or an at between blanks or brackets.
 _ANCHOR = re.compile(r"[0-9@]|[\s\[({]at(?=[\s\])}])", re.IGNORECASE)
 
@@ -206,10 +211,23 @@ def plausible(kind: str, s: str) -> bool:
     return 9 <= len(digits) <= 15 and (s[0] in "+(" or len(re.findall(r"[^0-9]+", s)) >= 2)
 
 
+def _anchored(text: str) -> Iterator[tuple[int, int]]:
+    """The words that hold an anchor, and the blank before an at that is a word of its own."""
+    done = 0
+    for m in _ANCHOR.finditer(text):
+        if m.start() >= done:
+            a = m.start()
+            if text[a].isspace():
+                yield a, a + 1
+            else:
+                a, done = _token(text, a, a)
+                yield a, done
+
+
 def _zones(texts: list[str], model: dict, whole: bool) -> dict[tuple[int, int], np.ndarray]:
     """Tags of the characters that each decoded window owns, by (text, window)."""
     owner = lambda j: max(0, (j - _EDGE) // STRIDE)
-    todo = {(i, w) for i, t in enumerate(texts) for w in (range(owner(len(t) - 1) + 1) if whole else {owner(m.start()) for m in _ANCHOR.finditer(t)})}
+    todo = {(i, w) for i, t in enumerate(texts) for a, b in ([(0, len(t))] if whole else _anchored(t)) for w in range(owner(a), owner(b - 1) + 1)}
     out: dict[tuple[int, int], np.ndarray] = {}
     while todo:
         keys, todo = sorted(todo), set()
@@ -227,13 +245,22 @@ def _zones(texts: list[str], model: dict, whole: bool) -> dict[tuple[int, int],
     return out
 
 
+def _token(text: str, a: int, b: int) -> tuple[int, int]:
+    """a and b moved out to the blanks around them."""
+    while a and not text[a - 1].isspace():
+        a -= 1
+    m = _BLANK.search(text, b)
+    return a, m.start() if m else len(text)
+
+
 def _settled(text: str, a: int, b: int, kinds: list[str]) -> tuple[str, int, int] | None:
-    """The longest plausible part of text[a:b] when up to three words are left off at either end, as the
-    first of these kinds that it can be."""
-    words = [m.span() for m in re.finditer(r"\S+", text[a:b])]
-    parts = [(i, j) for i in range(min(4, len(words))) for j in range(max(i, len(words) - 4), len(words))]
-    for i, j in sorted(parts, key=lambda p: (p[0] - p[1], p[0])):
-        x, y = a + words[i][0], a + words[j][1]
+    """The longest plausible part, as the first of these kinds that it can be, of text[a:b] with the rest of
+    the words at its ends, without it, and without up to three words at either end."""
+    words = [(a + m.start(), a + m.end()) for m in re.finditer(r"\S+", text[a:b])]
+    first, last = (words[0][0], words[-1][1]) if words else (a, b)
+    out = _token(text, first, last)
+    begins, ends = {out[0], *(w[0] for w in words[:4])}, {out[1], *(w[1] for w in words[-4:])}
+    for x, y in sorted(((x, y) for x in begins for y in ends if x < y), key=lambda p: (p[0] - p[1], p[0])):
         while x < y and not (text[x].isalnum() or text[x] in "+("):
             x += 1
         while y > x and not text[y - 1].isalnum():
@@ -262,7 +289,12 @@ def tagged(texts: list[str], model: dict, whole: bool = False) -> list[list[tupl
     out = []
     for t, found in zip(texts, runs):
         by = [(a, b, [KINDS[k] for k, _ in Counter(ks).most_common()]) for a, b, ks in found]
-        out.append([s for a, b, first in by if (s := _settled(t, a, b, first + [k for k in KINDS if k not in first]))])
+        spans: list[tuple[str, int, int]] = []
+        for a, b, first in by:
+            s = _settled(t, a, b, first + [k for k in KINDS if k not in first])
+            if s and not (spans and s[1] < spans[-1][2]):
+                spans.append(s)
+        out.append(spans)
     return out
 
 
