@@ -11,12 +11,13 @@ from ebbmark.core.windows import KEY
 from ebbmark.functions import helpers
 
 
-def expanding_rank(obs: DataFrame, min_periods: int, key: tuple[str, ...] = KEY) -> DataFrame:
-    """Non-null rows of obs(key, date, value) with ``rank``."""
+def past_rank(obs: DataFrame, window: int | None, min_periods: int, key: tuple[str, ...] = KEY) -> DataFrame:
+    """Non-null rows of obs(key, date, value) with ``rank`` in all their past or in ``window`` rows of it."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date")
-        return pdf.assign(rank=helpers.causal_rank(pdf["value"].to_numpy(float), min_periods))
+        v = pdf["value"].to_numpy(float)
+        return pdf.assign(rank=helpers.causal_rank(v, min_periods) if window is None else helpers.rolling_rank(v, window, min_periods))
 
     rows = obs.filter("value is not null").select(*key, "date", "value")
     out = rows.groupBy(*key).applyInPandas(run, f"{_ddl(rows)}, rank double")

@@ -9,9 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ebbmark.core.tables import small, table
 from ebbmark.core.windows import KEY, ordered, ratio
 from ebbmark.functions import helpers
-from ebbmark.operators.readings import QUANTILES
+from ebbmark.operators.readings import QUANTILES, calibrated
 
 SIGNAL_KEY = ("entity_id", "side", "horizon")
 
@@ -34,25 +35,37 @@ def paired(forward: DataFrame, signals: DataFrame) -> DataFrame:
 def mean_difference(rows: DataFrame) -> DataFrame:
     """(key, difference, se, t_stat, n, n_signal, n_effective, lags): dummy regression, Newey-West errors.
 
-    rows(key, date, fwd, sig). For a constant and a dummy everything is sums: with u the residual and
-    m_g the group sizes, the dummy's variance needs only the Bartlett-weighted products of g = u *
-    (sig / n1 - (1 - sig) / n0), whose lag-l sum comes from a join of row numbers, one row per lag.
+    rows(key, date, fwd, sig). For a constant and a dummy everything is sums: with u the residual, the
+    dummy's variance needs only the Bartlett-weighted products of g = u * (sig / n1 - (1 - sig) / n0).
+    Bartlett weights over L lags are those of a box of L + 1 rows with itself, so their sum is the sum of
+    squares of g's moving totals over L + 1 rows, also those that reach over an end, by L + 1. Moving totals
+    are differences of one running total: a single ordered pass, whatever the number of lags.
     """
     key = list(SIGNAL_KEY)
-    means = rows.groupBy(*key).agg(
-        F.count("*").alias("n"),
-        F.count_if("sig").alias("n1"),
-        F.avg(F.when(F.col("sig"), F.col("fwd"))).alias("m1"),
-        F.avg(F.when(~F.col("sig"), F.col("fwd"))).alias("m0"),
+    means = table(
+        rows.groupBy(*key).agg(
+            F.count("*").alias("n"),
+            F.count_if("sig").alias("n1"),
+            F.avg(F.when(F.col("sig"), F.col("fwd"))).alias("m1"),
+            F.avg(F.when(~F.col("sig"), F.col("fwd"))).alias("m0"),
+        ),
+        "means",
     )
+    horizons = sorted(r[0] for r in means.select("horizon").distinct().collect())
     enough = means.filter("n >= 30 and n1 >= 5 and n - n1 >= 5")
     score = F.when(F.col("sig"), (F.col("fwd") - F.col("m1")) / F.col("n1")).otherwise(-(F.col("fwd") - F.col("m0")) / (F.col("n") - F.col("n1")))
-    scores = rows.join(enough, key).select(*key, F.row_number().over(Window.partitionBy(*key).orderBy("date")).alias("rn"), score.alias("g"))
     lags = F.greatest(F.col("horizon") - 1, F.lit(1))
-    later = scores.select(*key, F.explode(F.sequence(F.lit(0), lags)).alias("lag"), "rn", "g").withColumn("rn", F.col("rn") + F.col("lag"))
-    products = later.join(scores.withColumnRenamed("g", "g2"), [*key, "rn"])
-    weight = F.when(F.col("lag") == 0, 1.0).otherwise(2 * (1 - F.col("lag") / (lags + 1)))
-    variance = products.groupBy(*key).agg(F.sum(weight * F.col("g") * F.col("g2")).alias("v"))
+    by_date = Window.partitionBy(*key).orderBy("date")
+    summed = rows.join(small(enough), key).select(*key, "date", "n", score.alias("g"), F.row_number().over(by_date).alias("rn"))
+    summed = summed.withColumn("c", F.sum("g").over(by_date.rowsBetween(Window.unboundedPreceding, 0)))
+    before = F.lit(None).cast("double")
+    for h in horizons:
+        before = F.when(F.col("horizon") == h, F.lag("c", max(h, 2)).over(by_date)).otherwise(before)
+    moving = F.col("c") - F.coalesce(before, F.lit(0.0))
+    # residuals add up to zero, so what is left from a row on is minus the total before it
+    rest = F.when((F.col("rn") > 1) & (F.col("rn") > F.col("n") - lags), F.col("c") - F.col("g")).otherwise(0.0)
+    squares = summed.select(*key, (moving * moving + rest * rest).alias("sq"))
+    variance = squares.groupBy(*key).agg((F.sum("sq") / (F.first(lags) + 1)).alias("v"))
     se = F.sqrt(F.greatest(F.col("v"), F.lit(0.0)))
     tested = F.col("v").isNotNull()
     diff = F.when(tested, F.col("m1") - F.col("m0"))
@@ -150,10 +163,12 @@ def bootstrap_lift(rows: DataFrame, n_boot: int = 500, seed: int = 0, alpha: flo
         hit, sig = pdf["hit"].to_numpy(float), pdf["sig"].to_numpy(bool)
         first = pdf.iloc[0]
         reps = np.arange(first["chunk"] * chunk, min(n_boot, (first["chunk"] + 1) * chunk))
-        at = helpers.stationary_bootstrap(len(hit), mean_block or max(int(first["horizon"]), 2), [seed, _seed(*(first[k] for k in key))], reps)
-        n1 = sig[at].sum(axis=1)
-        ok = (n1 >= 5) & (len(hit) - n1 >= 5)
-        lift = (hit[at] * sig[at]).sum(axis=1)[ok] / n1[ok] - hit[at].mean(axis=1)[ok]
+        lift = []
+        for rep in reps:  # one replicate's rows at a time
+            at = helpers.stationary_bootstrap(len(hit), mean_block or max(int(first["horizon"]), 2), [seed, _seed(*(first[k] for k in key))], [rep])[0]
+            n1 = sig[at].sum()
+            if n1 >= 5 and len(hit) - n1 >= 5:
+                lift.append((hit[at] * sig[at]).sum() / n1 - hit[at].mean())
         return pd.DataFrame({**{k: first[k] for k in key}, "lift": lift}, index=range(len(lift)))
 
     draws = _fanned(rows.select(*key, "date", "hit", "sig"), key, n_boot, chunk).groupBy(*key, "chunk").applyInPandas(run, "entity_id string, side string, horizon int, lift double")
@@ -172,8 +187,8 @@ def bootstrap_bands(reads: DataFrame, n_boot: int = 500, block: int = 21, seed:
         pdf = pdf.sort_values("date")
         first, values = pdf.iloc[0], pdf["reading"].to_numpy(float)
         reps = np.arange(first["chunk"] * chunk, min(n_boot, (first["chunk"] + 1) * chunk))
-        at = helpers.stationary_bootstrap(len(values), block, [seed, _seed(*(first[k] for k in key))], reps)
-        q = np.quantile(values[at], probs, axis=1)
+        seeds = [seed, _seed(*(first[k] for k in key))]
+        q = np.stack([np.quantile(values[helpers.stationary_bootstrap(len(values), block, seeds, [rep])[0]], probs) for rep in reps], axis=1)
         return pd.DataFrame({**{k: first[k] for k in key}, "i": np.repeat(np.arange(len(probs)), len(reps)), "q": q.ravel()})
 
     drawn = _fanned(rows.join(enough.select(*key), key), key, n_boot, chunk).groupBy(*key, "chunk").applyInPandas(run, "entity_id string, side string, mode string, i int, q double")
@@ -183,34 +198,54 @@ def bootstrap_bands(reads: DataFrame, n_boot: int = 500, block: int = 21, seed:
     return ci.join(enough, key).select(*key, F.get(names, F.col("i")).alias("band"), F.get(F.array(*map(F.lit, probs)), F.col("i")).alias("quantile"), F.get("t", F.col("i")).alias("threshold"), lo.alias("lo"), hi.alias("hi"), (hi - lo).alias("width"))
 
 
-def binomial_quantiles(rates: DataFrame, max_inputs: int, quantiles: list[float], n_sim: int = 20_000, seed: int = 0) -> DataFrame:
-    """(entity_id, side, mode, k, quantile, reference): shares fired were k inputs independent.
+def binomial_quantiles(rates: DataFrame, max_inputs: int, quantiles: list[float]) -> DataFrame:
+    """(entity_id, side, mode, k, quantile, reference): shares fired were k inputs independent, exactly.
 
-    rates(entity_id, side, mode, fire_prob). Draws are rows: a hash of (seed, draw, input) below
-    fire_prob fires, and running sums over inputs give every k from one pass.
+    rates(entity_id, side, mode, fire_prob). The reference is the least j / k at which the binomial
+    distribution function reaches the quantile; its terms are running sums of logarithms over j.
     """
     key = ["entity_id", "side", "mode"]
-    draws = rates.select(*key, "fire_prob", F.explode(F.sequence(F.lit(1), F.lit(n_sim))).alias("draw"))
-    unit = lambda i: F.pmod(F.xxhash64(F.lit(seed), *key, "draw", i), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    hits = F.transform(F.sequence(F.lit(1), F.lit(max_inputs)), lambda i: (unit(i) < F.col("fire_prob")).cast("int"))
-    each = draws.select(*key, hits.alias("hits")).select(*key, "hits", F.explode(F.sequence(F.lit(2), F.lit(max_inputs))).alias("k"))
-    share = F.aggregate(F.slice("hits", 1, F.col("k")), F.lit(0), lambda a, b: a + b) / F.col("k")
-    q = each.groupBy(*key, "k").agg(F.percentile(share, F.array(*map(F.lit, quantiles))).alias("q"))
-    return q.select(*key, "k", F.explode(F.arrays_zip(F.array(*map(F.lit, quantiles)).alias("quantile"), F.col("q").alias("reference"))).alias("x")).select(*key, "k", "x.*")
+    p, k, j = F.col("fire_prob"), F.col("k"), F.col("j")
+    cells = rates.select(*key, "fire_prob", F.explode(F.sequence(F.lit(2), F.lit(max_inputs))).alias("k")).withColumn("j", F.explode(F.sequence(F.lit(0), k)))
+    upto = Window.partitionBy(*key, "k").orderBy("j")
+    steps = F.sum(F.when(j > 0, F.ln((k - j + 1) / j) + F.ln(p / (1 - p))).otherwise(0.0)).over(upto)
+    term = F.when(p <= 0, (j == 0).cast("double")).when(p >= 1, (j == k).cast("double")).otherwise(F.exp(k * F.ln(1 - p) + steps))
+    cdf = cells.withColumn("pmf", term).withColumn("cdf", F.sum("pmf").over(upto))
+    each = cdf.withColumn("quantile", F.explode(F.array(*map(F.lit, quantiles)))).filter(F.col("cdf") >= F.col("quantile") - 1e-12)
+    return each.groupBy(*key, "k", "quantile").agg((F.min("j") / F.first("k")).alias("reference"))
 
 
-def redundancy(reads: DataFrame, rates: DataFrame, nominal: int, quantile: float = 0.95, n_sim: int = 8000, seed: int = 0) -> DataFrame:
+def redundancy(reads: DataFrame, rates: DataFrame, nominal: int, quantile: float = 0.95) -> DataFrame:
     """(key, observed_quantile, nominal_k, effective_k, ratio): the k whose independent tail is nearest, least on ties."""
     key = ["entity_id", "side", "mode"]
     observed = reads.groupBy(*key).agg(F.percentile("reading", F.lit(quantile)).alias("observed_quantile"))
-    reference = binomial_quantiles(rates, nominal, [quantile], n_sim, seed)
+    reference = binomial_quantiles(rates, nominal, [quantile])
     near = reference.join(observed, key).groupBy(*key).agg(F.min(F.struct(F.abs(F.col("reference") - F.col("observed_quantile")).alias("gap"), "k")).alias("x"), F.first("observed_quantile").alias("observed_quantile"))
     return near.select(*key, "observed_quantile", F.lit(nominal).alias("nominal_k"), F.col("x.k").alias("effective_k"), (F.col("x.k") / nominal).alias("ratio"))
 
 
+#: Published thresholds of the bands in a full evaluation.
+PUBLISHED = (("Mild", 0.20), ("Moderate", 0.30), ("Strong", 0.40), ("Extreme", 0.50))
+
+
+def thresholds(reads: DataFrame, n_boot: int | None = None) -> DataFrame:
+    """(entity_id, side, mode, band, published, threshold, share_above[, lo, hi, width]): the bands of a full
+    evaluation. threshold is calibrated on the readings, share_above the part of them at or over the published
+    one; with ``n_boot`` also the bootstrap interval of the calibrated one (null under 100 readings)."""
+    key = ["entity_id", "side", "mode"]
+    shares = reads.groupBy(*key).agg(*((F.count_if(F.col("reading") >= t) / F.nullif(F.count("reading"), F.lit(0))).alias(n) for n, t in PUBLISHED))
+    named = F.explode(F.array(*(F.struct(F.lit(n).alias("band"), F.lit(t).alias("published"), F.col(n).alias("share_above")) for n, t in PUBLISHED)))
+    out = shares.select(*key, named.alias("x")).select(*key, "x.*").join(calibrated(reads), [*key, "band"])
+    if n_boot is None:
+        return out
+    ci = bootstrap_bands(reads, n_boot).select(*key, "band", "lo", "hi", "width")
+    return out.join(ci, [*key, "band"], "left")
+
+
 def full_evaluation(prices: DataFrame, signals: DataFrame, horizons: tuple[int, ...] = (21, 63, 126), n_boot: int = 300) -> DataFrame:
-    """evaluate() at every horizon with the bootstrap interval; horizons without rows are absent."""
-    rows = paired(forward_returns(prices, list(horizons)), signals)
+    """evaluate() at every horizon with the bootstrap interval; horizons without rows are absent. The bands
+    that belong to it are thresholds() of the readings."""
+    rows = table(paired(forward_returns(prices, list(horizons)), signals), "pairs")
     return evaluate(rows).join(bootstrap_lift(rows, n_boot), list(SIGNAL_KEY), "left")
 
 

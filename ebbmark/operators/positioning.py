@@ -5,20 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ebbmark.core.tables import small
 from ebbmark.core.windows import ratio
 
 RELEASE_LAG_DAYS = 3
 MEASURES = ("open_interest_all", "noncomm_positions_long_all", "noncomm_positions_short_all", "traders_noncomm_long_all", "traders_noncomm_short_all")
 
 
-def typed(raw: DataFrame) -> DataFrame:
-    """Text columns to a date and doubles; what cannot be read is null."""
+def typed(raw: DataFrame, *others: str) -> DataFrame:
+    """Text columns to a date and doubles; what cannot be read is null. ``others`` are kept as they are."""
     number = lambda c: F.expr(f"try_cast({c} as double)").alias(c)
     return raw.select(
         F.expr("try_cast(substr(report_date_as_yyyy_mm_dd, 1, 10) as date)").alias("date"),
         F.col("cftc_contract_market_code").alias("code"),
         F.col("market_and_exchange_names").alias("name"),
         *map(number, MEASURES),
+        *others,
     )
 
 
@@ -35,7 +37,7 @@ def last_dates(store: DataFrame) -> DataFrame:
 
 def newer(rows: DataFrame, stored: DataFrame) -> DataFrame:
     """Rows dated strictly after the last stored date of their contract; stored(code, last_date) is one row a contract."""
-    return rows.join(F.broadcast(stored), "code", "left").filter("last_date is null or date > last_date").drop("last_date")
+    return rows.join(small(stored), "code", "left").filter("last_date is null or date > last_date").drop("last_date")
 
 
 def derived(rows: DataFrame, contracts: DataFrame, lag_days: int = RELEASE_LAG_DAYS) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ebbmark.core.tables import table
 from ebbmark.core.windows import expanding, held, ratio
 from ebbmark.functions import grouped
 from ebbmark.operators.triggers import checked_rules, fired, hinge
@@ -103,6 +104,23 @@ def correlated(obs: DataFrame, least: float = 0.70) -> DataFrame:
     return pairs.groupBy("entity_id", "id_a", "id_b").agg(F.corr("a", "b").alias("corr")).filter(F.col("corr") >= least)
 
 
+def correlated_clusters(inputs: DataFrame, edges: DataFrame) -> DataFrame:
+    """(entity_id, series_id, cluster): inputs that a chain of correlated() pairs joins share the least series_id.
+
+    Labels pass along the pairs until none changes; the rounds are at most an entity's number of inputs.
+    """
+    both = table(edges.select("entity_id", F.col("id_a").alias("series_id"), F.col("id_b").alias("other")).unionByName(edges.select("entity_id", F.col("id_b").alias("series_id"), F.col("id_a").alias("other"))), "edges")
+    labels = table(inputs.select("entity_id", "series_id", F.col("series_id").alias("cluster")), "labels")
+    while True:
+        met = both.join(labels.select("entity_id", F.col("series_id").alias("other"), F.col("cluster").alias("theirs")), ["entity_id", "other"])
+        least = met.groupBy("entity_id", "series_id").agg(F.min("theirs").alias("theirs"))
+        moved = labels.join(least, ["entity_id", "series_id"], "left").select("entity_id", "series_id", F.least("cluster", "theirs").alias("cluster"), (F.col("theirs") < F.col("cluster")).alias("moved"))
+        moved = table(moved, "labels")
+        labels = moved.drop("moved")
+        if moved.filter("moved").isEmpty():
+            return labels
+
+
 def calibrated(reads: DataFrame) -> DataFrame:
     """(entity_id, side, mode, band, threshold): exact interpolated quantiles of the reading."""
     q = reads.groupBy("entity_id", "side", "mode").agg(F.percentile("reading", F.array(*(F.lit(p) for _, p in QUANTILES))).alias("q"))

@@ -101,6 +101,16 @@ def verdicts(roles: DataFrame) -> DataFrame:
     return by.select("input_id", F.when(F.col("every"), "BUILDABLE").when(F.col("some"), "PARTIAL").otherwise("BLOCKED").alias("verdict"))
 
 
+def verdict_counts(judged: DataFrame) -> DataFrame:
+    """(verdict, n) over all inputs of verdicts()."""
+    return judged.groupBy("verdict").agg(F.count("*").alias("n"))
+
+
+def distinct_tickers(candidates: DataFrame) -> DataFrame:
+    """(ticker): every candidate once, blank ones left out: what has to be asked for."""
+    return candidates.select(F.trim("candidate").alias("ticker")).filter("ticker <> ''").distinct()
+
+
 def longest(series: DataFrame, key: list[str], k: int = 4) -> DataFrame:
     """The k rows of most ``n`` per key, ties by code, with ``place``."""
     over = Window.partitionBy(*key).orderBy(F.desc("n"), "code")

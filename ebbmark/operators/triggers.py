@@ -12,15 +12,14 @@ from ebbmark.functions import grouped
 def causal_rank(obs: DataFrame, window: int | None = None, min_periods: int = 252, long_series: bool = True) -> DataFrame:
     """(entity_id, series_id, date, rank): the share of the window that is <= the current value.
 
-    Null values are removed first, so windows count observations. Expanding ranks of long series come
-    from the merge-count helper, O(n log n) a series; ``long_series=False`` uses frames, which are
-    quadratic. Rolling frames hold at most ``window`` values.
+    Null values are removed first, so windows count observations. Ranks of long series come from numpy
+    helpers, one task a series; ``long_series=False`` uses frames, which hold the window on every row.
     """
     rows = obs.filter("value is not null").select(*KEY, "date", "value")
-    if window is None and long_series:
-        return grouped.expanding_rank(rows, min_periods).select(*KEY, "date", "rank")
-    over = expanding() if window is None else rolling(window)
     least = min_periods if window is None else min(min_periods, window)
+    if long_series:
+        return grouped.past_rank(rows, window, least).select(*KEY, "date", "rank")
+    over = expanding() if window is None else rolling(window)
     seen = rows.withColumn("xs", F.collect_list("value").over(over))
     share = F.size(F.filter("xs", lambda x: x <= F.col("value"))) / F.size("xs")
     return seen.select(*KEY, "date", F.when(F.size("xs") >= least, share).alias("rank"))

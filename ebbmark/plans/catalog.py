@@ -12,8 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbmark.core.tables import shared_dir, table
-from ebbmark.core.windows import KEY
+from ebbmark.core.tables import shared_dir, small, table
+from ebbmark.core.windows import KEY, year_rows
 from ebbmark.functions import transforms as T
 from ebbmark.operators import alignment, evaluation, positioning, readings, series_quality, triggers
 from ebbmark.plans import domain as D
@@ -88,7 +88,18 @@ def trigger_grid(spark, sf_dir):
 @query(D.sql("rules") + "select side, count(*)::bigint as n_inputs from rules group by side")
 def published_denominator(spark, sf_dir):
     used = D.obs(spark, sf_dir).select("series_id").distinct()
-    return triggers.published_denominator(triggers.checked_rules(D.rules(spark)).join(F.broadcast(used), F.col("input_id") == F.col("series_id"), "left_semi"))
+    return triggers.published_denominator(triggers.checked_rules(D.rules(spark)).join(small(used), F.col("input_id") == F.col("series_id"), "left_semi"))
+
+
+@query(
+    D.sql("nn")
+    + "select a.entity_id, a.series_id, a.date, years::bigint as years, case when least(a.rn, 252 * years) >= 60 then round(count(*) filter (where b.value <= a.value and b.rn > a.rn - 252 * years) / least(a.rn, 252 * years)::double, 6) end as rank from nn a join nn b on a.entity_id = b.entity_id and a.series_id = b.series_id and b.rn between a.rn - 755 and a.rn cross join (values (1), (3)) t(years) group by a.entity_id, a.series_id, a.date, a.rn, years"
+)
+def rank_years(spark, sf_dir):
+    """Ranks over windows given in years."""
+    o = D.obs(spark, sf_dir)
+    one, three = (triggers.causal_rank(o, year_rows(y), D.MIN_PERIODS).withColumn("years", F.lit(y)) for y in (1, 3))
+    return tidy(one.unionByName(three))
 
 
 # --- readings
@@ -135,7 +146,7 @@ def bands_walk_forward(spark, sf_dir):
 
 @query()
 def bands_bootstrap(spark, sf_dir):
-    return tidy(evaluation.bootstrap_bands(table(_reads(spark, sf_dir), "reads"), n_boot=200))
+    return tidy(evaluation.bootstrap_bands(table(_reads(spark, sf_dir), "reads")))
 
 
 @query(series_sql(("obs",), "(select entity_id, series_id, date, case when not (series_id = '1-URGENT' and (year(date) = 1997 or year(date) between 1999 and 2000)) then value end as value from obs)"))
@@ -160,6 +171,17 @@ def correlated_inputs(spark, sf_dir):
     return tidy(readings.correlated(D.obs(spark, sf_dir), -0.5))
 
 
+@query(
+    D.sql("obs")
+    + """, pairs as (select a.entity_id, a.series_id as x, b.series_id as y from obs a join obs b on a.entity_id = b.entity_id and a.date = b.date and a.series_id <> b.series_id where a.value is not null and b.value is not null group by all having corr(a.value, b.value) >= 0.02),
+walk as (with recursive r as (select distinct entity_id, series_id, series_id as label from obs union select r.entity_id, p.y, r.label from r join pairs p on p.entity_id = r.entity_id and p.x = r.series_id) select * from r)
+select entity_id, series_id, min(label) as cluster from walk group by 1, 2"""
+)
+def correlated_clusters(spark, sf_dir):
+    o = D.obs(spark, sf_dir)
+    return readings.correlated_clusters(o.select("entity_id", "series_id").distinct(), readings.correlated(o, 0.02))
+
+
 # --- transforms
 
 
@@ -191,7 +213,8 @@ _t(
     T.trend_replication,
 )
 _t("t14_basket_rsi", D.sql("rsi") + "select entity_id, 'rsi' as series_id, date, round(avg(value), 6) as value from rsi group by all", lambda o: T.basket_mean(T.rsi(o), "rsi"))
-_t("t15_weighted_basket", D.sql("legs") + "select entity_id, 'basket' as series_id, date, round(ln(sum(value * weight) / sum(weight)), 6) as value from legs group by all", lambda o: T.weighted_basket(o.drop("weight"), o.select(*KEY, "date", "weight"), "basket").withColumn("value", F.ln("value")), D.legs)
+# totals of cents over small weights often lie half-way at the sixth decimal: 1e-9 rounds these alike on both sides
+_t("t15_weighted_basket", D.sql("legs") + "select entity_id, 'basket' as series_id, date, round(sum(value * weight) / sum(weight) + 1e-9, 6) as value from legs group by all", lambda o: T.weighted_basket(o.drop("weight"), o.select(*KEY, "date", "weight"), "basket").withColumn("value", F.col("value") + 1e-9), D.legs)
 _t("t_basket_sum", D.sql("obs") + "select entity_id, 'sum' as series_id, date, round(sum(value), 6) as value from obs group by all", lambda o: T.basket_sum(o, "sum"))
 _t(
     "t16_chain",
@@ -274,30 +297,63 @@ def e7_by_band(spark, sf_dir):
 
 @query()
 def e9_bootstrap_lift(spark, sf_dir):
-    return tidy(evaluation.bootstrap_lift(_pairs(spark, sf_dir), n_boot=200))
+    return tidy(evaluation.bootstrap_lift(_pairs(spark, sf_dir)))
 
 
 def _rates(reads: DataFrame) -> DataFrame:
     return reads.filter("mode = 'replica'").groupBy("entity_id", "side", "mode").agg((F.sum("fired_count") / F.sum("denominator")).alias("fire_prob"))
 
 
-@query()
+_Q = "(values (0.7), (0.85), (0.95), (0.99)) t(quantile)"
+
+
+@query(D.sql("binomial") + f"select entity_id, side, mode, k::bigint as k, quantile::double as quantile, round(min(j) filter (where cdf >= quantile - 1e-12) / k::double, 6) as reference from binomial cross join {_Q} group by entity_id, side, mode, k, quantile")
 def e10_binomial_reference(spark, sf_dir):
-    return tidy(evaluation.binomial_quantiles(_rates(_reads(spark, sf_dir)), 8, [0.7, 0.85, 0.95, 0.99], 4000))
+    return tidy(evaluation.binomial_quantiles(_rates(_reads(spark, sf_dir)), 8, [0.7, 0.85, 0.95, 0.99]))
 
 
-@query()
+@query(
+    D.sql("binomial", "one")
+    + "select entity_id, side, 'replica' as mode, round(observed, 6) as observed_quantile, 5::bigint as nominal_k, k::bigint as effective_k, round(k / 5.0, 6) as ratio from (select entity_id, side, k, min(j) filter (where cdf >= 0.95 - 1e-12) / k::double as reference from binomial where k <= 5 group by entity_id, side, k)"
+    " join (select entity_id, side, quantile_cont(replica, 0.95) as observed from one group by all) using (entity_id, side) qualify row_number() over (partition by entity_id, side order by abs(reference - observed), k) = 1"
+)
 def e11_redundancy(spark, sf_dir):
     reads = table(_reads(spark, sf_dir), "reads")
-    return tidy(evaluation.redundancy(reads.filter("mode = 'replica'"), _rates(reads), 5, n_sim=4000))
+    return tidy(evaluation.redundancy(reads.filter("mode = 'replica'"), _rates(reads), 5))
+
+
+_PUBLISHED = "(values ('Mild', 0.20, 0.70), ('Moderate', 0.30, 0.85), ('Strong', 0.40, 0.95), ('Extreme', 0.50, 0.99)) t(band, published, quantile)"
+_AT = "case band when 'Mild' then quantile_cont(reading, 0.70) when 'Moderate' then quantile_cont(reading, 0.85) when 'Strong' then quantile_cont(reading, 0.95) else quantile_cont(reading, 0.99) end"
+
+
+@query(D.sql("reads") + f"select entity_id, side, mode, band, published::double as published, round({_AT}, 6) as threshold, round(count(*) filter (where reading >= published) / count(reading)::double, 6) as share_above from reads cross join {_PUBLISHED} group by entity_id, side, mode, band, published")
+def e12_thresholds(spark, sf_dir):
+    """The thresholds that come with a full evaluation: published, calibrated, and how often readings pass the former."""
+    return tidy(evaluation.thresholds(table(_reads(spark, sf_dir), "reads")))
 
 
 @query()
-def e12_full_evaluation(spark, sf_dir):
-    return tidy(evaluation.full_evaluation(D.prices(spark, sf_dir), _signals(spark, sf_dir), n_boot=100))
+def e12_bands(spark, sf_dir):
+    """The same with the bootstrap interval of each calibrated threshold."""
+    return tidy(evaluation.thresholds(table(_reads(spark, sf_dir), "reads"), n_boot=300))
 
 
 @query()
+def e12_full_evaluation(spark, sf_dir):
+    return tidy(evaluation.full_evaluation(D.prices(spark, sf_dir), _signals(spark, sf_dir)))
+
+
+_E3 = """, x as materialized (select entity_id, f.date, fwd as y, value as x, row_number() over (partition by entity_id order by f.date) as rn
+ from (select entity_id, date, lead(value, 21) over (partition by entity_id order by date) / nullif(value, 0) - 1 as fwd from prices) f join (select entity_id, date, avg(value) as value from rsi group by all) r using (entity_id, date) where fwd is not null and value is not null),
+b as (select entity_id, count(*) as n, sum(x) as sx, sum(x * x) as sxx, count(*) * sum(x * x) - sum(x) * sum(x) as det, regr_slope(y, x) as b1, regr_intercept(y, x) as b0 from x group by 1),
+u as materialized (select entity_id, rn, y - b0 - b1 * x as u0, (y - b0 - b1 * x) * x as u1 from x join b using (entity_id)),
+m as (select p.entity_id, sum(w * p.u0 * q.u0) as m00, sum(w * (p.u0 * q.u1 + q.u0 * p.u1) / 2) as m01, sum(w * p.u1 * q.u1) as m11
+ from (select p.*, unnest(range(0, 21)) as l from u p) p join u q on q.entity_id = p.entity_id and q.rn = p.rn - p.l cross join lateral (select case when p.l = 0 then 1.0 else 2 * (1 - p.l / 21.0) end as w) group by 1)
+select entity_id, term::bigint as term, round(case when term = 0 then b0 else b1 end, 6) as beta,
+ round(sqrt(case when term = 0 then sxx * sxx * m00 - 2 * sxx * sx * m01 + sx * sx * m11 else sx * sx * m00 - 2 * sx * n * m01 + n * n * m11 end) / det, 6) as se from b join m using (entity_id) cross join (values (0), (1)) t(term) where n > 2"""
+
+
+@query(D.sql("prices", "rsi") + _E3)
 def e3_newey_west(spark, sf_dir):
     rows = evaluation.forward_returns(D.prices(spark, sf_dir), [21]).select("entity_id", "date", "fwd")
     x = T.basket_mean(T.rsi(D.obs(spark, sf_dir)), "rsi").select("entity_id", "date", F.col("value").alias("rsi"))
@@ -356,7 +412,7 @@ def _typed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _derived(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, contracts = table(_typed(spark, sf_dir), "typed"), D.contracts(spark, sf_dir)
     wrong = positioning.mismatched_contracts(rows, contracts)
-    return positioning.derived(rows.join(F.broadcast(wrong), "code", "left_anti"), contracts)
+    return positioning.derived(rows.join(small(wrong), "code", "left_anti"), contracts)
 
 
 _POSITIONS = "select date, knowable_from, code, alias, net, round(net_pct_oi, 6) as net_pct_oi, open_interest_all, noncomm_positions_long_all, noncomm_positions_short_all, traders_noncomm from positions"
@@ -367,6 +423,19 @@ def positions_derived(spark, sf_dir):
     return tidy(_derived(spark, sf_dir))
 
 
+@query(
+    D.sql("raw")
+    + "select kind, week as date, 'C' || k as code, n_name || ' - EXCHANGE' as name, case when day(week) <> 31 then oi end as open_interest_all, lo as noncomm_positions_long_all, sh as noncomm_positions_short_all, tl as traders_noncomm_long_all, ts as traders_noncomm_short_all from raw cross join (values ('csv'), ('json')) t(kind)"
+)
+def s1_positions_read(spark, sf_dir):
+    """Raw records written as JSON lines and as CSV, read back and typed; unreadable numbers are null."""
+    raw, base = table(D.positions(spark, sf_dir), "raw"), f"{shared_dir(spark)}/raw-{uuid.uuid4().hex}"
+    raw.write.json(f"{base}/json")
+    raw.write.csv(f"{base}/csv", header=True)
+    both = [positioning.typed(readers.read_positions(spark, f"{base}/{k}", k)).select(F.lit(k).alias("kind"), "*") for k in ("json", "csv")]
+    return tidy(both[0].unionByName(both[1]))
+
+
 @query("select 'C' || n_nationkey as code from nation where n_nationkey = 24")
 def identity_guard(spark, sf_dir):
     return positioning.mismatched_contracts(_typed(spark, sf_dir), D.contracts(spark, sf_dir))
@@ -396,12 +465,11 @@ def positions_newer(spark, sf_dir):
 
 @query(
     D.sql("positions")
-    + f", c as (select 'C' || n_nationkey as code, lower(replace(n_name, ' ', '_')) as alias from nation union all select 'C99', 'empty') select c.code, c.alias, case when count(p.date) = 0 then 'no rows' else 'ok' end as status, count(p.date)::bigint as rows, (count(p.date) filter (where p.date >= date '{_SPLIT}'))::bigint as new_rows, min(p.date) as first_date, max(p.date) as last_date, (date '{TODAY}' - max(p.date))::bigint as staleness_days, round(arg_max(coalesce(net_pct_oi, -9), p.date), 6) as last_value, coalesce(date '{TODAY}' - max(p.date) > 14, false) as late from c left join positions p using (code) group by c.code, c.alias"
+    + f", c as (select 'C' || n_nationkey as code, lower(replace(n_name, ' ', '_')) as alias from nation union all select 'C99', 'empty') select c.code, c.alias, case when count(p.date) = 0 then 'no rows' else 'ok' end as status, count(p.date)::bigint as rows, (count(p.date) filter (where p.date >= date '{_SPLIT}'))::bigint as new_rows, min(p.date) as first_date, max(p.date) as last_date, (date '{TODAY}' - max(p.date))::bigint as staleness_days, round((list(net_pct_oi order by p.date desc) filter (where p.date is not null))[1], 6) as last_value, coalesce(date '{TODAY}' - max(p.date) > 14, false) as late from c left join positions p using (code) group by c.code, c.alias"
 )
 def positions_summary(spark, sf_dir):
     store = table(_derived(spark, sf_dir), "derived")
-    known = store.withColumn("net_pct_oi", F.coalesce("net_pct_oi", F.lit(-9.0)))
-    return tidy(positioning.run_summary(known, store.filter(F.col("date") >= _SPLIT), D.contracts(spark, sf_dir), TODAY))
+    return tidy(positioning.run_summary(store, store.filter(F.col("date") >= _SPLIT), D.contracts(spark, sf_dir), TODAY))
 
 
 @query(D.sql("positions") + _POSITIONS)
@@ -488,17 +556,27 @@ def q4_best_field(spark, sf_dir):
     return tidy(series_quality.best_field(tried).select("input_id", "role", "candidate", "field", series_quality.usable(F.col("status")).alias("usable")))
 
 
-_ROLES = "roles as (select input_id, role, basket, array_to_string(case when basket then t else t[1:1] end, ',') as tickers, len(t) >= case when basket then 2 else 1 end as satisfied from (select input_id, role, basket, coalesce(list(candidate order by position) filter (where status like 'OK%'), []) as t from cands where p_size > 11 group by all))"
+_ROLES = "roles as (select input_id, role, basket, array_to_string(case when basket then t else t[1:1] end, ',') as tickers, len(t) >= case when basket then 2 else 1 end as satisfied from (select input_id, role, basket, coalesce(list(candidate order by position) filter (where status like 'OK%'), []) as t from cands group by all))"
 
 
 @query(D.sql("cands") + f", {_ROLES} select * from roles")
 def q5_resolved(spark, sf_dir):
-    return tidy(series_quality.resolved(_candidates(spark, sf_dir).filter("p_size > 11")))
+    return tidy(series_quality.resolved(_candidates(spark, sf_dir)))
 
 
 @query(D.sql("cands") + f", {_ROLES} select input_id, case when bool_and(satisfied) then 'BUILDABLE' when bool_or(satisfied) then 'PARTIAL' else 'BLOCKED' end as verdict from roles group by 1")
 def q6_verdicts(spark, sf_dir):
-    return series_quality.verdicts(series_quality.resolved(_candidates(spark, sf_dir).filter("p_size > 11")))
+    return series_quality.verdicts(series_quality.resolved(_candidates(spark, sf_dir)))
+
+
+@query(D.sql("cands") + f", {_ROLES}, v as (select input_id, case when bool_and(satisfied) then 'BUILDABLE' when bool_or(satisfied) then 'PARTIAL' else 'BLOCKED' end as verdict from roles group by 1) select verdict, count(*)::bigint as n from v group by 1")
+def q6_verdict_counts(spark, sf_dir):
+    return series_quality.verdict_counts(q6_verdicts(spark, sf_dir))
+
+
+@query(D.sql("cands") + "select distinct trim(candidate) as ticker from cands where trim(candidate) <> ''")
+def u3_tickers(spark, sf_dir):
+    return series_quality.distinct_tickers(_candidates(spark, sf_dir))
 
 
 _ORDERED = "n as (select c_mktsegment as contract, 'K' || o_custkey || o_orderpriority[1] as code, count(*) as n, min(cast(o_orderdate as date)) as first_date from orders join customer on c_custkey = o_custkey group by 1, 2)"
@@ -529,7 +607,7 @@ def q9_starts_by_suffix(spark, sf_dir):
 
 @query(
     D.sql("cands")
-    + "select input_id, input_id as input_name, 'index' as kind, 'daily' as frequency, role, position::bigint as position, candidate, case when basket then 'NAV' else 'PX_LAST' end as field, case when basket then 'AUM' else '' end as extra_fields from cands where input_id <> 'Brand#1'"
+    + "select input_id, input_id as input_name, 'index' as kind, 'daily' as frequency, role, position::bigint as position, candidate, case when basket then 'NAV' else 'PX_LAST' end as field, case when basket then 'AUM' else '' end as extra_fields from cands"
 )
 def s7_flat_catalogue(spark, sf_dir):
     """Candidates nested per input and role, one file per brand in the shared folder, read and flattened."""
@@ -544,7 +622,7 @@ def s7_flat_catalogue(spark, sf_dir):
     path = f"{shared_dir(spark)}/catalogue-{uuid.uuid4().hex}"
     nested.write.json(path)
     flat = readers.flat_catalogue(spark.read.schema(readers.schemas.CATALOGUE).json(path))
-    return tidy(flat.filter("input_id <> 'Brand#1'").drop("field_alternates"))
+    return tidy(flat.drop("field_alternates"))
 
 
 @query(

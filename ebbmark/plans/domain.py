@@ -1,7 +1,6 @@
 """The driver's tables in this library's terms, as Spark frames and as DuckDB common table expressions.
 
-obs: entity = order status (F, O), series = order priority, one value a day (the day's order total;
-missing on the 13th). prices: one series per entity. legs: line items by return flag. positions: weekly
+obs: entity = order status, series = order priority, one value a day (the day's order total). prices: one series per entity. legs: line items by return flag. positions: weekly
 line-item quantities by supplier nation. Money is summed as decimals before it becomes doubles.
 """
 
@@ -27,14 +26,14 @@ def _money(c: str):
 
 
 def obs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = read(spark, sf_dir, "orders").filter(F.col("o_orderstatus").isin("F", "O"))
+    o = read(spark, sf_dir, "orders")
     day = F.to_date("o_orderdate")
     by = o.groupBy(F.col("o_orderstatus").alias("entity_id"), F.col("o_orderpriority").alias("series_id"), day.alias("date")).agg(_money("o_totalprice").alias("v"))
-    return by.select("entity_id", "series_id", "date", F.when(F.dayofmonth("date") != 13, F.col("v")).alias("value"))
+    return by.select("entity_id", "series_id", "date", F.col("v").alias("value"))
 
 
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = read(spark, sf_dir, "orders").filter(F.col("o_orderstatus").isin("F", "O"))
+    o = read(spark, sf_dir, "orders")
     return o.groupBy(F.col("o_orderstatus").alias("entity_id"), F.to_date("o_orderdate").alias("date")).agg(_money("o_totalprice").alias("value")).select("entity_id", F.lit("total").alias("series_id"), "date", "value")
 
 
@@ -115,12 +114,12 @@ W = "partition by entity_id, series_id order by date"
 CTE: dict[str, tuple[tuple[str, ...], str]] = {
     "obs": (
         (),
-        "select entity_id, series_id, date, case when day(date) <> 13 then v end as value from (select o_orderstatus as entity_id, o_orderpriority as series_id, cast(o_orderdate as date) as date,"
-        " cast(sum(cast(o_totalprice as decimal(18,2))) as double) as v from orders where o_orderstatus in ('F', 'O') group by 1, 2, 3)",
+        "select entity_id, series_id, date, v as value from (select o_orderstatus as entity_id, o_orderpriority as series_id, cast(o_orderdate as date) as date,"
+        " cast(sum(cast(o_totalprice as decimal(18,2))) as double) as v from orders group by 1, 2, 3)",
     ),
     "prices": (
         (),
-        "select o_orderstatus as entity_id, 'total' as series_id, cast(o_orderdate as date) as date, cast(sum(cast(o_totalprice as decimal(18,2))) as double) as value from orders where o_orderstatus in ('F', 'O') group by 1, 2, 3",
+        "select o_orderstatus as entity_id, 'total' as series_id, cast(o_orderdate as date) as date, cast(sum(cast(o_totalprice as decimal(18,2))) as double) as value from orders group by 1, 2, 3",
     ),
     "legs": (
         (),
@@ -188,6 +187,13 @@ CTE: dict[str, tuple[tuple[str, ...], str]] = {
         ("offsets",),
         "select entity_id, side, horizon, case when sum(n) >= 4 * horizon then avg(d) filter (where ok) end as difference, case when sum(n) >= 4 * horizon then stddev_pop(d) filter (where ok) end as dispersion, coalesce(case when sum(n) >= 4 * horizon then avg(n) filter (where ok) end, 0) as n_blocks, case when sum(n) >= 4 * horizon then count(*) filter (where ok) else 0 end::double as offsets_used from (select *, n1 >= 3 and n - n1 >= 3 as ok from offsets) group by entity_id, side, horizon",
     ),
+    "rates": (("one",), "select entity_id, side, 'replica' as mode, sum(fired_count) / sum(denominator)::double as p from one group by 1, 2"),
+    "binomial": (
+        ("rates",),
+        "select *, sum(pmf) over (partition by entity_id, side, k order by j) as cdf from (select entity_id, side, mode, k, j, case when p <= 0 then (j = 0)::int::double when p >= 1 then (j = k)::int::double"
+        " else exp(k * ln(1 - p) + sum(case when j > 0 then ln((k - j + 1) / j::double) + ln(p / (1 - p)) else 0 end) over (partition by entity_id, side, k order by j)) end as pmf"
+        " from (select *, unnest(range(0, k + 1)) as j from (select *, unnest(range(2, 9)) as k from rates)))",
+    ),
     "raw": (
         (),
         "select s_nationkey as k, n_name, week, oi, lo, sh, tl, ts from (select s_nationkey, cast(date_trunc('week', l_shipdate) as date) as week, sum(l_quantity::decimal(18,2))::double as oi, coalesce(sum(l_quantity::decimal(18,2)) filter (where l_returnflag = 'A'), 0)::double as lo,"

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ebbmark.core import schemas
+from ebbmark.core.tables import small
 from ebbmark.operators import positioning
 from ebbmark.sources import readers, sinks
 
@@ -15,20 +17,21 @@ def refresh(spark: SparkSession, arriving: str, store: str, checkpoint: str, con
     """Take in all report files in ``arriving`` that are new since the checkpoint.
 
     Each micro-batch keeps rows newer than the store, drops contracts that fail the identity guard,
-    derives, and upserts; only the aliases it touches are rewritten. A batch that runs again after a
+    derives, and upserts; of rows for one contract and date that of the later file wins, then the later
+    line; only the aliases it touches are rewritten. A batch that runs again after a
     failure finds its rows stored already and changes nothing.
     """
 
     def take(batch: DataFrame, _: int) -> None:
-        rows = positioning.typed(batch.select(*[c for c in batch.columns if c != "__file"])).withColumn("__seq", F.monotonically_increasing_id())
+        rows = positioning.typed(batch, "__file").withColumn("__seq", F.struct("__file", F.monotonically_increasing_id().alias("at")))
         wrong = positioning.mismatched_contracts(rows, contracts)
-        rows = rows.join(F.broadcast(wrong), "code", "left_anti")
+        rows = rows.join(small(wrong), "code", "left_anti").drop("__file")
         seq = rows.select("code", "date", "__seq")
         try:
             old = readers.read_store(spark, store)
             old.limit(1).count()
-        except Exception as e:  # the first batch finds no store
-            if "PATH_NOT_FOUND" not in str(e):
+        except AnalysisException as e:  # the first batch finds no store
+            if e.getCondition() != "PATH_NOT_FOUND":
                 raise
             old = spark.createDataFrame([], schemas.POSITIONS)
         last = positioning.last_dates(old)
@@ -36,10 +39,11 @@ def refresh(spark: SparkSession, arriving: str, store: str, checkpoint: str, con
         last_of = seq.groupBy("code", "date").agg(F.max("__seq").alias("__seq"))
         fresh = positioning.derived(fresh.join(last_of, ["code", "date", "__seq"]), contracts)
         touched = fresh.select("alias").distinct()
-        mine = old.join(F.broadcast(touched), "alias", "left_semi").select(*fresh.columns)
+        mine = old.join(small(touched), "alias", "left_semi").select(*fresh.columns)
         merged = positioning.upserted(mine, fresh)
         # the partitions being replaced are read by this plan: settle it first
         sinks.write_store(merged.checkpoint(), store)
 
     stream = spark.readStream.schema(schemas.POSITIONS_RAW).json(arriving)
+    stream = stream.select("*", F.struct("_metadata.file_modification_time", "_metadata.file_path").alias("__file"))
     return stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -58,3 +58,12 @@ def test_bootstrap_does_not_depend_on_chunks():
     assert (whole == parts).all() and whole.min() >= 0 and whole.max() < 100
     runs = (np.diff(whole, axis=1) % 100 == 1).mean()
     assert 0.85 < runs < 0.95
+
+
+@pytest.mark.parametrize("n, window", [(0, 5), (3, 5), (400, 7), (1000, 300)])
+def test_rolling_rank(n, window):
+    v = np.random.default_rng(n).integers(0, 40, n).astype(float)
+    want = [np.mean(v[max(0, i + 1 - window) : i + 1] <= v[i]) if min(i + 1, window) >= 4 else np.nan for i in range(n)]
+    np.testing.assert_allclose(helpers.rolling_rank(v, window, 4, cells=1000), want)
+    past = [np.mean(v[: i + 1] <= v[i]) if i >= 3 else np.nan for i in range(n)]
+    np.testing.assert_allclose(helpers.causal_rank(v, 4, leaf=16), past)

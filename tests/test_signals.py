@@ -176,9 +176,9 @@ def test_independent_reference_and_redundancy(spark):
     reads, *_ = made_reads(spark, same=True)
     sell = reads.filter("side = 'sell' and mode = 'replica'")
     rates = sell.groupBy("entity_id", "side", "mode").agg((F.sum("fired_count") / F.sum("denominator")).alias("fire_prob"))
-    ref = evaluation.binomial_quantiles(rates, 6, [0.95], 4000).filter("k = 6").first().reference
+    ref = evaluation.binomial_quantiles(rates, 6, [0.95]).filter("k = 6").first().reference
     assert ref * 6 == pytest.approx(round(ref * 6))
-    assert evaluation.redundancy(sell, rates, 6, n_sim=3000).first().effective_k < 6
+    assert evaluation.redundancy(sell, rates, 6).first().effective_k < 6
 
 
 def test_as_of(spark):
