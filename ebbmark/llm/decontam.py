@@ -106,3 +106,25 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     bad = table(leaks(docs, items).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")), "leaks")
     keyed = docs.withColumn("__h", F.xxhash64("text"))
     return keyed.join(small(bad), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__th")), "left_anti").select(*docs.columns)
+
+
+#: Windows meet by three plain words of a third or a half of an item, which the allowed changes leave whole.
+SQL = r"""
+with dw as materialized (
+  select doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') as ws from documents where text is not null),
+iw as materialized (select item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') as ws from benchmark where text is not null),
+allw as (
+  select item_id, ws[i:i + 11] as win from (select item_id, ws, unnest(range(1, len(ws) - 10)) as i from iw where len(ws) >= 12)
+  union all select item_id, ws from iw where len(ws) between 5 and 11),
+win as materialized (select row_number() over () as w, min(item_id) as item_id, win, len(win) as n from allw group by win),
+off as (select w, n, unnest(case when n = 12 then [0, 4, 8] when n > 5 then [0, n // 2] else [0] end) as o from win),
+part as materialized (select off.w, off.n, o, win[o + 1:o + 3] as g from off join win using (w)),
+gram as materialized (select doc_id, j, ws[j + 1:j + 3] as g, len(ws) as size from (select doc_id, ws, unnest(range(0, len(ws) - 2)) as j from dw)),
+cand as materialized (select distinct doc_id, j - o as place, w from gram join part using (g) where j >= o and j - o + n <= size),
+hit as materialized (
+  select doc_id, place, n, item_id from cand join win using (w) join dw using (doc_id)
+  where 6 * len(list_filter(range(1, n + 1), lambda i: ws[place + i] = win[i])) >= 5 * n),
+cover as (select doc_id, count(distinct p)::bigint as n_words from (select doc_id, unnest(range(place, place + n)) as p from hit) group by doc_id)
+select doc_id, min(item_id) as item_id, count(distinct place)::bigint as n_windows, any_value(n_words) as n_words
+from hit join cover using (doc_id) group by doc_id
+"""

@@ -90,5 +90,6 @@ QUERIES = {
 SQL = {
     "op3_url_filter": url_filter.SQL,
     "op7_line_dedup": line_dedup.SQL,
+    "op9_decontamination": decontam.SQL,
     "op10_near_dedup": near_dedup.SQL,
 }

@@ -400,6 +400,24 @@ def test_decontamination(spark):
     assert decontam.clean(docs, bench.limit(0)).count() == len(rows) and decontam.leaks(docs.limit(0), bench).count() == 0
 
 
+def test_decontamination_equals_the_sql_at_any_change(spark):
+    rng = random.Random(16)
+    items = [(i, prose(rng, n)) for i, n in enumerate([5, 6, 7, 11, 12, 13, 40, 40])] + [(20, prose(rng, 4)), (21, None)]
+    rows = [(1000, None), (1001, ""), (1002, prose(rng, 40))]
+    for i in range(200):
+        w = items[i % 8][1].split()
+        for _ in range(rng.randint(0, 4)):
+            w[rng.randrange(len(w))] = rng.choice(VOCAB)
+        rows.append((i, f"{prose(rng, rng.randint(0, 6))} {' '.join(w)}, {prose(rng, 3)}"))
+    docs, bench = frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")
+    con = duckdb.connect()
+    con.register("documents", docs.select("doc_id", "text").toPandas())
+    con.register("benchmark", bench.toPandas())
+    cur = con.sql(decontam.SQL)
+    want = sorted(cur.fetchall())
+    assert len(want) > 60 and want == sorted(tuple(r[c] for c in cur.columns) for r in decontam.leaks(docs, bench).collect())
+
+
 # --- 10 near copies
 
 
