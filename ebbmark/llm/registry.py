@@ -32,8 +32,10 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's text without repeated sentence spans."""
-    return span_dedup.without_repeats(_read(spark, sf_dir, "documents")).select("doc_id", "text", "n_removed", "removed")
+    """Every document's text without repeated sentence spans, and the removed ranges as start:end."""
+    out = span_dedup.without_repeats(_read(spark, sf_dir, "documents"))
+    ranges = F.array_join(F.transform("removed", lambda x: F.concat_ws(":", x["start"], x["end"])), ",")
+    return out.select("doc_id", "text", "n_removed", ranges.alias("removed"))
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,6 +91,7 @@ QUERIES = {
 }
 SQL = {
     "op3_url_filter": url_filter.SQL,
+    "op4_span_dedup": span_dedup.SQL,
     "op7_line_dedup": line_dedup.SQL,
     "op9_decontamination": decontam.SQL,
     "op10_near_dedup": near_dedup.SQL,

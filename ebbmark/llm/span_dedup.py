@@ -1,6 +1,7 @@
 """Substring dedup over sliding sentence spans.
 
-A text is cut into sentences at line breaks and after ``.``, ``!`` or ``?`` before a blank; a sentence of
+A text is cut into sentences at line breaks and after ``.``, ``!`` or ``?`` before a blank; blanks that a
+text begins with belong to its first sentence, but for a line break, which is a unit. A sentence of
 more than PIECE words is cut further after every PIECE words from its start, so that a long one is several
 units. Every run of RUN consecutive units is a span, whatever its length; it is compared lower-cased with
 blanks collapsed. A span found more than once in the corpus keeps its first occurrence, by doc_id (null
@@ -32,7 +33,7 @@ from ebbmark.llm.batches import bounded
 
 RUN, PIECE = 3, 16
 _END = re.compile(r"(?<=[.!?])\s+|\s*\n\s*")
-_PIECE = re.compile(rf"(?:\S+\s+){{{PIECE}}}(?=\S)")
+_PIECE = re.compile(rf"\s*(?:\S+\s+){{{PIECE}}}(?=\S)")
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
@@ -114,3 +115,26 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     done = joined.withColumn("__x", _cutter()("text", "__gone"))
     out = [F.col("__x.text").alias("text") if c == "text" else F.col(c) for c in names]
     return done.select(*out, F.greatest(F.coalesce(F.size("__gone"), F.lit(0)), F.lit(0)).cast("long").alias("n_removed"), F.col("__x.removed").alias("removed"))
+
+
+#: For texts whose blanks are ASCII; removed is start:end of each range.
+SQL = r"""
+with cut as materialized (
+  select doc_id, list_filter(flatten(list_transform(
+    string_split(regexp_replace(text, '([.!?]\s+|\s*\n\s*)', '\1' || chr(1), 'g'), chr(1)),
+    lambda s: string_split(regexp_replace(s, '(\s*(?:\S+\s+){16})', '\1' || chr(1), 'g'), chr(1)))), lambda u: u <> '') as us
+  from documents where text is not null),
+unit as materialized (
+  select doc_id, i, us[i] as u, trim(regexp_replace(lower(us[i]), '\s+', ' ', 'g'), ' ') as t from (select doc_id, us, unnest(range(1, len(us) + 1)) as i from cut)),
+run as (select a.doc_id, a.i, a.t || chr(10) || b.t || chr(10) || c.t as s from unit a join unit b on b.doc_id = a.doc_id and b.i = a.i + 1 join unit c on c.doc_id = a.doc_id and c.i = a.i + 2),
+later as (select doc_id, i, row_number() over (partition by s order by doc_id, i) as occurrence from run),
+gone as materialized (select distinct doc_id, i + d.d as i from later cross join (values (0), (1), (2)) d(d) where occurrence > 1),
+marked as materialized (
+  select doc_id, i, u, g.i is not null as out, sum(length(u)) over (partition by doc_id order by i) as b, sum((g.i is null)::int) over (partition by doc_id order by i) as island
+  from unit left join gone g using (doc_id, i)),
+ranges as (select doc_id, min(b - length(u)) as a, max(b) as b from marked where out group by doc_id, island),
+listed as (select doc_id, string_agg(a::varchar || ':' || b::varchar, ',' order by a) as removed from ranges group by doc_id),
+body as (select doc_id, string_agg(u, '' order by i) filter (where not out) as text, count(*) filter (where out) as n from marked group by doc_id)
+select d.doc_id, case when b.doc_id is null then d.text else coalesce(b.text, '') end as text, coalesce(b.n, 0)::bigint as n_removed, coalesce(l.removed, '') as removed
+from documents d left join body b using (doc_id) left join listed l using (doc_id)
+"""

@@ -220,7 +220,7 @@ def plain_units(text):
     out, words = [""], 0
     for bit in re.findall(r"\S+|\s+", text):
         if not bit.isspace():
-            if out[-1] and (words == 0 or words == 16):
+            if re.search(r"\S|\n", out[-1]) and (words == 0 or words == 16):
                 out.append("")
                 words = 0
             out[-1] += bit
@@ -252,7 +252,7 @@ def test_span_dedup(spark):
     long, pair = prose(rng, 60), f"{prose(rng, 20)}. {prose(rng, 20)}."
     rows = [(i, f"{prose(rng, 20)}. {passage} {prose(rng, 20)}.") for i in range(5)] + [(9, None), (10, ""), (11, "A. B. C. D."), (12, "a.  B. C.\nD."), (4, f"{prose(rng, 30)}."), (13, " \n"), (14, "A. B."), (None, "A. B. C. x"), (None, "A. B. C. x"), (None, "y. A. B. C.")]
     rows += [(20 + i, f"{prose(rng, 12)}\n{long}. End {i}!") for i in range(3)] + [(30 + i, f"{prose(rng, 3)}. {pair} {prose(rng, 3)}") for i in range(3)]
-    rows += [(40, "Q? " * 9), (41, "\u2003x. \x85 y! \n\n z"), (42, passage), (42, passage), (43, (prose(rng, 40) + ". ") * 3), (44, prose(rng, 3000) + " " + long)]
+    rows += [(40, "Q? " * 9), (41, "\u2003x. \x85 y! \n\n z"), (42, passage), (42, passage), (43, (prose(rng, 40) + ". ") * 3), (44, prose(rng, 3000) + " " + long), (45, "  " + long), (46, " " + long), (47, "\n " + long)]
     docs = frame(spark, rows)
     want = plain_spans_removed([(r.doc_id, r.text, r.h) for r in docs.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()])
     source = {r.doc_id: r.text for r in docs.collect()}
@@ -266,7 +266,7 @@ def test_span_dedup(spark):
             for x in r.removed:
                 left, at = left + t[at : x.start], x.end
             assert left + t[at:] == r.text
-    assert {r.doc_id for r in out if r.n_removed} >= {1, 2, 3, 12, 21, 22, 31, 32, 40, 42, 43}
+    assert {r.doc_id for r in out if r.n_removed} >= {1, 2, 3, 12, 21, 22, 31, 32, 40, 42, 43, 45, 46, 47}
     assert span_dedup.without_repeats(frame(spark, [])).count() == 0
 
 
