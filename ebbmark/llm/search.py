@@ -2,7 +2,7 @@
 
 Every document has a Bloom signature of its terms: bits for (term, level) for each level 1, 2, 4, ... up to the
 term's occurrences, so that levels bound the occurrences from above within a factor of two. Documents of one
-class (bits = 8 to 16 times their distinct terms) stand in blocks that are stored by bit: a row of a block is one
+class (16 to 32 bits for each of their terms and levels) stand in blocks that are stored by bit: a row of a block is one
 bit position's bitmap over its documents. The AND of a term's rows overestimates where it occurs; the sum of the
 items' weights over these bitmaps, level by level, times what an occurrence can add in a document of that
 length, is an upper bound of the score.
@@ -11,7 +11,7 @@ The documents with the best bounds of each item are scored exactly first; their
 Every document whose bound is not under the floor (at equal scores the smaller doc_id wins) is then scored
 exactly on its whole text: what is left out provably cannot be among the ten.
 
-Items are taken in blocks of ITEMS at most, each block's terms go to all tasks; the signatures are built once.
+Items are taken in blocks of some ITEMS, each block's terms go to all tasks; the signatures are built once.
 Nothing is collected but an item block, the occurrences of its terms and its floors.
 
 Nulls and edges: a null or termless text is no document; an item without terms or without a document of score
@@ -38,7 +38,7 @@ from ebbmark.llm import textbytes as tb
 from ebbmark.llm.batches import bounded
 
 #: Items of a block, hash functions of a signature, and bytes of text that share blocks.
-ITEMS, HASHES, BLOCK_BYTES = 256, 3, 12 << 20
+ITEMS, HASHES, BLOCK_BYTES = 256, 6, 6 << 20
 #: Bytes that part terms: 0x00-0x2F, 0x3A-0x40, 0x5B-0x60 and 0x7B-0x7F.
 _PARTS = np.zeros(256, bool)
 for _a, _b in ((0x00, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7F)):
@@ -92,8 +92,8 @@ def _scan(docs: DataFrame, words: list[bytes], index: bool) -> DataFrame:
         if not index:
             return rows
         level = np.frexp(tf.astype(float))[1] - 1
-        own = np.bincount(ds, minlength=part.num_rows)
-        size = 1 << (np.frexp(np.maximum(8 * own, 8).astype(float) - 0.5)[1] + 0)
+        own = np.bincount(ds, level + 1, minlength=part.num_rows)
+        size = 1 << np.frexp(np.maximum(16 * own, 16) - 0.5)[1]
         ids, keys = part["doc_id"].combine_chunks(), part["th"].combine_chunks()
         for f in np.unique(size[n > 0]):
             mine = np.flatnonzero((size == f) & (n > 0))
@@ -163,7 +163,7 @@ def _best(index: DataFrame, bounds: _Bounds, top: int) -> DataFrame:
     """(item, id, key, bound): of every task, each item's documents with the highest bounds."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = [pd.DataFrame({"item": [], "id": [], "key": [], "bound": []}) for _ in bounds.weights]
+        best: list[list[tuple]] = [[] for _ in bounds.weights]
         for pdf in frames:
             for r in pdf.itertuples():
                 ub = bounds.of(r.cls, r.levels, np.asarray(r.n), r.bits)
@@ -172,14 +172,10 @@ def _best(index: DataFrame, bounds: _Bounds, top: int) -> DataFrame:
                     least = np.partition(row, len(row) - top)[len(row) - top] if len(row) > top else 0
                     over = np.flatnonzero((row >= least) & (row > 0))
                     over = over[np.lexsort((_order(ids[over]), -row[over]))[:top]]
-                    if len(over):
-                        both = [*best[q].itertuples(index=False), *zip([q] * len(over), ids[over], keys[over], row[over])]
-                        both.sort(key=lambda x: (-x[3], math.inf if x[1] is None or x[1] != x[1] else x[1]))
-                        best[q] = pd.DataFrame(both[:top], columns=["item", "id", "key", "bound"])
-        for found in best:
-            if len(found):
-                found["id"] = found["id"].astype("Int64")
-                yield found
+                    best[q] = sorted([*best[q], *zip(row[over], _order(ids[over]), ids[over], keys[over])], key=lambda x: (-x[0], x[1]))[:top]
+        rows = [(q, *x) for q, found in enumerate(best) for x in found]
+        item, bound, _, ids, keys = zip(*rows) if rows else [()] * 5
+        yield pd.DataFrame({"item": np.array(item, np.int32), "id": pd.array(ids, "Int64"), "key": np.array(keys, np.int64), "bound": bound})
 
     return index.mapInPandas(run, "item int, id long, key long, bound double")
 
@@ -232,7 +228,7 @@ def search(docs: DataFrame, items: DataFrame, top: int = 10) -> DataFrame:
     spark = bounded(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
     asked = table(items.select("item_id", "text"), "items")
-    blocks = max(1, math.ceil(asked.count() / (ITEMS // 2)))
+    blocks = max(1, math.ceil(asked.count() / ITEMS))
     index, out = None, []
     for block in range(blocks):
         got = asked.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
