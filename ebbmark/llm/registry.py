@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ebbmark.core.tables import table
-from ebbmark.llm import chat, decontam, line_dedup, near_dedup, packing, pii, quality, search, secrets, span_dedup, url_filter
+from ebbmark.llm import chat, collocation, decontam, line_dedup, near_dedup, packing, pii, quality, search, secrets, span_dedup, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +77,11 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_read(spark, sf_dir, "documents"), shingle=4).drop("text_key")
 
 
+def op12_collocation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 strongest phrases of two or three words of every lang."""
+    return collocation.phrases(_read(spark, sf_dir, "documents"))
+
+
 def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents for every benchmark item."""
     return search.search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
@@ -93,6 +98,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_decontamination": op9_decontamination,
     "op10_near_dedup": op10_near_dedup,
+    "op12_collocation": op12_collocation,
     "op13_search": op13_search,
 }
 SQL = {
@@ -101,5 +107,6 @@ SQL = {
     "op7_line_dedup": line_dedup.SQL,
     "op9_decontamination": decontam.SQL,
     "op10_near_dedup": near_dedup.SQL,
+    "op12_collocation": collocation.SQL,
     "op13_search": search.SQL,
 }
