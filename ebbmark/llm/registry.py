@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ebbmark.core.tables import table
-from ebbmark.llm import chat, collocation, decontam, line_dedup, near_dedup, packing, pii, quality, search, secrets, span_dedup, url_filter
+from ebbmark.llm import chat, collocation, decontam, line_dedup, near_dedup, packing, pii, quality, search, secrets, span_dedup, suffix_dedup, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +77,13 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_read(spark, sf_dir, "documents"), shingle=4).drop("text_key")
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the strings of 50 bytes that one with a smaller doc_id holds too."""
+    out = suffix_dedup.without_repeats(_read(spark, sf_dir, "documents"))
+    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return out.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_collocation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 2000 strongest phrases of two or three words of every lang."""
     return collocation.phrases(_read(spark, sf_dir, "documents"))
@@ -98,6 +105,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_decontamination": op9_decontamination,
     "op10_near_dedup": op10_near_dedup,
+    "op11_suffix_dedup": op11_suffix_dedup,
     "op12_collocation": op12_collocation,
     "op13_search": op13_search,
 }
@@ -107,6 +115,7 @@ SQL = {
     "op7_line_dedup": line_dedup.SQL,
     "op9_decontamination": decontam.SQL,
     "op10_near_dedup": near_dedup.SQL,
+    "op11_suffix_dedup": suffix_dedup.SQL,
     "op12_collocation": collocation.SQL,
     "op13_search": search.SQL,
 }
