@@ -1,12 +1,28 @@
-"""Bounds on what one Arrow batch holds, so that very long texts do not fill a Python worker."""
+"""Bounds on what one Arrow batch holds, so that very long texts do not fill a Python worker, and on what stays on disk."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import SparkSession
 
+_SWEEP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def bounded(spark: SparkSession, rows: int = 500, mb: int = 4) -> SparkSession:
     """Set the session's Arrow batches to ``rows`` rows and ``mb`` MB at most."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", mb << 20)
     return spark
+
+
+@contextmanager
+def swept(spark: SparkSession) -> Iterator[None]:
+    """Within, the shuffle files of every finished job go at its end; for jobs whose results are written as tables."""
+    before = spark.conf.get(_SWEEP, "false")
+    spark.conf.set(_SWEEP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_SWEEP, before)

@@ -33,38 +33,47 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ebbmark.core.tables import table
 from ebbmark.llm import textbytes as tb
-from ebbmark.llm.batches import bounded
+from ebbmark.llm.batches import bounded, swept
 
 LENGTH, ANCHOR = 50, 16
 #: Bytes of texts in a shard and of pieces in a suffix array, anchors of a range, occurrences of a hot anchor.
-SHARD_BYTES, SUFFIX_BYTES, RANGE, HOT = 4 << 20, 2 << 20, 1 << 18, 1 << 14
+SHARD_BYTES, SUFFIX_BYTES, RANGE, HOT = 4 << 20, 2 << 20, 1 << 17, 1 << 14
 _WIDE = LENGTH - ANCHOR + 1
 #: The low bits of an anchor in a run hold the logarithm of its occurrences in the shard.
 _LOW = np.uint64(15)
 
 
+def _zip(x: np.ndarray | bytes) -> bytes:
+    return zstandard.ZstdCompressor(1).compress(x if isinstance(x, bytes) else x.tobytes())
+
+
+def _unzip(x: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(x)
+
+
 def _sharded(docs: DataFrame) -> DataFrame:
-    """(shard, ids, starts, body): joined texts, each followed by a line break."""
-    kinds = {"shard": pa.int64(), "ids": pa.list_(pa.int64()), "starts": pa.list_(pa.int64()), "body": pa.binary()}
+    """(shard, ids, starts, body, size): joined texts, each followed by a line break."""
+    kinds = {"shard": pa.int64(), "ids": pa.list_(pa.int64()), "starts": pa.list_(pa.int64()), "body": pa.binary(), "size": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 32
         for i, part in enumerate(tb.gathered(batches, SHARD_BYTES)):
             body, starts = tb.joined(part["text"])
-            row = {"shard": first + i, "ids": part["doc_id"].to_pylist(), "starts": starts, "body": body[: -tb.PAD].tobytes()}
+            row = {"shard": first + i, "ids": part["doc_id"].to_pylist(), "starts": starts, "body": _zip(body[: -tb.PAD]), "size": len(body) - tb.PAD}
             yield pa.RecordBatch.from_arrays([pa.array([row[k]], t) for k, t in kinds.items()], names=list(kinds))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "shard long, ids array<long>, starts array<long>, body binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "shard long, ids array<long>, starts array<long>, body binary, size long")
 
 
 def _padded(body: bytes) -> np.ndarray:
-    return np.concatenate([np.frombuffer(body, np.uint8), np.zeros(tb.PAD, np.uint8)])
+    return np.concatenate([np.frombuffer(_unzip(body), np.uint8), np.zeros(tb.PAD, np.uint8)])
 
 
 def pieces(body: np.ndarray, starts: np.ndarray, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -169,7 +178,7 @@ def _sent(shards: DataFrame, marks: DataFrame, bits: int) -> DataFrame:
                 out = []
                 for a, b in zip(cuts, cuts[1:]):
                     mine, (x, y) = head[a:b], np.searchsorted(number, (a, b))
-                    out.append((int(rng[fresh][a]), row.shard, windows[mine].astype(np.uint8).tobytes(), body[_spread(first[mine], size[mine])].tobytes(), ids[doc[mine]].tobytes(), (number[x:y] - a).astype(np.uint32).tobytes(), first[order[x:y]].astype(np.uint32).tobytes()))
+                    out.append((int(rng[fresh][a]), row.shard, windows[mine].astype(np.uint8).tobytes(), _zip(body[_spread(first[mine], size[mine])]), _zip(ids[doc[mine]]), _zip((number[x:y] - a).astype(np.uint32)), _zip(first[order[x:y]].astype(np.uint32))))
                 yield pd.DataFrame(out, columns=["rng", "shard", "windows", "texts", "lows", "piece", "first"])
 
     found = marks.groupBy("shard").agg(F.collect_list(F.struct("rng", "marks")).alias("found"))
@@ -289,8 +298,8 @@ def _answered(sent: DataFrame) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         windows = [np.frombuffer(x, np.uint8).astype(np.int64) for x in pdf["windows"]]
         sizes = np.concatenate(windows) + LENGTH - 1
-        texts = np.frombuffer(b"".join(pdf["texts"]) + bytes(tb.PAD), np.uint8)
-        lows = np.frombuffer(b"".join(pdf["lows"]), np.int64)
+        texts = np.frombuffer(b"".join(map(_unzip, pdf["texts"])) + bytes(tb.PAD), np.uint8)
+        lows = np.frombuffer(b"".join(map(_unzip, pdf["lows"])), np.int64)
         ends = np.cumsum(sizes)
         key = np.stack([tb.hashed(texts, ends - sizes, ends, s) for s in (1, 2)])
         order = np.lexsort((lows, key[1], key[0]))
@@ -308,7 +317,7 @@ def _answered(sent: DataFrame) -> DataFrame:
             mine = same[x : x + len(w)]
             x += len(w)
             take = _spread(at[mine], count[mine])
-            out.append((count[mine].astype(np.uint8).tobytes(), length[take].astype(np.uint8).tobytes(), least[begin[take]].tobytes()))
+            out.append((count[mine].astype(np.uint8).tobytes(), length[take].astype(np.uint8).tobytes(), _zip(least[begin[take]])))
         return pdf[["rng", "shard"]].assign(**{c: [o[i] for o in out] for i, c in enumerate(("n", "runs", "mins"))})
 
     return sent.select("rng", "shard", "windows", "texts", "lows").groupBy("rng").applyInPandas(run, "rng int, shard long, n binary, runs binary, mins binary")
@@ -323,8 +332,8 @@ def _cut(shards: DataFrame, answers: DataFrame) -> DataFrame:
                 body, starts, ids, null = _opened(row)
                 edge = np.zeros(len(body) + 1, np.int32)
                 for x in row.found if row.found is not None else ():
-                    piece, first = np.frombuffer(x["piece"], np.uint32).astype(np.int64), np.frombuffer(x["first"], np.uint32).astype(np.int64)
-                    n, lengths, mins = np.frombuffer(x["n"], np.uint8).astype(np.int64), np.frombuffer(x["runs"], np.uint8).astype(np.int64), np.frombuffer(x["mins"], np.int64)
+                    piece, first = np.frombuffer(_unzip(x["piece"]), np.uint32).astype(np.int64), np.frombuffer(_unzip(x["first"]), np.uint32).astype(np.int64)
+                    n, lengths, mins = np.frombuffer(x["n"], np.uint8).astype(np.int64), np.frombuffer(x["runs"], np.uint8).astype(np.int64), np.frombuffer(_unzip(x["mins"]), np.int64)
                     into = np.cumsum(lengths) - lengths
                     at = np.cumsum(n) - n
                     into -= np.repeat(into[at], n)
@@ -348,13 +357,14 @@ def _cut(shards: DataFrame, answers: DataFrame) -> DataFrame:
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, removed, kept) for each row of docs(doc_id, text): byte ranges removed, and what is left."""
-    bounded(docs.sparkSession)
-    shards = table(_sharded(docs), "shards")
-    size = shards.agg(F.sum(F.octet_length("body"))).first()[0] or 0
-    bits = max(0, math.ceil(math.log2(max(1.0, 2 * size / (_WIDE + 1) / RANGE))))
-    marks = table(_marked(_anchors(shards, bits)), "marks")
-    sent = table(_sent(shards, marks, bits), "pieces")
-    answers = table(_answered(sent), "answers")
+    spark = bounded(docs.sparkSession)
+    with swept(spark):
+        shards = table(_sharded(docs), "shards")
+        size = shards.agg(F.sum("size")).first()[0] or 0
+        bits = max(0, math.ceil(math.log2(max(1.0, 2 * size / (_WIDE + 1) / RANGE))))
+        marks = table(_marked(_anchors(shards, bits)), "marks")
+        sent = table(_sent(shards, marks, bits), "pieces")
+        answers = table(_answered(sent), "answers")
     places = sent.select("rng", "shard", "piece", "first").join(answers, ["rng", "shard"])
     found = places.groupBy("shard").agg(F.collect_list(F.struct("piece", "first", "n", "runs", "mins")).alias("found"))
     return _cut(shards, found)
