@@ -1,4 +1,4 @@
-"""The helpers as grouped Spark operations. Parallelism is the number of series or baskets."""
+"""The helpers as grouped Spark operations: one task a series or basket, or a block of a long series."""
 
 from __future__ import annotations
 
@@ -8,32 +8,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ebbmark.core.windows import KEY
-from ebbmark.functions import helpers
+from ebbmark.functions import blocked, helpers
 
 
-def past_rank(obs: DataFrame, window: int | None, min_periods: int, key: tuple[str, ...] = KEY) -> DataFrame:
-    """Non-null rows of obs(key, date, value) with ``rank`` in all their past or in ``window`` rows of it."""
+def past_rank(obs: DataFrame, window: int | None, min_periods: int, key: tuple[str, ...] = KEY, size: int = blocked.ROWS) -> DataFrame:
+    """Non-null rows of obs(key, date, value) with ``rank`` in all their past or in ``window`` rows of it.
+
+    Series of more than ``size`` rows are ranked in blocks, over many tasks.
+    """
+    rows = obs.filter("value is not null").select(*key, "date", "value")
+    if window is None:
+        return blocked.past_rank(rows, key, min_periods, size)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date")
-        v = pdf["value"].to_numpy(float)
-        return pdf.assign(rank=helpers.causal_rank(v, min_periods) if window is None else helpers.rolling_rank(v, window, min_periods))
-
-    rows = obs.filter("value is not null").select(*key, "date", "value")
-    out = rows.groupBy(*key).applyInPandas(run, f"{_ddl(rows)}, rank double")
+        return pdf.assign(rank=helpers.rolling_rank(pdf["value"].to_numpy(float), window, min_periods))
+
+    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("at")
+        rank = helpers.rolling_rank(pdf["value"].to_numpy(float), window, 1)
+        return pdf.assign(rank=np.where(pdf["at"] + 1 >= min_periods, rank, np.nan))[~pdf["halo"]][[*key, "date", "value", "rank"]]
+
+    shape = f"{_ddl(rows)}, rank double"
+    short, long, _ = blocked.by_length(rows, key, size)
+    out = short.groupBy(*key).applyInPandas(run, shape)
+    if long is not None:
+        halo = blocked.with_halo(blocked.indexed(long, key, size=size), window - 1, size)
+        out = out.unionByName(halo.groupBy(*key, "blk").applyInPandas(inside, shape))
     return out.withColumn("rank", F.when(~F.isnan("rank"), F.col("rank")))
 
 
-def expanding_quantiles(obs: DataFrame, probs: list[float], min_periods: int, key: tuple[str, ...] = KEY) -> DataFrame:
+def expanding_quantiles(obs: DataFrame, probs: list[float], min_periods: int, key: tuple[str, ...] = KEY, size: int = blocked.ROWS) -> DataFrame:
     """obs(key, date, value) with ``quantiles`` (array, null before min_periods)."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date")
-        q = helpers.expanding_quantiles(pdf["value"].to_numpy(float), probs, min_periods)
-        return pdf.assign(quantiles=[None if np.isnan(r).any() else r for r in q])
-
-    rows = obs.select(*key, "date", "value")
-    return rows.groupBy(*key).applyInPandas(run, f"{_ddl(rows)}, quantiles array<double>")
+    return blocked.expanding_quantiles(obs, probs, min_periods, key, size)
 
 
 def first_component(returns: DataFrame, series: list[str], window: int) -> DataFrame:

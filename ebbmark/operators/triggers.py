@@ -6,19 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ebbmark.core.windows import KEY, expanding, rolling
-from ebbmark.functions import grouped
+from ebbmark.functions import blocked, grouped
 
 
-def causal_rank(obs: DataFrame, window: int | None = None, min_periods: int = 252, long_series: bool = True) -> DataFrame:
+def causal_rank(obs: DataFrame, window: int | None = None, min_periods: int = 252, long_series: bool = True, size: int = blocked.ROWS) -> DataFrame:
     """(entity_id, series_id, date, rank): the share of the window that is <= the current value.
 
     Null values are removed first, so windows count observations. Ranks of long series come from numpy
-    helpers, one task a series; ``long_series=False`` uses frames, which hold the window on every row.
+    helpers, in blocks of ``size`` rows; ``long_series=False`` uses frames, which hold the window on every row.
     """
     rows = obs.filter("value is not null").select(*KEY, "date", "value")
     least = min_periods if window is None else min(min_periods, window)
     if long_series:
-        return grouped.past_rank(rows, window, least).select(*KEY, "date", "rank")
+        return grouped.past_rank(rows, window, least, size=size).select(*KEY, "date", "rank")
     over = expanding() if window is None else rolling(window)
     seen = rows.withColumn("xs", F.collect_list("value").over(over))
     share = F.size(F.filter("xs", lambda x: x <= F.col("value"))) / F.size("xs")
