@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ebbmark.core.windows import KEY
+from ebbmark.functions import blocked
 
 #: Days after which an observation no longer stands in for later ones.
 STALE_AFTER = {"daily": 7, "weekly": 21, "monthly": 60}
@@ -17,21 +18,27 @@ def business_days(spans: DataFrame) -> DataFrame:
     return days.drop("lo", "hi")
 
 
-def as_of(obs: DataFrame, calendar: DataFrame, limit_days: int) -> DataFrame:
+def as_of(obs: DataFrame, calendar: DataFrame, limit_days: int, size: int = blocked.ROWS) -> DataFrame:
     """(entity_id, series_id, date, value, as_of): the last value known on each calendar date.
 
     obs(entity_id, series_id, date, knowable_from, value) counts from knowable_from on and drops out
     once its knowable_from is older than the limit. Observations and calendar rows are one ordered
     stream per series, so this is one shuffle and no range join; of observations known on one day the
-    latest date wins.
+    latest date wins. Streams of more than ``size`` rows are filled in blocks: the last observation of
+    each block is carried into the blocks after it.
     """
-    rows = obs.filter("value is not null").select(*KEY, F.col("knowable_from").alias("at"), F.lit(0).alias("kind"), "value", F.col("date").alias("as_of"), F.col("knowable_from").alias("known"))
-    none = lambda c, t: F.lit(None).cast(t).alias(c)
-    days = calendar.select(*KEY, F.col("date").alias("at"), F.lit(1).alias("kind"), none("value", "double"), none("as_of", "date"), none("known", "date"))
-    past = Window.partitionBy(*KEY).orderBy("at", "kind", "as_of").rowsBetween(Window.unboundedPreceding, 0)
-    filled = rows.unionByName(days).select(*KEY, "at", "kind", *(F.last(c, ignorenulls=True).over(past).alias(c) for c in ("value", "as_of", "known")))
-    fresh = F.datediff("at", "known") <= limit_days
-    return filled.filter("kind = 1").select(*KEY, F.col("at").alias("date"), F.when(fresh, F.col("value")).alias("value"), F.when(fresh, F.col("as_of")).alias("as_of"))
+    last = F.struct("value", F.col("date").alias("as_of"), F.col("knowable_from").alias("known"))
+    rows = obs.filter("value is not null").select(*KEY, F.col("knowable_from").alias("day"), F.lit(0).alias("kind"), F.col("date").alias("as_of"), last.alias("last"))
+    empty = dict(rows.dtypes)["last"]
+    days = calendar.select(*KEY, F.col("date").alias("day"), F.lit(1).alias("kind"), F.lit(None).cast("date").alias("as_of"), F.lit(None).cast(empty).alias("last"))
+    order = ("day", "kind", "as_of")
+    short, long, _ = blocked.by_length(rows.unionByName(days), KEY, size)
+    past = Window.partitionBy(*KEY).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    filled = short.withColumn("last", F.last("last", ignorenulls=True).over(past))
+    if long is not None:
+        filled = filled.unionByName(blocked.last_known(blocked.indexed(long, KEY, order, size), KEY, "last", size).drop("at"))
+    fresh = F.datediff("day", "last.known") <= limit_days
+    return filled.filter("kind = 1").select(*KEY, F.col("day").alias("date"), F.when(fresh, F.col("last.value")).alias("value"), F.when(fresh, F.col("last.as_of")).alias("as_of"))
 
 
 def complete_pairs(a: DataFrame, b: DataFrame, on: list[str], values: list[str]) -> DataFrame:

@@ -6,12 +6,12 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ebbmark.core.tables import small, table
 from ebbmark.core.windows import KEY, ordered, ratio
-from ebbmark.functions import helpers
+from ebbmark.functions import blocked, helpers
 from ebbmark.operators.readings import QUANTILES, calibrated
 
 SIGNAL_KEY = ("entity_id", "side", "horizon")
@@ -32,7 +32,38 @@ def paired(forward: DataFrame, signals: DataFrame) -> DataFrame:
     return rows.withColumn("hit", F.when(F.col("side") == "sell", F.col("fwd") < 0).otherwise(F.col("fwd") > 0).cast("double"))
 
 
-def mean_difference(rows: DataFrame) -> DataFrame:
+def _numbered(rows: DataFrame, size: int) -> tuple[DataFrame, DataFrame | None]:
+    """rows with ``at``, their number by date within the key: of short keys by a window, of long ones as blocked.indexed()."""
+    short, long, _ = blocked.by_length(rows, SIGNAL_KEY, size)
+    place = F.row_number().over(Window.partitionBy(*SIGNAL_KEY).orderBy("date")) - 1
+    return short.withColumn("at", place.cast("long")), None if long is None else blocked.indexed(long, SIGNAL_KEY, size=size).withColumn("at", F.col("at").cast("long"))
+
+
+def _moving_totals(rows: DataFrame, horizons: list[int], size: int) -> DataFrame:
+    """rows(key, date, g) with at, c (the running total of g) and before (c as many rows earlier as the lags plus one).
+
+    A long key's running total is a scan of blocks and block totals; the earlier total is at hand in the block,
+    as each block also has the last rows of the one before.
+    """
+    key, far = list(SIGNAL_KEY), max([2, *horizons])
+    short, long = _numbered(rows, size)
+
+    def earlier(df: DataFrame, *by: str) -> DataFrame:
+        ordered_ = Window.partitionBy(*key, *by).orderBy("at")
+        before = F.lit(None).cast("double")
+        for h in horizons:
+            before = F.when(F.col("horizon") == h, F.lag("c", max(h, 2)).over(ordered_)).otherwise(before)
+        return df.withColumn("before", before)
+
+    upto = Window.partitionBy(*key).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    out = earlier(short.withColumn("c", F.sum("g").over(upto)))
+    if long is None:
+        return out
+    runs = table(blocked.running_sum(long, SIGNAL_KEY, ["g"], size).withColumnRenamed("run_g", "c"), "runs")
+    return out.unionByName(earlier(blocked.with_halo(runs, far, size), "blk").filter("not halo").drop("blk", "halo"))
+
+
+def mean_difference(rows: DataFrame, size: int = blocked.ROWS) -> DataFrame:
     """(key, difference, se, t_stat, n, n_signal, n_effective, lags): dummy regression, Newey-West errors.
 
     rows(key, date, fwd, sig). For a constant and a dummy everything is sums: with u the residual, the
@@ -55,15 +86,10 @@ def mean_difference(rows: DataFrame) -> DataFrame:
     enough = means.filter("n >= 30 and n1 >= 5 and n - n1 >= 5")
     score = F.when(F.col("sig"), (F.col("fwd") - F.col("m1")) / F.col("n1")).otherwise(-(F.col("fwd") - F.col("m0")) / (F.col("n") - F.col("n1")))
     lags = F.greatest(F.col("horizon") - 1, F.lit(1))
-    by_date = Window.partitionBy(*key).orderBy("date")
-    summed = rows.join(small(enough), key).select(*key, "date", "n", score.alias("g"), F.row_number().over(by_date).alias("rn"))
-    summed = summed.withColumn("c", F.sum("g").over(by_date.rowsBetween(Window.unboundedPreceding, 0)))
-    before = F.lit(None).cast("double")
-    for h in horizons:
-        before = F.when(F.col("horizon") == h, F.lag("c", max(h, 2)).over(by_date)).otherwise(before)
-    moving = F.col("c") - F.coalesce(before, F.lit(0.0))
+    summed = _moving_totals(rows.join(small(enough), key).select(*key, "date", "n", score.alias("g")), horizons, size)
+    moving = F.col("c") - F.coalesce("before", F.lit(0.0))
     # residuals add up to zero, so what is left from a row on is minus the total before it
-    rest = F.when((F.col("rn") > 1) & (F.col("rn") > F.col("n") - lags), F.col("c") - F.col("g")).otherwise(0.0)
+    rest = F.when((F.col("at") > 0) & (F.col("at") >= F.col("n") - lags), F.col("c") - F.col("g")).otherwise(0.0)
     squares = summed.select(*key, (moving * moving + rest * rest).alias("sq"))
     variance = squares.groupBy(*key).agg((F.sum("sq") / (F.first(lags) + 1)).alias("v"))
     se = F.sqrt(F.greatest(F.col("v"), F.lit(0.0)))
@@ -81,11 +107,11 @@ def mean_difference(rows: DataFrame) -> DataFrame:
     )
 
 
-def non_overlapping(rows: DataFrame) -> DataFrame:
+def non_overlapping(rows: DataFrame, size: int = blocked.ROWS) -> DataFrame:
     """(key, difference, dispersion, n_blocks, offsets_used): every horizon-th complete row, over all offsets."""
     key = list(SIGNAL_KEY)
-    at = F.pmod(F.row_number().over(Window.partitionBy(*key).orderBy("date")) - 1, F.col("horizon"))
-    cut = rows.select(*key, "fwd", "sig", at.alias("offset"))
+    short, long = _numbered(rows.select(*key, "date", "fwd", "sig"), size)
+    cut = (short if long is None else short.unionByName(long)).withColumn("offset", F.pmod("at", F.col("horizon")))
     each = cut.groupBy(*key, "offset").agg(
         F.count("*").alias("n"),
         F.count_if("sig").alias("n1"),
@@ -150,29 +176,54 @@ def _fanned(rows: DataFrame, key: list[str], n_boot: int, chunk: int) -> DataFra
     return rows.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit((n_boot - 1) // chunk))))
 
 
-def bootstrap_lift(rows: DataFrame, n_boot: int = 500, seed: int = 0, alpha: float = 0.05, chunk: int = 100, mean_block: int | None = None) -> DataFrame:
+def drawn_blocks(sizes: DataFrame, key: list[str], n_boot: int, mean_block: Column, seed: int = 0) -> DataFrame:
+    """(key, rep, start, length): the stationary bootstrap's blocks for sizes(key, n), n rows in all for each replicate.
+
+    Block j of a replicate begins anywhere alike and is 1 + geometric long, wrapping round the end; both come from
+    the md5 of (seed, key, replicate, j), so any engine draws the same. Twice as many blocks as are expected, and
+    20 more, are drawn; should they not do, the last one is as long as it must be.
+    """
+    n, b = F.col("n"), F.col("b")
+    reps = sizes.select(*key, "n", mean_block.cast("double").alias("b")).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
+    most = F.ceil(2 * n / b).cast("int") + 20
+    each = reps.withColumn("last", most - 1).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("last"))))
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(k).cast("string") for k in key), F.col("rep").cast("string"), F.col("j").cast("string")).cast("binary"))
+    each = each.withColumn("h", digest)
+    whole = lambda at: F.conv(F.substring("h", at, 8), 16, 10).cast("long")
+    start = F.floor(whole(1) * n / F.lit(2.0**32)).cast("long")
+    length = F.when(b > 1, 1 + F.floor(F.ln((whole(9) + 0.5) / F.lit(2.0**32)) / F.ln(1 - 1 / b))).otherwise(1).cast("long")
+    before = F.coalesce(F.sum("length").over(Window.partitionBy(*key, "rep").orderBy("j").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    laid = each.withColumn("start", start).withColumn("length", F.when(F.col("j") == F.col("last"), n).otherwise(F.least(length, n))).withColumn("before", before)
+    return laid.filter(F.col("before") < n).select(*key, "n", "rep", "start", F.least("length", n - F.col("before")).alias("length"))
+
+
+def bootstrap_lift(rows: DataFrame, n_boot: int = 500, seed: int = 0, alpha: float = 0.05, mean_block: int | None = None, size: int = blocked.ROWS) -> DataFrame:
     """(key, lift_lo, lift_hi): stationary-bootstrap interval of the lift.
 
-    Replicates are dealt in chunks over tasks; each draws from (seed, key, replicate), so the result
-    does not depend on how. Fewer than 20 usable replicates give null.
+    No replicate copies its series: it is its blocks, and a block's counts are differences of running totals at
+    its ends, which a join looks up. Replicates with fewer than 5 rows on either side do not count; fewer than 20
+    usable ones give null.
     """
     key = list(SIGNAL_KEY)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date")
-        hit, sig = pdf["hit"].to_numpy(float), pdf["sig"].to_numpy(bool)
-        first = pdf.iloc[0]
-        reps = np.arange(first["chunk"] * chunk, min(n_boot, (first["chunk"] + 1) * chunk))
-        lift = []
-        for rep in reps:  # one replicate's rows at a time
-            at = helpers.stationary_bootstrap(len(hit), mean_block or max(int(first["horizon"]), 2), [seed, _seed(*(first[k] for k in key))], [rep])[0]
-            n1 = sig[at].sum()
-            if n1 >= 5 and len(hit) - n1 >= 5:
-                lift.append((hit[at] * sig[at]).sum() / n1 - hit[at].mean())
-        return pd.DataFrame({**{k: first[k] for k in key}, "lift": lift}, index=range(len(lift)))
-
-    draws = _fanned(rows.select(*key, "date", "hit", "sig"), key, n_boot, chunk).groupBy(*key, "chunk").applyInPandas(run, "entity_id string, side string, horizon int, lift double")
-    q = draws.groupBy(*key).agg(F.count("*").alias("kept"), F.percentile("lift", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("q"))
+    short, long = _numbered(rows.select(*key, "date", F.col("hit").cast("double").alias("hit"), F.col("sig").cast("double").alias("on"), (F.col("hit") * F.col("sig").cast("double")).alias("both")), size)
+    upto = Window.partitionBy(*key).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    counts = ["hit", "on", "both"]
+    runs = short.withColumns({f"run_{c}": F.sum(c).over(upto) for c in counts})
+    if long is not None:
+        runs = runs.unionByName(blocked.running_sum(long, SIGNAL_KEY, counts, size))
+    # totals of the rows before a place; place n has those of all rows
+    totals = table(runs.select(*key, (F.col("at") + 1).alias("at"), F.struct(*(F.col(f"run_{c}").alias(c) for c in counts)).alias("t")), "totals")
+    sizes = table(totals.groupBy(*key).agg(F.max("at").alias("n"), F.max_by("t", "at").alias("all")), "sizes")
+    drawn = drawn_blocks(sizes, key, n_boot, F.greatest("horizon", F.lit(2)) if mean_block is None else F.lit(mean_block), seed)
+    end = F.col("start") + F.col("length")
+    # a block that wraps is all of the series less what lies between its ends
+    ends = drawn.select(*key, "n", "rep", F.explode(F.array(F.struct(F.lit(-1.0).alias("by"), F.col("start").alias("at"), F.lit(False).alias("wraps")), F.struct(F.lit(1.0).alias("by"), F.when(end > F.col("n"), end - F.col("n")).otherwise(end).alias("at"), (end > F.col("n")).alias("wraps")))).alias("e")).select(*key, "n", "rep", "e.*")
+    met = ends.join(totals, [*key, "at"], "left").join(small(sizes.drop("n")), key)
+    part = lambda c: F.sum(F.col("by") * F.coalesce(F.col(f"t.{c}"), F.lit(0.0)) + F.when(F.col("wraps"), F.col(f"all.{c}")).otherwise(0.0)).alias(c)
+    each = met.groupBy(*key, "n", "rep").agg(*(part(c) for c in counts)).filter("on >= 5 and n - on >= 5")
+    lift = F.col("both") / F.col("on") - F.col("hit") / F.col("n")
+    q = each.groupBy(*key).agg(F.count("*").alias("kept"), F.percentile(lift, F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("q"))
+    q = sizes.select(*key).join(q, key, "left")
     return q.select(*key, *(F.when(F.col("kept") >= 20, F.get("q", F.lit(i))).alias(c) for i, c in enumerate(("lift_lo", "lift_hi"))))
 
 

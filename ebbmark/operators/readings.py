@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ebbmark.core.tables import table
 from ebbmark.core.windows import expanding, held, ratio
-from ebbmark.functions import grouped
+from ebbmark.functions import blocked, grouped
 from ebbmark.operators.triggers import checked_rules, fired, hinge
 
 #: Published bands: name and lower edge; anything outside is the last band.
@@ -127,12 +127,12 @@ def calibrated(reads: DataFrame) -> DataFrame:
     return q.select("entity_id", "side", "mode", F.explode(F.array(*(F.struct(F.lit(n).alias("band"), F.get("q", F.lit(i)).alias("threshold")) for i, (n, _) in enumerate(QUANTILES)))).alias("x")).select("entity_id", "side", "mode", "x.*")
 
 
-def walk_forward(reads: DataFrame, min_periods: int = 756, long_series: bool = True) -> DataFrame:
+def walk_forward(reads: DataFrame, min_periods: int = 756, long_series: bool = True, size: int = blocked.ROWS) -> DataFrame:
     """reads with ``thresholds`` (array by QUANTILES) from each row's own past."""
     key = ("entity_id", "side", "mode")
     if long_series:
         rows = reads.select(*key, "date", F.col("reading").alias("value"))
-        return grouped.expanding_quantiles(rows, [p for _, p in QUANTILES], min_periods, key).select(*key, "date", F.col("quantiles").alias("thresholds"))
+        return grouped.expanding_quantiles(rows, [p for _, p in QUANTILES], min_periods, key, size).select(*key, "date", F.col("quantiles").alias("thresholds"))
     over = expanding(*key)
     q = held(F.percentile("reading", F.array(*(F.lit(p) for _, p in QUANTILES))), "reading", over, min_periods)
     return reads.select(*key, "date", q.alias("thresholds"))

@@ -91,15 +91,27 @@ def published_denominator(spark, sf_dir):
     return triggers.published_denominator(triggers.checked_rules(D.rules(spark)).join(small(used), F.col("input_id") == F.col("series_id"), "left_semi"))
 
 
+@query(SQL["rank_expanding"])
+def rank_expanding_blocks(spark, sf_dir):
+    """rank_expanding with every series cut into blocks of 400 rows."""
+    ranks = triggers.causal_rank(D.obs(spark, sf_dir), min_periods=D.MIN_PERIODS, size=400)
+    return tidy(ranks.withColumnRenamed("series_id", "input_id"))
+
+
+@query(SQL["rank_rolling"])
+def rank_rolling_blocks(spark, sf_dir):
+    return tidy(triggers.causal_rank(D.obs(spark, sf_dir), 100, 60, size=400))
+
+
 @query(
     D.sql("nn")
-    + "select a.entity_id, a.series_id, a.date, years::bigint as years, case when least(a.rn, 252 * years) >= 60 then round(count(*) filter (where b.value <= a.value and b.rn > a.rn - 252 * years) / least(a.rn, 252 * years)::double, 6) end as rank from nn a join nn b on a.entity_id = b.entity_id and a.series_id = b.series_id and b.rn between a.rn - 755 and a.rn cross join (values (1), (3)) t(years) group by a.entity_id, a.series_id, a.date, a.rn, years"
+    + "select a.entity_id, a.series_id, a.date, years::bigint as years, case when least(a.rn, 252 * years) >= 60 then round(count(*) filter (where b.value <= a.value and b.rn > a.rn - 252 * years) / least(a.rn, 252 * years)::double, 6) end as rank from nn a join nn b on a.entity_id = b.entity_id and a.series_id = b.series_id and b.rn between a.rn - 1259 and a.rn cross join (values (1), (3), (5)) t(years) group by a.entity_id, a.series_id, a.date, a.rn, years"
 )
 def rank_years(spark, sf_dir):
     """Ranks over windows given in years."""
     o = D.obs(spark, sf_dir)
-    one, three = (triggers.causal_rank(o, year_rows(y), D.MIN_PERIODS).withColumn("years", F.lit(y)) for y in (1, 3))
-    return tidy(one.unionByName(three))
+    one, three, five = (triggers.causal_rank(o, year_rows(y), D.MIN_PERIODS).withColumn("years", F.lit(y)) for y in (1, 3, 5))
+    return tidy(one.unionByName(three).unionByName(five))
 
 
 # --- readings
@@ -140,7 +152,16 @@ _FORWARD = ", ".join(f"case when count(reading) over w >= 100 then round(quantil
 
 @query(D.sql("reads") + f"select entity_id, side, mode, date, {_FORWARD} from reads window w as (partition by entity_id, side, mode order by date rows unbounded preceding)")
 def bands_walk_forward(spark, sf_dir):
-    out = readings.walk_forward(_reads(spark, sf_dir), 100)
+    return _walked(readings.walk_forward(_reads(spark, sf_dir), 100))
+
+
+@query(SQL["bands_walk_forward"])
+def bands_walk_forward_blocks(spark, sf_dir):
+    """The same with every reading's history cut into blocks of 500 rows."""
+    return _walked(readings.walk_forward(table(_reads(spark, sf_dir), "reads"), 100, size=500))
+
+
+def _walked(out: DataFrame) -> DataFrame:
     return tidy(out.select("entity_id", "side", "mode", "date", *(F.get("thresholds", F.lit(i)).alias(n.lower()) for i, (n, _) in enumerate(readings.QUANTILES))))
 
 
@@ -270,6 +291,12 @@ def e4_mean_difference(spark, sf_dir):
     return tidy(evaluation.mean_difference(_pairs(spark, sf_dir)))
 
 
+@query(SQL["e4_mean_difference"])
+def e4_mean_difference_blocks(spark, sf_dir):
+    """The same with running totals as scans of blocks of 300 rows."""
+    return tidy(evaluation.mean_difference(_pairs(spark, sf_dir), size=300))
+
+
 @query(D.sql("apart") + "select entity_id, side, horizon::bigint as horizon, round(difference, 6) as difference, round(dispersion, 6) as dispersion, round(n_blocks, 6) as n_blocks, offsets_used from apart")
 def e5_non_overlapping(spark, sf_dir):
     return tidy(evaluation.non_overlapping(_pairs(spark, sf_dir)))
@@ -295,7 +322,7 @@ def e7_by_band(spark, sf_dir):
     return tidy(evaluation.evaluate_by_band(_pairs(spark, sf_dir).withColumn("band", readings.band(F.col("reading")))))
 
 
-@query()
+@query(D.sql("lifts", "groups") + "select entity_id, side, horizon::bigint as horizon, round(lift_lo, 6) as lift_lo, round(lift_hi, 6) as lift_hi from groups left join lifts using (entity_id, side, horizon)")
 def e9_bootstrap_lift(spark, sf_dir):
     return tidy(evaluation.bootstrap_lift(_pairs(spark, sf_dir)))
 
@@ -338,7 +365,7 @@ def e12_bands(spark, sf_dir):
     return tidy(evaluation.thresholds(table(_reads(spark, sf_dir), "reads"), n_boot=300))
 
 
-@query()
+@query(D.sql("md", "apart", "lifts", boots=300, horizons=(21, 63, 126)) + _RATES.replace("as lift_ratio", "as lift_ratio, round(lift_lo, 6) as lift_lo, round(lift_hi, 6) as lift_hi") + " left join lifts using (entity_id, side, horizon)")
 def e12_full_evaluation(spark, sf_dir):
     return tidy(evaluation.full_evaluation(D.prices(spark, sf_dir), _signals(spark, sf_dir)))
 
@@ -387,6 +414,14 @@ def as_of_align(spark, sf_dir):
     return tidy(alignment.as_of(rows, alignment.business_days(spans), alignment.STALE_AFTER["weekly"]))
 
 
+@query(SQL["as_of_align"])
+def as_of_align_blocks(spark, sf_dir):
+    """The same with every stream of observations and days filled in blocks of 600 rows."""
+    rows = table(_weekly(spark, sf_dir), "weekly")
+    spans = rows.groupBy("entity_id", "series_id").agg(F.min("knowable_from").alias("lo"), F.date_add(F.max("knowable_from"), 40).alias("hi"))
+    return tidy(alignment.as_of(rows, alignment.business_days(spans), alignment.STALE_AFTER["weekly"], size=600))
+
+
 _CHECKED = """t as (select o_orderkey as role, cast(o_orderdate as date) as as_of, o_totalprice as expected, o_orderstatus <> 'P' as must_match from orders),
 f as (select l_orderkey as role, cast(min(l_shipdate) as date) as as_of, cast(sum(l_extendedprice::decimal(18,2)) as double) as actual from lineitem group by 1),
 c as (select t.*, case when actual is null then 'missing' when f.as_of < t.as_of then 'date_mismatch' when abs(actual - expected) / abs(expected) <= 0.25 then 'match' else 'mismatch' end as result from t left join f using (role))"""

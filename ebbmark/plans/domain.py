@@ -91,14 +91,15 @@ def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.unionByName(spark.createDataFrame([("C99", "empty", "EMPTY", 1, False, False)], schemas.CONTRACTS))
 
 
-def sql(*names: str) -> str:
-    """with-clause of the named expressions and what they need."""
+def sql(*names: str, boots: int = 500, horizons: tuple[int, ...] = (5, 21)) -> str:
+    """with-clause of the named expressions and what they need; bootstraps draw ``boots`` replicates."""
     seen: dict[str, str] = {}
 
     def add(name: str) -> None:
         needs, body = CTE[name]
         for n in needs:
             add(n)
+        body = body.replace("{boots}", str(boots)).replace("{fwd}", " union all ".join(f"select *, {h} as h, lead(value, {h}) over ({W}) / nullif(value, 0) - 1 as fwd from prices" for h in horizons))
         seen.setdefault(name, f"{name} as materialized ({body})")
 
     for n in names:
@@ -160,7 +161,7 @@ CTE: dict[str, tuple[tuple[str, ...], str]] = {
         f"select *, case when mad <> 0 then greatest(-3, least(3, (value - med) / (1.4826 * mad))) end as z from (select *, case when count(dev) over w >= 63 then quantile_cont(dev, 0.5) over w end as mad from"
         f" (select *, abs(value - med) as dev from (select *, case when count(value) over w >= 63 then quantile_cont(value, 0.5) over w end as med from legs window w as ({W} rows 251 preceding))) window w as ({W} rows 251 preceding))",
     ),
-    "fwd": (("prices",), "select entity_id, date, h as horizon, fwd from (" + " union all ".join(f"select *, {h} as h, lead(value, {h}) over ({W}) / nullif(value, 0) - 1 as fwd from prices" for h in (5, 21)) + ")"),
+    "fwd": (("prices",), "select entity_id, date, h as horizon, fwd from ({fwd})"),
     "signals": (("one",), "select entity_id, side, date, replica >= 0.2 as sig, replica as reading from one"),
     "pairs": (
         ("fwd", "signals"),
@@ -187,6 +188,25 @@ CTE: dict[str, tuple[tuple[str, ...], str]] = {
         ("offsets",),
         "select entity_id, side, horizon, case when sum(n) >= 4 * horizon then avg(d) filter (where ok) end as difference, case when sum(n) >= 4 * horizon then stddev_pop(d) filter (where ok) end as dispersion, coalesce(case when sum(n) >= 4 * horizon then avg(n) filter (where ok) end, 0) as n_blocks, case when sum(n) >= 4 * horizon then count(*) filter (where ok) else 0 end::double as offsets_used from (select *, n1 >= 3 and n - n1 >= 3 as ok from offsets) group by entity_id, side, horizon",
     ),
+    "blocks": (
+        ("pairs",),
+        "select *, least(len, n - before) as length from (select *, coalesce(sum(len) over (partition by entity_id, side, horizon, rep order by j rows between unbounded preceding and 1 preceding), 0)::bigint as before from"
+        " (select entity_id, side, horizon, n, rep, j, floor(('0x' || h[1:8])::bigint * n / 4294967296.0)::bigint as start, case when j = last then n else least(n, 1 + floor(ln((('0x' || h[9:16])::bigint + 0.5) / 4294967296.0) / ln(1 - 1 / b))::bigint) end as len from"
+        " (select *, md5('0|' || entity_id || '|' || side || '|' || horizon || '|' || rep || '|' || j) as h from (select *, unnest(range(0, last + 1)) as j from"
+        " (select *, ceil(2 * n / b)::bigint + 19 as last, unnest(range(0, {boots})) as rep from (select entity_id, side, horizon, count(*) as n, greatest(horizon, 2)::double as b from pairs group by all)))))) where before < n",
+    ),
+    "totals": (
+        ("pairs",),
+        "select entity_id, side, horizon, rn as at, sum(hit) over w as hit, sum(sig::int) over w as sig, sum(hit * sig::int) over w as both_ from pairs window w as (partition by entity_id, side, horizon order by rn)"
+        " union all select distinct entity_id, side, horizon, 0, 0, 0, 0 from pairs",
+    ),
+    "lifts": (
+        ("blocks", "totals"),
+        "select entity_id, side, horizon, case when count(*) >= 20 then quantile_cont(lift, 0.025) end as lift_lo, case when count(*) >= 20 then quantile_cont(lift, 0.975) end as lift_hi from"
+        " (select b.entity_id, b.side, b.horizon, rep, sum(e.both_ - s.both_ + w * z.both_) / nullif(sum(e.sig - s.sig + w * z.sig), 0) - sum(e.hit - s.hit + w * z.hit) / any_value(b.n) as lift, sum(e.sig - s.sig + w * z.sig) as n1, any_value(b.n) as n"
+        " from (select *, (start + length > n)::int as w, start + length - case when start + length > n then n else 0 end as stop from blocks) b join totals s on (s.entity_id, s.side, s.horizon, s.at) = (b.entity_id, b.side, b.horizon, b.start)"
+        " join totals e on (e.entity_id, e.side, e.horizon, e.at) = (b.entity_id, b.side, b.horizon, b.stop) join totals z on (z.entity_id, z.side, z.horizon, z.at) = (b.entity_id, b.side, b.horizon, b.n) group by 1, 2, 3, 4) where n1 >= 5 and n - n1 >= 5 group by 1, 2, 3",
+    ),
     "rates": (("one",), "select entity_id, side, 'replica' as mode, sum(fired_count) / sum(denominator)::double as p from one group by 1, 2"),
     "binomial": (
         ("rates",),
