@@ -44,7 +44,7 @@ from ebbmark.llm.batches import bounded, swept
 
 LENGTH, ANCHOR = 50, 16
 #: Bytes of texts in a shard and of pieces in a suffix array, anchors of a range, occurrences of a hot anchor.
-SHARD_BYTES, SUFFIX_BYTES, RANGE, HOT = 4 << 20, 2 << 20, 1 << 17, 1 << 14
+SHARD_BYTES, SUFFIX_BYTES, RANGE, HOT = 4 << 20, 256 << 10, 1 << 17, 1 << 14
 _WIDE = LENGTH - ANCHOR + 1
 #: The low bits of an anchor in a run hold the logarithm of its occurrences in the shard.
 _LOW = np.uint64(15)
@@ -278,7 +278,7 @@ def least_ids(texts: np.ndarray, sizes: np.ndarray, lows: np.ndarray, limit: int
         for other_h, other_head, other in known[i + 1 :]:
             spot = np.minimum(np.searchsorted(other_h, h), len(other_h) - 1)
             hit = np.flatnonzero(other_h[spot] == h)
-            hit = hit[(texts[head[hit][:, None] + row] == texts[other_head[spot[hit]][:, None] + row]).all(axis=1)]
+            hit = np.concatenate([x[(texts[head[x][:, None] + row] == texts[other_head[spot[x]][:, None] + row]).all(axis=1)] for x in np.array_split(hit, len(hit) // 8192 + 1)])
             both = np.minimum(least[hit], other[spot[hit]])
             least[hit] = both
             other[spot[hit]] = both
