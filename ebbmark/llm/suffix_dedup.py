@@ -102,7 +102,8 @@ def pieces(body: np.ndarray, starts: np.ndarray, skip: np.ndarray) -> tuple[np.n
     p = np.flatnonzero(inside)
     a = at[p]
     cut = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (p[1:] != p[:-1] + 1)])) if len(p) else np.empty(0, np.int64)
-    return p[cut], np.diff(np.append(cut, len(p))), h[a[cut]] & ~_LOW
+    # least hashes are small; mixed again they fall evenly into ranges
+    return p[cut], np.diff(np.append(cut, len(p))), tb.mix(h[a[cut]]) & ~_LOW
 
 
 def _opened(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
