@@ -5,7 +5,7 @@ A transcript is text whose turns may or may not begin with a speaker marker (``U
 features: the role its marker names, whether a blank line stands before it, whether it asks, its length
 class. Start, transition and emission counts are gathered from all labelled transcripts as one small
 table of sums (states x feature values, fixed size) and smoothed by adding one; Viterbi then finds the
-most likely roles, and every turn is rendered as ``<|role|>``, its lines without marker, ``<|end|>``.
+most likely roles, and every turn is rendered as ``<|role|>``, its lines, the first without the marker of its role, ``<|end|>``.
 
 A conversation of any length is decoded as one: a long one is kept as several rows, each row's best scores
 between any two states are a small matrix, the matrices of a conversation chained in order settle the state
@@ -47,8 +47,8 @@ STATES = 2 * len(ROLES)
 WIDTH = sum(SIZES)
 
 
-def lines_of(text: str | None) -> list[tuple[str, int, bool]]:
-    """(content without marker, marker role or -1, blank line before) of each line that is not blank."""
+def lines_of(text: str | None) -> list[tuple[str, int, bool, str]]:
+    """(content without marker, marker role or -1, blank line before, whole line) of each line that is not blank."""
     out, blank = [], False
     for line in (text or "").split("\n"):
         if not line.strip():
@@ -57,14 +57,14 @@ def lines_of(text: str | None) -> list[tuple[str, int, bool]]:
         role, rest = -1, line
         if (m := _MARK.match(line) or _HEAD.match(line)) and (r := _ROLE_OF.get(m[1].strip().lower())) is not None:
             role, rest = r, line[m.end() :]
-        out.append((rest, role, blank))
+        out.append((rest, role, blank, line))
         blank = False
     return out
 
 
-def features(lines: list[tuple[str, int, bool]]) -> np.ndarray:
+def features(lines: list[tuple[str, int, bool, str]]) -> np.ndarray:
     """Feature values per line."""
-    rows = [(role + 1, int(blank), int(rest.rstrip().endswith("?")), min(4, len(rest) // 120)) for rest, role, blank in lines]
+    rows = [(role + 1, int(blank), int(rest.rstrip().endswith("?")), min(4, len(rest) // 120)) for rest, role, blank, _ in lines]
     return np.array(rows, np.int64).reshape(-1, len(SIZES))
 
 
@@ -112,12 +112,16 @@ def borders(blocks: list[np.ndarray]) -> list[int]:
     return out[::-1]
 
 
-def render(lines: list[tuple[str, int, bool]], path: np.ndarray, opened: bool = False, last: bool = True) -> tuple[list[str], str]:
-    """Roles of the turns that begin here, and the text. ``opened``: a turn stands open from the row before;
+def render(lines: list[tuple[str, int, bool, str]], path: np.ndarray, opened: bool = False, last: bool = True) -> tuple[list[str], str]:
+    """Roles of the turns that begin here, and the text. A marker is taken off only where a turn of its role
+    begins; any other line is written as it is, so that no text is lost. ``opened``: a turn stands open from the row before;
     ``last``: no row follows, so the last turn is closed."""
     roles, out = [], []
-    for (rest, _, blank), state in zip(lines, path):
-        if state % 2 == 0 or not (roles or opened):
+    for (rest, role, blank, line), state in zip(lines, path):
+        begins = state % 2 == 0 or not (roles or opened)
+        if not begins or role != state // 2:
+            rest = line
+        if begins:
             if roles or opened:
                 out.append("<|end|>")
             roles.append(ROLES[state // 2])
@@ -168,7 +172,9 @@ def parameters(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     emit = sums[:, 1 + STATES :] + 1.0
     for s in range(STATES):
         emit[s, 1:4] -= 0.99  # a marker seldom names another role
-        emit[s, 1 + s // 2] += 8 * (s % 2 == 0)
+        if s % 2 == 0:
+            emit[s, [1 + r for r in range(len(ROLES)) if r != s // 2]] = 1e-9  # a turn that begins with a marker is of its role
+            emit[s, 1 + s // 2] += 8
     at = 0
     for n in SIZES:
         emit[:, at : at + n] /= emit[:, at : at + n].sum(axis=1, keepdims=True)

@@ -114,12 +114,26 @@ def literal_score(value: str | Look) -> float:
     return min(1.0, entropy / 3.5) * (0.4 if mixed == 1 else 0.8 if mixed == 2 else 1.0)
 
 
+def _carried(marks: list[float], below: list[list[int]]) -> None:
+    """Give every node the highest mark of the nodes that lead to it: from the highest mark down, each node is
+    reached once, also where names refer to each other in a circle."""
+    done = [False] * len(marks)
+    for i in sorted(range(len(marks)), key=marks.__getitem__, reverse=True):
+        mark, todo = marks[i], [i]
+        if mark <= 0:
+            return
+        while todo:
+            j = todo.pop()
+            if not done[j]:
+                done[j], marks[j] = True, mark
+                todo += below[j]
+
+
 def literals(text: str) -> list[tuple[int, int, float]]:
     """(start, end, score) of each literal that reaches a sensitive name.
 
-    Literals and values are nodes in text order; a value points to the nodes it is made of, all of them
-    earlier, so one pass from the last to the first carries the weights of names down to the literals. A name
-    used before it is bound points forward instead; passes alternate until nothing changes.
+    Literals and values are nodes; a value points to the nodes it is made of, a name used before it is bound to
+    its later value. The weights of names go down to the literals along these links, each followed once.
     """
     bound: dict[str, tuple[int, Look]] = {}
     waiting: dict[str, list[int]] = {}  # nodes of names not bound yet
@@ -159,20 +173,10 @@ def literals(text: str) -> list[tuple[int, int, float]]:
             if use != parts[0] or len(parts) > 1:  # not the name on its own right side
                 spans[use] = None
                 forward.append((use, value))
-    forward.sort()
-
-    def carry(i: int, j: int) -> bool:
-        if weights[j] >= weights[i] and scores[j] >= scores[i]:
-            return False
-        weights[j], scores[j] = max(weights[j], weights[i]), max(scores[j], scores[i])
-        return True
-
-    more = True
-    while more:
-        for i in range(len(spans) - 1, -1, -1):
-            for j in below[i]:
-                carry(i, j)
-        more = any([carry(i, j) for i, j in forward])
+    for use, value in forward:
+        below[use] = [*below[use], value]
+    _carried(weights, below)
+    _carried(scores, below)
     out = []
     for i, span in enumerate(spans):
         if span is not None and weights[i] and span[1] > span[0]:

@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from ebbmark.llm import collocation, search, suffix_dedup
+from ebbmark.llm import chat, collocation, search, secrets, suffix_dedup
 from ebbmark.llm import textbytes as tb
 
 RNG = np.random.default_rng(5)
@@ -194,3 +194,51 @@ def test_words_of_any_length_hash_by_their_bytes():
     ends = np.cumsum([len(w) for w in words])
     body = np.frombuffer(b"".join(words) + bytes(tb.PAD), np.uint8)
     assert len(set(tb.hashed(body, ends - [len(w) for w in words], ends))) == len(words)
+
+
+# --- secrets and transcripts
+
+
+def test_a_long_chain_of_later_constants_is_linear():
+    import time
+
+    n = 50_000
+    text = "password = a0\n" + "".join(f"a{i} = a{i + 1}\n" for i in range(n)) + f'a{n} = "Zx9-kQ27-vvT81"\n'
+    began = time.time()
+    found = secrets.literals(text)
+    assert time.time() - began < 10
+    assert [text[a:b] for a, b, _ in found] == ["Zx9-kQ27-vvT81"]
+
+
+def test_names_in_a_circle_end():
+    assert secrets.literals('password = b1\nb1 = c1\nc1 = b1\n') == []
+    text = 'password = b1 + "Zx9-kQ27-vvT81"\nb1 = c1\nc1 = b1 + "mN4_pL66_qqW30"\n'
+    assert {text[a:b] for a, b, _ in secrets.literals(text)} >= {"Zx9-kQ27-vvT81"}
+
+
+def model(spark):
+    turns = [(c, t, ("system", "user", "assistant")[0 if t == 0 else 1 + t % 2], f"some words {c} {t}" + "?" * (t % 2)) for c in range(40) for t in range(6)]
+    raw = chat.transcripts(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    return chat.parameters(chat.counts(raw))
+
+
+def test_no_line_of_a_transcript_is_lost(spark):
+    fitted = model(spark)
+    texts = ["Assistant: I wrote", "System: be kind\nAnswer: no", "User: he said\nBot: quoted\nmore\n\nAssistant: fine?", "Q: a\n\nQ: b\n\nQ: c", "no marker\n\nnor here", ""]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    for r in chat.formatted(rows, fitted).collect():
+        said = [x for x in r.rendered.split("\n") if x]
+        role, at = None, 0
+        for line in (x for x in r.text.split("\n") if x.strip()):
+            while at < len(said) and said[at].startswith("<|"):
+                role, at = said[at][2:-2], at + 1
+            (rest, marked, _, _) = chat.lines_of(line)[0]
+            if at < len(said) and said[at] == line:
+                at += 1
+            else:  # only a marker of the turn's own role goes
+                assert marked >= 0 and chat.ROLES[marked] == role
+                if rest:
+                    assert said[at] == rest
+                    at += 1
+    first = chat.formatted(rows.limit(1), fitted).first()
+    assert first.roles_found == ["assistant"] and first.rendered == "<|assistant|>\nI wrote\n<|end|>"
