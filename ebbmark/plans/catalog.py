@@ -263,6 +263,19 @@ def t10_first_component(spark, sf_dir):
     return tidy(T.first_principal_component(D.obs(spark, sf_dir), list(D.PRIORITIES), 60))
 
 
+_PAIR = f"""p as (select entity_id, date, max(r) filter (where series_id = '{D.PRIORITIES[0]}') as x, max(r) filter (where series_id = '{D.PRIORITIES[1]}') as y from ret group by 1, 2),
+c as (select entity_id, date, case when y is not null then x end as x, case when x is not null then y end as y from p),
+s as (select entity_id, date, count(x) over w as n, avg(x) over w as mx, avg(y) over w as my, stddev_samp(x) over w as sx, stddev_samp(y) over w as sy, corr(x, y) over w as r, last_value(x ignore nulls) over w as lx, last_value(y ignore nulls) over w as ly, row_number() over (partition by entity_id order by date) as i
+ from c window w as (partition by entity_id order by date rows between 60 preceding and 1 preceding))
+select entity_id, date, case when i > 60 and n >= 30 and sx > 0 and sy > 0 then round(((lx - mx) / sx + sign(r) * (ly - my) / sy) / sqrt(2.0), 6) end as value from s"""
+
+
+@query(D.sql("ret").rstrip() + ", " + _PAIR)
+def t10_two_series(spark, sf_dir):
+    """The first component of two series, whose loadings are equal but for the sign of their correlation."""
+    return tidy(T.first_principal_component(D.obs(spark, sf_dir), list(D.PRIORITIES[:2]), 60))
+
+
 @query(D.sql("obs") + "select entity_id, 'ratio' as series_id, date, round(a.value / nullif(b.value, 0), 6) as value from obs a join obs b using (entity_id, date) where a.series_id = '1-URGENT' and b.series_id = '5-LOW'")
 def t13_ratio(spark, sf_dir):
     o = D.obs(spark, sf_dir)
