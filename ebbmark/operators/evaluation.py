@@ -298,17 +298,3 @@ def full_evaluation(prices: DataFrame, signals: DataFrame, horizons: tuple[int,
     that belong to it are thresholds() of the readings."""
     rows = table(paired(forward_returns(prices, list(horizons)), signals), "pairs")
     return evaluate(rows).join(bootstrap_lift(rows, n_boot), list(SIGNAL_KEY), "left")
-
-
-def newey_west_groups(rows: DataFrame, y: str, xs: list[str], lags: int) -> DataFrame:
-    """(entity_id, term, beta, se): general regressors, one task per entity; term 0 is the constant."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date").dropna(subset=[y, *xs])
-        if len(pdf) <= len(xs) + 1:
-            return pd.DataFrame({"entity_id": [], "term": [], "beta": [], "se": []})
-        x = np.column_stack([np.ones(len(pdf)), pdf[xs].to_numpy(float)])
-        beta, se = helpers.newey_west(pdf[y].to_numpy(float), x, lags)
-        return pd.DataFrame({"entity_id": pdf["entity_id"].iloc[0], "term": range(len(beta)), "beta": beta, "se": se})
-
-    return rows.select("entity_id", "date", y, *xs).groupBy("entity_id").applyInPandas(run, "entity_id string, term int, beta double, se double")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ebbmark.core.tables import shared_dir, small, table
 from ebbmark.core.windows import KEY, year_rows
 from ebbmark.functions import transforms as T
-from ebbmark.operators import alignment, evaluation, positioning, readings, series_quality, triggers
+from ebbmark.operators import alignment, evaluation, positioning, readings, regression, series_quality, triggers
 from ebbmark.plans import domain as D
 from ebbmark.sources import readers, sinks
 from ebbmark.streaming.refresh import refresh
@@ -393,11 +393,43 @@ select entity_id, term::bigint as term, round(case when term = 0 then b0 else b1
  round(sqrt(case when term = 0 then sxx * sxx * m00 - 2 * sxx * sx * m01 + sx * sx * m11 else sx * sx * m00 - 2 * sx * n * m01 + n * n * m11 end) / det, 6) as se from b join m using (entity_id) cross join (values (0), (1)) t(term) where n > 2"""
 
 
+def _returns_on(spark: SparkSession, sf_dir: str, **xs: DataFrame) -> DataFrame:
+    rows = evaluation.forward_returns(D.prices(spark, sf_dir), [21]).select("entity_id", "date", "fwd")
+    for name, x in xs.items():
+        rows = rows.join(T.basket_mean(x, name).select("entity_id", "date", F.col("value").alias(name)), ["entity_id", "date"])
+    return rows
+
+
 @query(D.sql("prices", "rsi") + _E3)
 def e3_newey_west(spark, sf_dir):
-    rows = evaluation.forward_returns(D.prices(spark, sf_dir), [21]).select("entity_id", "date", "fwd")
-    x = T.basket_mean(T.rsi(D.obs(spark, sf_dir)), "rsi").select("entity_id", "date", F.col("value").alias("rsi"))
-    return tidy(evaluation.newey_west_groups(rows.join(x, ["entity_id", "date"]), "fwd", ["rsi"], 20))
+    return tidy(regression.newey_west(_returns_on(spark, sf_dir, rsi=T.rsi(D.obs(spark, sf_dir))), "fwd", ["rsi"], 20))
+
+
+@query(SQL["e3_newey_west"])
+def e3_newey_west_blocks(spark, sf_dir):
+    """The same with running totals as scans of blocks of 300 rows."""
+    return tidy(regression.newey_west(_returns_on(spark, sf_dir, rsi=T.rsi(D.obs(spark, sf_dir))), "fwd", ["rsi"], 20, size=300))
+
+
+_E3_TWO = """, fv as (select entity_id, date, lead(value, 21) over (partition by entity_id order by date) / nullif(value, 0) - 1 as y from prices),
+x as materialized (select entity_id, y, a.v as a, b.v as b, row_number() over (partition by entity_id order by date) as rn from fv join (select entity_id, date, avg(value) as v from rsi group by all) a using (entity_id, date)
+ join (select entity_id, date, avg(vol) as v from vol group by all) b using (entity_id, date) where y is not null and a.v is not null and b.v is not null),
+c as (select entity_id, count(*) as n, avg(y) as my, avg(a) as ma, avg(b) as mb, var_pop(a) as aa, covar_pop(a, b) as ab, var_pop(b) as bb, covar_pop(a, y) as ay, covar_pop(b, y) as by_ from x group by 1),
+f as (select *, (bb * ay - ab * by_) / (aa * bb - ab * ab) as s1, (aa * by_ - ab * ay) / (aa * bb - ab * ab) as s2 from c where n > 3),
+g as materialized (select entity_id, rn, u / n - ma * h1 - mb * h2 as g0, h1 as g1, h2 as g2 from
+ (select *, u * (bb * (a - ma) - ab * (b - mb)) / (aa * bb - ab * ab) / n as h1, u * (aa * (b - mb) - ab * (a - ma)) / (aa * bb - ab * ab) / n as h2
+ from (select *, y - my - s1 * (a - ma) - s2 * (b - mb) as u from x join f using (entity_id)))),
+m as (select p.entity_id, sum(w * p.g0 * q.g0) as v0, sum(w * p.g1 * q.g1) as v1, sum(w * p.g2 * q.g2) as v2
+ from (select g.*, unnest(range(0, 21)) as l from g) p join g q on q.entity_id = p.entity_id and q.rn = p.rn - p.l cross join lateral (select case when p.l = 0 then 1.0 else 2 * (1 - p.l / 21.0) end as w) group by 1)
+select entity_id, term::bigint as term, round(case term when 0 then my - s1 * ma - s2 * mb when 1 then s1 else s2 end, 6) as beta, round(sqrt(greatest(case term when 0 then v0 when 1 then v1 else v2 end, 0)), 6) as se
+ from f join m using (entity_id) cross join (values (0), (1), (2)) t(term)"""
+
+
+@query(D.sql("prices", "rsi", "vol") + _E3_TWO)
+def e3_two_regressors(spark, sf_dir):
+    """Forward returns on the baskets' mean RSI and mean realised volatility."""
+    o = D.obs(spark, sf_dir)
+    return tidy(regression.newey_west(_returns_on(spark, sf_dir, rsi=T.rsi(o), vol=T.realised_vol(o)), "fwd", ["rsi", "vol"], 20))
 
 
 # --- calendars, alignment, reconciliation
