@@ -18,7 +18,7 @@ from ebbmark.functions import transforms as T
 from ebbmark.operators import alignment, evaluation, positioning, readings, regression, series_quality, triggers
 from ebbmark.plans import domain as D
 from ebbmark.sources import readers, sinks
-from ebbmark.streaming.refresh import refresh
+from ebbmark.streaming.refresh import read_refreshed, refresh
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -576,7 +576,7 @@ def stream_refresh(spark, sf_dir):
     for part in (early, ~early):
         raw.filter(part).write.mode("append").json(f"{base}/in")
         refresh(spark, f"{base}/in", f"{base}/store", f"{base}/checkpoint", contracts).awaitTermination()
-    return tidy(readers.read_store(spark, f"{base}/store"))
+    return tidy(read_refreshed(spark, f"{base}/store"))
 
 
 # --- quality of series
