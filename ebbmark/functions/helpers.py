@@ -125,23 +125,6 @@ def rolling_pc1(returns: np.ndarray, window: int, cells: int = 1 << 22) -> np.nd
     return out
 
 
-def stationary_bootstrap(n: int, block: float, seed: list[int], replicates: np.ndarray) -> np.ndarray:
-    """Row indices (replicates, n): a block restarts with probability 1 / block, else the next index.
-
-    The draws of a replicate depend on the seed and its number alone, not on how work is split.
-    """
-    out = np.empty((len(replicates), n), np.int64)
-    for r, rep in enumerate(replicates):
-        rng = np.random.default_rng(np.random.SeedSequence([*seed, int(rep)]))
-        fresh = rng.random(n) < 1.0 / block
-        fresh[0] = True
-        at = np.flatnonzero(fresh)
-        start = rng.integers(0, n, len(at))
-        run = np.cumsum(fresh) - 1
-        out[r] = (start[run] + np.arange(n) - at[run]) % n
-    return out
-
-
 def newey_west(y: np.ndarray, x: np.ndarray, lags: int) -> tuple[np.ndarray, np.ndarray]:
     """OLS coefficients and their Bartlett-kernel autocorrelation-consistent standard errors."""
     bread = np.linalg.pinv(x.T @ x)

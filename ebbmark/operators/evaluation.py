@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ebbmark.core.tables import small, table
 from ebbmark.core.windows import KEY, ordered, ratio
-from ebbmark.functions import blocked, helpers
+from ebbmark.functions import blocked
 from ebbmark.operators.readings import QUANTILES, calibrated
 
 SIGNAL_KEY = ("entity_id", "side", "horizon")
@@ -168,14 +166,6 @@ def evaluate_by_band(rows: DataFrame) -> DataFrame:
     )
 
 
-def _seed(*key: object) -> int:
-    return zlib.crc32("|".join(map(str, key)).encode())
-
-
-def _fanned(rows: DataFrame, key: list[str], n_boot: int, chunk: int) -> DataFrame:
-    return rows.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit((n_boot - 1) // chunk))))
-
-
 def drawn_blocks(sizes: DataFrame, key: list[str], n_boot: int, mean_block: Column, seed: int = 0) -> DataFrame:
     """(key, rep, start, length): the stationary bootstrap's blocks for sizes(key, n), n rows in all for each replicate.
 
@@ -227,26 +217,52 @@ def bootstrap_lift(rows: DataFrame, n_boot: int = 500, seed: int = 0, alpha: flo
     return q.select(*key, *(F.when(F.col("kept") >= 20, F.get("q", F.lit(i))).alias(c) for i, c in enumerate(("lift_lo", "lift_hi"))))
 
 
-def bootstrap_bands(reads: DataFrame, n_boot: int = 500, block: int = 21, seed: int = 0, alpha: float = 0.05, chunk: int = 100) -> DataFrame:
-    """(entity_id, side, mode, band, quantile, threshold, lo, hi, width); keys under 100 readings give no rows."""
+def bootstrap_bands(reads: DataFrame, n_boot: int = 500, block: int = 21, seed: int = 0, alpha: float = 0.05, chunk: int = 100, size: int = blocked.ROWS) -> DataFrame:
+    """(entity_id, side, mode, band, quantile, threshold, lo, hi, width); keys under 100 readings give no rows.
+
+    Replicates are drawn_blocks(). A task takes ``chunk`` replicates of a key, whose blocks outweigh the key's own
+    readings. Keys of more than ``size`` readings are resampled by joins and running counts, over many tasks.
+    """
     key = ["entity_id", "side", "mode"]
     probs = [p for _, p in QUANTILES]
     rows = reads.filter("reading is not null").select(*key, "date", "reading")
-    enough = rows.groupBy(*key).agg(F.count("*").alias("n"), F.percentile("reading", F.array(*map(F.lit, probs))).alias("t")).filter("n >= 100")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date")
-        first, values = pdf.iloc[0], pdf["reading"].to_numpy(float)
-        reps = np.arange(first["chunk"] * chunk, min(n_boot, (first["chunk"] + 1) * chunk))
-        seeds = [seed, _seed(*(first[k] for k in key))]
-        q = np.stack([np.quantile(values[helpers.stationary_bootstrap(len(values), block, seeds, [rep])[0]], probs) for rep in reps], axis=1)
-        return pd.DataFrame({**{k: first[k] for k in key}, "i": np.repeat(np.arange(len(probs)), len(reps)), "q": q.ravel()})
-
-    drawn = _fanned(rows.join(enough.select(*key), key), key, n_boot, chunk).groupBy(*key, "chunk").applyInPandas(run, "entity_id string, side string, mode string, i int, q double")
-    ci = drawn.groupBy(*key, "i").agg(F.percentile("q", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("ci"))
+    enough = table(rows.groupBy(*key).agg(F.count("*").alias("n"), F.percentile("reading", F.array(*map(F.lit, probs))).alias("t")).filter("n >= 100"), "enough")
+
+    def run(drawn: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
+        values = pdf.sort_values("date")["reading"].to_numpy(float)
+        out = []
+        for rep, of in drawn.groupby("rep"):
+            at = np.concatenate([np.arange(a, a + m) for a, m in zip(of["start"], of["length"])]) % len(values)
+            out.append(pd.DataFrame({"rep": rep, "i": range(len(probs)), "q": np.quantile(values[at], probs)}))
+        out = pd.concat(out) if out else pd.DataFrame({"rep": [], "i": [], "q": []})
+        return out.assign(**{k: pdf[k].iloc[0] if len(pdf) else None for k in key})[[*key, "rep", "i", "q"]]
+
+    of = F.floor(F.col("rep") / chunk).cast("int").alias("chunk")
+    brief = drawn_blocks(enough.filter(F.col("n") <= size).select(*key, "n"), key, n_boot, F.lit(block), seed).select("*", of)
+    fanned = rows.join(small(enough.filter(F.col("n") <= size).select(*key)), key).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit((n_boot - 1) // chunk))))
+    each = brief.groupBy(*key, "chunk").cogroup(fanned.groupBy(*key, "chunk")).applyInPandas(run, "entity_id string, side string, mode string, rep int, i int, q double")
+    long = enough.filter(F.col("n") > size).select(*key, "n")
+    if not long.isEmpty():
+        numbered = blocked.indexed(rows.join(small(long.select(*key)), key), tuple(key), size=size)
+        each = each.unionByName(_resampled(numbered, drawn_blocks(long, key, n_boot, F.lit(block), seed), key, probs))
+    ci = each.groupBy(*key, "i").agg(F.percentile("q", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("ci"))
     names = F.array(*(F.lit(n) for n, _ in QUANTILES))
     lo, hi = F.get("ci", F.lit(0)), F.get("ci", F.lit(1))
-    return ci.join(enough, key).select(*key, F.get(names, F.col("i")).alias("band"), F.get(F.array(*map(F.lit, probs)), F.col("i")).alias("quantile"), F.get("t", F.col("i")).alias("threshold"), lo.alias("lo"), hi.alias("hi"), (hi - lo).alias("width"))
+    return ci.join(small(enough), key).select(*key, F.get(names, F.col("i")).alias("band"), F.get(F.array(*map(F.lit, probs)), F.col("i")).alias("quantile"), F.get("t", F.col("i")).alias("threshold"), lo.alias("lo"), hi.alias("hi"), (hi - lo).alias("width"))
+
+
+def _resampled(numbered: DataFrame, drawn: DataFrame, key: list[str], probs: list[float]) -> DataFrame:
+    """(key, rep, i, q): interpolated quantiles of the readings that each replicate's blocks hold, by running counts of equal readings."""
+    places = drawn.select(*key, "n", "rep", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)).alias("at")).withColumn("at", F.pmod("at", "n"))
+    counts = places.join(numbered.select(*key, "at", "reading"), [*key, "at"]).groupBy(*key, "n", "rep", "reading").agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy(*key, "rep").orderBy("reading").rowsBetween(Window.unboundedPreceding, 0))
+    # the k-th reading from 0 on is the least one whose running count is over k
+    rank = lambda p: F.lit(p) * (F.col("n") - 1)
+    at = lambda k: F.min(F.when(F.col("upto") > k, F.col("reading")))
+    ends = [F.struct(at(F.floor(rank(p))).alias("a"), at(F.least(F.floor(rank(p)) + 1, F.col("n") - 1)).alias("b")) for p in probs]
+    found = counts.withColumn("upto", upto).groupBy(*key, "n", "rep").agg(F.array(*ends).alias("e"))
+    between = [F.col("e")[i]["a"] + (F.col("e")[i]["b"] - F.col("e")[i]["a"]) * (rank(p) - F.floor(rank(p))) for i, p in enumerate(probs)]
+    return found.select(*key, "rep", F.posexplode(F.array(*between)).alias("i", "q"))
 
 
 def binomial_quantiles(rates: DataFrame, max_inputs: int, quantiles: list[float]) -> DataFrame:

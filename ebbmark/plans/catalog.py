@@ -165,7 +165,27 @@ def _walked(out: DataFrame) -> DataFrame:
     return tidy(out.select("entity_id", "side", "mode", "date", *(F.get("thresholds", F.lit(i)).alias(n.lower()) for i, (n, _) in enumerate(readings.QUANTILES))))
 
 
-@query()
+def _bootstrap_sql(boots: int) -> str:
+    """ci(entity_id, side, mode, quantile, lo, hi) from the same draws, whose rows are joined one by one."""
+    return D.sql("reads") + f""", rr as materialized (select entity_id, side, mode, reading, row_number() over (partition by entity_id, side, mode order by date) - 1 as pos, count(*) over (partition by entity_id, side, mode) as n from reads where reading is not null),
+draws as (select *, ('0x' || h[1:8])::bigint as h1, ('0x' || h[9:16])::bigint as h2 from (select *, md5('0|' || entity_id || '|' || side || '|' || mode || '|' || rep || '|' || j) as h from
+ (select *, unnest(range(0, last + 1)) as j from (select distinct entity_id, side, mode, n, ceil(2 * n / 21.0)::bigint + 19 as last, unnest(range(0, {boots})) as rep from rr where n >= 100)))),
+lens as (select *, floor(h1 * n / 4294967296.0)::bigint as start, case when j = last then n else least(n, 1 + floor(ln((h2 + 0.5) / 4294967296.0) / ln(1 - 1 / 21.0))::bigint) end as len from draws),
+laid as (select *, coalesce(sum(len) over (partition by entity_id, side, mode, rep order by j rows between unbounded preceding and 1 preceding), 0)::bigint as before from lens),
+places as (select entity_id, side, mode, rep, n, unnest(range(start, start + least(len, n - before))) % n as pos from laid where before < n),
+qs as (select entity_id, side, mode, rep, quantile_cont(reading, [0.70, 0.85, 0.95, 0.99]) as q from places join rr using (entity_id, side, mode, pos) group by 1, 2, 3, 4),
+ci as materialized (select entity_id, side, mode, quantile, quantile_cont(v, 0.025) as lo, quantile_cont(v, 0.975) as hi from (select entity_id, side, mode, unnest([0.70, 0.85, 0.95, 0.99]) as quantile, unnest(q) as v from qs) group by 1, 2, 3, 4)
+"""
+
+
+_BAND_AT = "case quantile when 0.70 then quantile_cont(reading, 0.70) when 0.85 then quantile_cont(reading, 0.85) when 0.95 then quantile_cont(reading, 0.95) else quantile_cont(reading, 0.99) end"
+_CI = "round(lo, 6) as lo, round(hi, 6) as hi, round(hi - lo, 6) as width"
+
+
+@query(
+    _bootstrap_sql(500)
+    + f"select entity_id, side, mode, case quantile when 0.70 then 'Mild' when 0.85 then 'Moderate' when 0.95 then 'Strong' else 'Extreme' end as band, quantile::double as quantile, threshold, {_CI} from ci join (select entity_id, side, mode, quantile, round({_BAND_AT}, 6) as threshold from reads cross join (values (0.70), (0.85), (0.95), (0.99)) t(quantile) group by 1, 2, 3, 4) using (entity_id, side, mode, quantile)"
+)
 def bands_bootstrap(spark, sf_dir):
     return tidy(evaluation.bootstrap_bands(table(_reads(spark, sf_dir), "reads")))
 
@@ -372,7 +392,10 @@ def e12_thresholds(spark, sf_dir):
     return tidy(evaluation.thresholds(table(_reads(spark, sf_dir), "reads")))
 
 
-@query()
+@query(
+    _bootstrap_sql(300)
+    + f"select t.*, {_CI} from ({SQL['e12_thresholds'][len(D.sql('reads')):]}) t join (values ('Mild', 0.70), ('Moderate', 0.85), ('Strong', 0.95), ('Extreme', 0.99)) b(band, quantile) using (band) left join ci using (entity_id, side, mode, quantile)"
+)
 def e12_bands(spark, sf_dir):
     """The same with the bootstrap interval of each calibrated threshold."""
     return tidy(evaluation.thresholds(table(_reads(spark, sf_dir), "reads"), n_boot=300))

@@ -52,13 +52,6 @@ def test_newey_west_zero_lag_is_white_and_persistence_widens():
     assert helpers.newey_west(y, d, 62)[1][1] > 1.25 * helpers.newey_west(y, d, 0)[1][1]
 
 
-def test_bootstrap_does_not_depend_on_chunks():
-    whole = helpers.stationary_bootstrap(100, 10, [1, 2], np.arange(20))
-    parts = np.concatenate([helpers.stationary_bootstrap(100, 10, [1, 2], np.arange(a, a + 5)) for a in range(0, 20, 5)])
-    assert (whole == parts).all() and whole.min() >= 0 and whole.max() < 100
-    runs = (np.diff(whole, axis=1) % 100 == 1).mean()
-    assert 0.85 < runs < 0.95
-
 
 @pytest.mark.parametrize("n, window", [(0, 5), (3, 5), (400, 7), (1000, 300)])
 def test_rolling_rank(n, window):

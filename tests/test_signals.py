@@ -143,8 +143,12 @@ def test_bands(spark):
     a, b = ([r.thresholds for r in readings.walk_forward(reads, 50, x).orderBy("side", "mode", "date").collect()] for x in (True, False))
     for x, y in zip(a, b):
         assert (x is None) == (y is None) and (x is None or np.allclose(x, y))
-    ci = evaluation.bootstrap_bands(reads, 60).collect()
+    at = ["side", "mode", "quantile"]
+    ci = evaluation.bootstrap_bands(reads, 60).orderBy(at).collect()
     assert len(ci) == 16 and all(r.lo <= r.hi for r in ci)
+    for other in (evaluation.bootstrap_bands(reads, 60, chunk=7), evaluation.bootstrap_bands(reads, 60, size=100)):
+        for x, y in zip(ci, other.orderBy(at).collect(), strict=True):
+            assert x[:4] == y[:4] and np.allclose(x[4:], y[4:])
 
 
 def test_evaluation_against_plain_numpy(spark):
