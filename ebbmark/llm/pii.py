@@ -10,8 +10,9 @@ each character takes its tag from the window in which it lies farthest from an e
 STRIDE characters in its middle. Runs of one kind that are plausible (digit counts, Luhn, number ranges) and
 lie in no base span are ``seq_`` spans.
 
-A run is settled as its longest plausible part: with the rest of the words at its ends, without it, or without
-up to three words at either end.
+A run is settled as its longest plausible part: with the rest of the words at its ends and what a bracketed dot
+joins to them, without it, or without up to three words at either end. A number with a date, a time of day or the
+check sum of an ISBN is neither phone nor card.
 
 Only windows that can matter are computed, with the result of computing all: a plausible run holds a digit,
 an @ or an ``at`` between blanks or brackets, or reaches into a word that does, so the owners of those words
@@ -54,6 +55,14 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]")
 _BLANK = re.compile(r"\s")
+#: A calendar date, as it may stand in a longer number.
+_DATE = re.compile(
+    r"(?<![0-9])(?:(?:19|20)[0-9]{2}(?P<a>[-./]?)(?:0?[1-9]|1[0-2])(?P=a)(?:0?[1-9]|[12][0-9]|3[01])"
+    r"|(?:0?[1-9]|[12][0-9]|3[01])(?P<b>[-./])(?:0?[1-9]|1[0-2])(?P=b)(?:19|20)[0-9]{2}"
+    r"|(?:0?[1-9]|1[0-2])(?P<c>[-./])(?:0?[1-9]|[12][0-9]|3[01])(?P=c)(?:19|20)[0-9]{2})(?![0-9])"
+)
+#: More of a spelled-out domain.
+_DOTS = re.compile(r"(?:\s?[\[({]dot[\])}]\s?[\w-]+)+", re.IGNORECASE)
 #: What every plausible span holds: a digit, an @, or an at between blanks or brackets.
 _ANCHOR = re.compile(r"[0-9@]|[\s\[({]at(?=[\s\])}])", re.IGNORECASE)
 
@@ -204,13 +213,20 @@ def plausible(kind: str, s: str) -> bool:
     if kind == "ip":
         parts = re.findall(r"[0-9]+", s)
         return len(parts) == 4 and all(len(x) < 4 and int(x) < 256 for x in parts) and not re.search(r"[A-Za-z]", s)
-    if re.search(r"[A-Za-z]", s):
+    if re.search(r"[A-Za-z:]", s) or _DATE.search(s) or _is_book(s, digits):
         return False
     if kind == "card":
         return 13 <= len(digits) <= 19 and luhn(digits)
     return 9 <= len(digits) <= 15 and (s[0] in "+(" or len(re.findall(r"[^0-9]+", s)) >= 2)
 
 
+def _is_book(s: str, digits: str) -> bool:
+    """Whether a number in groups is an ISBN: 13 digits from 978 or 979 on, or 10 in four groups, by the check sum."""
+    if len(digits) == 13 and digits[:3] in ("978", "979"):
+        return sum(int(d) * (3 if i % 2 else 1) for i, d in enumerate(digits)) % 10 == 0
+    return re.fullmatch(r"(?:[0-9]+[- ]){3}[0-9]", s) is not None and len(digits) == 10 and sum(int(d) * (10 - i) for i, d in enumerate(digits)) % 11 == 0
+
+
 def _anchored(text: str) -> Iterator[tuple[int, int]]:
     """The words that hold an anchor, and the blank before an at that is a word of its own."""
     done = 0
@@ -260,6 +276,8 @@ def _settled(text: str, a: int, b: int, kinds: list[str]) -> tuple[str, int, int
     first, last = (words[0][0], words[-1][1]) if words else (a, b)
     out = _token(text, first, last)
     begins, ends = {out[0], *(w[0] for w in words[:4])}, {out[1], *(w[1] for w in words[-4:])}
+    if m := _DOTS.match(text, out[1]):
+        ends.add(m.end())
     for x, y in sorted(((x, y) for x in begins for y in ends if x < y), key=lambda p: (p[0] - p[1], p[0])):
         while x < y and not (text[x].isalnum() or text[x] in "+("):
             x += 1
