@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ebbmark.core.tables import table
+from ebbmark.core.tables import small, table
 from ebbmark.core.windows import expanding, held, ratio
 from ebbmark.functions import blocked, grouped
 from ebbmark.operators.triggers import checked_rules, fired, hinge
@@ -93,15 +95,47 @@ def trend_gate(signals: DataFrame, gate: DataFrame, window: int = 200) -> DataFr
     return signals.join(open_, ["entity_id", "date"], "left").withColumn("fired", F.when(F.col("fired").isNotNull(), kept)).drop("open")
 
 
-def correlated(obs: DataFrame, least: float = 0.70) -> DataFrame:
+#: Dates and inputs to a side of a task's matrices of products.
+DAYS, WIDTH = 512, 256
+
+
+def correlated(obs: DataFrame, least: float = 0.70, days: int = DAYS, width: int = WIDTH) -> DataFrame:
     """(entity_id, id_a, id_b, corr): pairs of an entity's inputs with correlation >= least, over complete pairs.
 
-    Rows meet by entity and date, so work is dates x pairs of inputs of one entity.
+    Inputs are cut into groups of ``width`` and dates into blocks of ``days``. A task has one block and two groups,
+    and yields for each pair its count, sums, squares and products by matrix products; these add up over blocks. A row
+    is sent once for each group of its entity, however many pairs a date has. A pair where either side does not vary
+    has no correlation. (entity_id, series_id, date) is unique.
     """
-    a = obs.filter("value is not null").select("entity_id", "date", F.col("series_id").alias("id_a"), F.col("value").alias("a"))
-    b = a.select("entity_id", "date", F.col("id_a").alias("id_b"), F.col("a").alias("b"))
-    pairs = a.join(b, ["entity_id", "date"]).filter("id_a < id_b")
-    return pairs.groupBy("entity_id", "id_a", "id_b").agg(F.corr("a", "b").alias("corr")).filter(F.col("corr") >= least)
+    known = obs.filter("value is not null").select("entity_id", "series_id", "date", "value")
+    moments = known.groupBy("entity_id", "series_id").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"))
+    place = F.row_number().over(Window.partitionBy("entity_id").orderBy("series_id")) - 1
+    names = table(moments.withColumn("no", place).withColumn("groups", F.ceil(F.count("*").over(Window.partitionBy("entity_id")) / width).cast("int")), "inputs")
+    grp, other = F.floor(F.col("no") / width).cast("int"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1))
+    # values are centred and scaled by the whole series, so that sums of products lose no digits
+    unit = ((F.col("value") - F.col("mean")) / F.when(F.col("sd") > 0, F.col("sd")).otherwise(1.0)).alias("v")
+    cells = known.join(small(names), ["entity_id", "series_id"]).select("entity_id", F.floor(F.unix_date("date") / days).alias("blk"), "date", "no", unit, grp.alias("grp"), other.alias("other"))
+    cells = cells.withColumns({"one": F.least("grp", "other"), "two": F.greatest("grp", "other")})
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        one, two = pdf["one"].iloc[0], pdf["two"].iloc[0]
+        wide = pdf.pivot(index="date", columns="no", values="v")
+        at = [wide.columns[wide.columns // width == g] for g in (one, two)]
+        x, y = (wide[c].to_numpy(float) for c in at)
+        mx, my = ((~np.isnan(m)).astype(float) for m in (x, y))
+        x, y = np.nan_to_num(x), np.nan_to_num(y)
+        sums = {"n": mx.T @ my, "sx": x.T @ my, "sy": mx.T @ y, "sxx": (x * x).T @ my, "syy": mx.T @ (y * y), "sxy": x.T @ y}
+        i, j = np.nonzero((at[0].to_numpy()[:, None] < at[1].to_numpy()) & (sums["n"] > 0))
+        return pd.DataFrame({"entity_id": pdf["entity_id"].iloc[0], "a": at[0].to_numpy()[i], "b": at[1].to_numpy()[j], **{k: v[i, j] for k, v in sums.items()}})
+
+    sums = ["n", "sx", "sy", "sxx", "syy", "sxy"]
+    parts = cells.groupBy("entity_id", "blk", "one", "two").applyInPandas(run, "entity_id string, a int, b int, " + ", ".join(f"{c} double" for c in sums))
+    total = parts.groupBy("entity_id", "a", "b").agg(*(F.sum(c).alias(c) for c in sums))
+    vary = lambda s, q: F.when(F.col("n") * F.col(q) - F.col(s) * F.col(s) > 1e-12 * F.col("n") * F.col(q), F.col("n") * F.col(q) - F.col(s) * F.col(s))
+    corr = (F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / F.sqrt(vary("sx", "sxx") * vary("sy", "syy"))
+    high = total.select("entity_id", "a", "b", corr.alias("corr")).filter(F.col("corr") >= least)
+    named = lambda no, name: small(names.select("entity_id", F.col("no").alias(no), F.col("series_id").alias(name)))
+    return high.join(named("a", "id_a"), ["entity_id", "a"]).join(named("b", "id_b"), ["entity_id", "b"]).select("entity_id", "id_a", "id_b", "corr")
 
 
 def correlated_clusters(inputs: DataFrame, edges: DataFrame) -> DataFrame:
