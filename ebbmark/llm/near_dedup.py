@@ -12,8 +12,14 @@ Groups of copies do not become all pairs. Equal sets are one class. Each class i
 up to three leaders: of every posting list the class whose keys are the most common (the text most like
 the others). What that links is one component, and later only classes of different components meet.
 
-At similarity 0.8 a pair reaches fewer than 13 of 32 matches with probability below 1e-6; that is the
-only way to lose a link.
+Texts that share a template but stay under the threshold fill posting lists without becoming a component.
+A list with more than ``CROWD`` classes outside its largest component compares no pairs: its classes are
+signed again with 256 coordinates, of which a link needs 172, and meet in the same way under these keys.
+Unrelated parts of two texts then rarely reach the threshold, and a text's own parts are rare keys that
+leave its prefix without the template's.
+
+At similarity 0.8 a pair reaches fewer than 13 of 32 matches, or 172 of 256, with probability below 1e-6
+each; that is the only way to lose a link.
 
 Nulls and edges: a null or blank text has no set (n_shingles 0) and is linked with nothing; a text of
 fewer words than a shingle is one shingle; null doc_ids are kept, never chosen as component_id unless
@@ -22,6 +28,8 @@ all in the component are null; repeated rows each get a row.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -34,6 +42,10 @@ from ebbmark.llm.components import components
 from ebbmark.llm.words import WordHashes, shingles
 
 BLOCK, LEADERS, SALTS = 512, 3, 16
+#: Classes outside the largest component of a posting list up to which its pairs are compared.
+CROWD = 256
+#: Coordinates of the second signature.
+FINE = 256
 #: 64-bit words of a parity bitmap.
 WORDS = 16
 
@@ -112,11 +124,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coords
         "classes",
     )
     signed = signed.drop("keys", "bits")
-    posts = classes.select("v", F.explode("keys").alias("key"))
-    # counts are written before they meet the posts: then both sides are plain shuffles, split where a key is hot
-    met = posts.join(table(posts.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "counts"), "key")
-    lists = met.groupBy("v").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("posted"), F.sum("n").alias("common"))
-    lists = table(lists.filter(F.size("posted") >= matches).join(classes.select("v", F.col("n_shingles").alias("size"), "bits"), "v"), "lists")
+    lists = _lists(classes, classes, matches)
     confirm = _confirmer(shingle, percent)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -126,8 +134,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coords
         return table(pairs.join(left, "x").join(right, "y").filter(confirm("tx", "ty")).select("x", "y"), "links")
 
     first = confirmed(_tries(lists, percent))
-    links = first.unionByName(confirmed(_across(lists, components(first), matches, percent)))
-    comp = components(links)
+    comp = components(first)
+    pairs, crowded = _across(lists, comp, matches, percent, CROWD)
+    if crowded.limit(1).count():
+        least = _fewest(FINE, percent)
+        again = _texts_of(texts, classes, crowded).select("v", _signer(shingle, FINE)("text")["keys"].alias("keys"))
+        pairs = pairs.unionByName(_across(_lists(table(again, "fine"), classes, least), comp, least, percent)[0]).distinct()
+    comp = components(first.unionByName(confirmed(pairs)))
 
     # linked classes and rows with a set meet their least id; the others never enter a join under a null key
     own = classes.select("v", "cls", "first_id")
@@ -140,6 +153,26 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, coords
     return rows.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _fewest(coords: int, percent: int) -> int:
+    """The most matches that two texts at the threshold miss with probability below 1e-6."""
+    p, below, t = percent / 100, 0.0, 0
+    while (below := below + math.comb(coords, t) * p**t * (1 - p) ** (coords - t)) < 1e-6:
+        t += 1
+    return t
+
+
+def _lists(keyed: DataFrame, classes: DataFrame, matches: int) -> DataFrame:
+    """(v, posted, common, size, bits) of keyed(v, keys): keys that two classes or more have, rarest first.
+
+    Classes with fewer than ``matches`` such keys link with none and are left out.
+    """
+    posts = keyed.select("v", F.explode("keys").alias("key"))
+    # counts are written before they meet the posts: then both sides are plain shuffles, split where a key is hot
+    met = posts.join(table(posts.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "counts"), "key")
+    lists = met.groupBy("v").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("posted"), F.sum("n").alias("common"))
+    return table(lists.filter(F.size("posted") >= matches).join(classes.select("v", F.col("n_shingles").alias("size"), "bits"), "v"), "lists")
+
+
 def _texts_of(texts: DataFrame, classes: DataFrame, ids: DataFrame) -> DataFrame:
     """(v, text): one whole text for each class in ids(v)."""
     need = table(classes.select("v", "text_key").join(ids, "v"), "need")
@@ -163,11 +196,12 @@ def _tries(lists: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("x"), "x").join(side("y"), "y").filter(_may_link("x_", "y_", percent)).select("x", "y")
 
 
-def _across(lists: DataFrame, comp: DataFrame, matches: int, percent: int) -> DataFrame:
-    """Distinct candidate pairs (x, y) of classes with different comp.
+def _across(lists: DataFrame, comp: DataFrame, matches: int, percent: int, crowd: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Distinct candidate pairs (x, y) of classes with different comp, and the classes (v) of crowded lists.
 
     Within a posting list the largest component meets all others but not itself, so a list that one
     group of copies fills costs its other members times its length; both sides are dealt in blocks.
+    Lists with more than ``crowd`` classes outside the largest component give no pairs here.
     """
     rows = lists.join(comp, "v", "left").select(
         "v",
@@ -183,14 +217,18 @@ def _across(lists: DataFrame, comp: DataFrame, matches: int, percent: int) -> Da
         .groupBy("key")
         .agg(F.sum("n").alias("m"), F.count("*").alias("groups"), F.max(F.struct("n", "comp")).alias("top"))
         .filter("groups > 1")
-        .select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"), F.col("top.comp").alias("main"))
+        .select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"), F.col("top.comp").alias("main"), (F.col("m") - F.col("top.n")).alias("others"))
     )
-    mixed = table(rows.join(table(sizes, "sizes"), "key"), "mixed")
+    sizes = table(sizes, "sizes")
+    full = F.lit(False) if crowd is None else F.col("others") > crowd
+    crowded = table(rows.select("v", "key").join(sizes.filter(full).select("key"), "key").select("v").distinct(), "crowded")
+    mixed = table(rows.join(sizes.filter(~full).drop("others"), "key"), "mixed")
     right = mixed.select("key", F.pmod(F.xxhash64("v"), "blocks").cast("int").alias("block"), *(F.col(c).alias(f"r_{c}") for c in ("v", "comp", "keys", "bits", "size", "main")))
     left = mixed.filter("comp <> main").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *(F.col(c).alias(f"l_{c}") for c in ("v", "comp", "keys", "bits", "size")))
     meets = (F.col("l_comp") != F.col("r_comp")) & ((F.col("r_comp") == F.col("r_main")) | (F.col("l_v") < F.col("r_v")))
     alike = _may_link("l_", "r_", percent) & (F.size(F.array_intersect("l_keys", "r_keys")) >= matches)
-    return left.join(right, ["key", "block"]).filter(meets & alike).select(F.least("l_v", "r_v").alias("x"), F.greatest("l_v", "r_v").alias("y")).distinct()
+    pairs = left.join(right, ["key", "block"]).filter(meets & alike).select(F.least("l_v", "r_v").alias("x"), F.greatest("l_v", "r_v").alias("y")).distinct()
+    return pairs, crowded
 
 
 def deduplicated(docs: DataFrame, **how) -> DataFrame:
