@@ -1,10 +1,12 @@
 """Secrets in whole texts: fixed patterns, and an assignment-aware lexer.
 
 Base patterns find ``assign``, ``access`` and ``hex`` spans. The method reads source and configuration
-syntax as name-literal pairs (``name = "x"``, ``name: x``, ``name := 'x' + other``, keyword arguments,
-JSON members), propagates constants through names and concatenations in text order (a name used before
+syntax as name-literal pairs (``name = "x"``, ``name: x``, ``name: type = "x"``, ``name := 'x' + other``, keyword
+arguments, JSON members, literals in three quotes or backticks, bracketed items and arguments, ``setName("x")``,
+``define('NAME', 'x')``, XML elements, indented blocks after ``name: |``), propagates constants through names and concatenations in text order (a name used before
 it is bound stands for what it is bound to next), and scores every literal by the most sensitive name it reaches and by its own look (length, entropy, placeholders). A
-literal that scores SCORE or more, and lies in no base span, is a ``literal`` span. Names, literals and
+literal that scores SCORE or more, and lies in no base span, is a ``literal`` span. Bracketed items, arguments
+and lines of a block stand each for themselves; dotted or underscored words there are names, not secrets. Names, literals and
 concatenations may be of any length; the lexer passes over a text once, and a concatenation refers to
 its parts instead of copying them.
 
@@ -37,6 +39,8 @@ SENSITIVE = {
     "password": 1.0,
     "passwd": 1.0,
     "passphrase": 1.0,
+    "mnemonic": 1.0,
+    "seedphrase": 1.0,
     "pwd": 0.9,
     "secret": 1.0,
     "token": 0.9,
@@ -56,11 +60,28 @@ SENSITIVE = {
 PLACEHOLDERS = ("example", "changeme", "placeholder", "your", "dummy", "sample", "xxxx", "none", "null", "true", "false", "todo")
 SCORE = 0.5
 
-_LITERAL = r"\"[^\"\\\n]*+(?:\\.[^\"\\\n]*+)*+\"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'"
-#: A name with or without a value: a name without one is passed over whole, which keeps the scan linear.
-_PAIR = re.compile(rf"""(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*+)(?:["'\]]{{0,2}}[ \t]*+(?::=|=>|=|:)(?![=/])[ \t]*+(?P<value>(?:{_LITERAL}|[A-Za-z0-9_+/][A-Za-z0-9_+/.=\-]*+)(?:[ \t]*+\+[ \t]*+(?:{_LITERAL}|[A-Za-z_][A-Za-z0-9_.]*+))*+))?""")
+#: String literals: in one or three quotes, or in backticks; those of three quotes and backticks may hold line breaks.
+_LITERAL = r"""(?:[bBrRuUfF]{1,2}(?=["'])|@(?=["]))?(?:"{3}(?:[^"\\]|\\[\s\S]|"(?!""))*+"{3}|'{3}(?:[^'\\]|\\[\s\S]|'(?!''))*+'{3}|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'|`[^`\\]*+(?:\\[\s\S][^`\\]*+)*+`)"""
+#: Literals within brackets, as arguments or items; a member name of an object is none.
+_ITEMS = rf"[(\[{{]\s*+(?P<%s>{_LITERAL}(?!\s*+(?::|=>))(?:\s*+[,+]?\s*+{_LITERAL})*+)"
+#: A type between the name and its equals sign.
+_TYPE = r"\??:[ \t]*+&?(?:'[a-z]++[ \t])?[A-Za-z_][A-Za-z0-9_.\[\]<>|?]*+[ \t]*+(?==)"
+#: A name with or without a value: a name without one is passed over whole, which keeps the scan linear. What
+#: brackets, elements and blocks hold is looked at but not passed over, as it may hold pairs itself.
+_PAIR = re.compile(
+    rf"""<(?P<tag>[A-Za-z_][A-Za-z0-9_.:\-]*+)>(?=(?P<body>[^<]*+)</(?P=tag)>)"""
+    rf"""|(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*+)(?:(?={_ITEMS % "args"})"""
+    rf"""|["'\[\]]{{0,3}}[ \t]*+(?:{_TYPE})?(?::=|=>|=|:)(?![=/])[ \t]*+"""
+    rf"""(?:(?=(?:[A-Za-z_][A-Za-z0-9_.]*+[ \t]*+)?{_ITEMS % "items"})|(?P<block>[|>][+\-0-9]{{0,2}}[ \t]*+\n)"""
+    rf"""|(?P<value>(?:{_LITERAL}|[A-Za-z0-9_+/][A-Za-z0-9_+/.=\-]*+(?![(\["'`]))(?:\s*+\+\s*+(?:{_LITERAL}|[A-Za-z_][A-Za-z0-9_.]*+)|[ \t]*+\\\n[ \t]*+{_LITERAL})*+)))?"""
+)
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.\-]*")
-_TERM = re.compile(rf"{_LITERAL}|[^\s+\"'][^\s\"']*")
+_TERM = re.compile(rf"{_LITERAL}|[^\s+\"'`\\][^\s\"'`]*")
+_QUOTE = re.compile(r"""[A-Za-z@]{0,2}("{3}|'{3}|["'`])""")
+#: Functions whose argument says where a secret is and not what it is.
+_LOOKS_UP = re.compile(r"(?:get|load|read|fetch|find|has|is|delete|describe|require|check|validate)(?![a-z])")
+_WORDS = re.compile(r"[A-Za-z]+(?:[_.\-/:][A-Za-z]+)*")
+_PHRASE = re.compile(r"[A-Za-z]+(?:[ ][A-Za-z]+){3,}")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 
 
@@ -83,6 +104,15 @@ class Look(NamedTuple):
     tail: str
 
 
+#: Names whose value is a run of plain words, and what such a run of four words or more scores.
+PHRASES, PHRASE_SCORE = ("passphrase", "mnemonic", "seedphrase"), 0.8
+
+
+def name_holds_phrase(name: str) -> bool:
+    low = "".join(_PARTS.findall(name)).lower()
+    return any(p in low for p in PHRASES)
+
+
 _EDGE = max(map(len, PLACEHOLDERS)) - 1
 
 
@@ -129,6 +159,48 @@ def _carried(marks: list[float], below: list[list[int]]) -> None:
                 todo += below[j]
 
 
+def _items(text: str, m: re.Match) -> tuple[str, list[tuple[int, int]]]:
+    """The name and the literals (start, end) of a pair whose value is bracketed, an element, a block or arguments.
+
+    Of arguments, a first literal that is itself a sensitive name is the name of those after it
+    (``define('AUTH_KEY', '...')``); else the function's name counts, unless it only looks something up.
+    """
+    if m["args"] is None and not name_score(m["tag"] or m["name"]):
+        return "", []
+    if m["tag"] is not None:
+        a, b = m.span("body")
+        inner = text[a:b].strip()
+        a += len(text[a:b]) - len(text[a:b].lstrip())
+        return m["tag"].rpartition(":")[2], [(a, a + len(inner))] if inner else []
+    if m["block"] is not None:
+        line = text.rfind("\n", 0, m.start()) + 1
+        depth, at, out = len(text[line : m.start()]) - len(text[line : m.start()].lstrip(" \t-")), m.end("block"), []
+        while at < len(text):
+            end = text.find("\n", at)
+            end = len(text) if end < 0 else end
+            inner = text[at:end].strip()
+            start = at + len(text[at:end]) - len(text[at:end].lstrip())
+            if inner and start - at <= depth:
+                break
+            out += [(start, start + len(inner))] if inner else []
+            at = end + 1
+        return m["name"], out
+    group = "args" if m["args"] is not None else "items" if m["items"] is not None else None
+    if group is None:
+        return m["name"], []
+    out = []
+    for t in re.finditer(_LITERAL, m[group]):
+        quote = _QUOTE.match(t[0])
+        out.append((m.start(group) + t.start() + quote.end(), m.start(group) + t.end() - len(quote[1])))
+    if group == "items":
+        return m["name"], out
+    first = text[slice(*out[0])]
+    if len(out) > 1 and _NAME.fullmatch(first) and name_score(first):
+        return first, out[1:]
+    name = m["name"].rpartition(".")[2]
+    return name, [] if _LOOKS_UP.match(name) else out
+
+
 def literals(text: str) -> list[tuple[int, int, float]]:
     """(start, end, score) of each literal that reaches a sensitive name.
 
@@ -152,22 +224,31 @@ def literals(text: str) -> list[tuple[int, int, float]]:
 
     for m in _PAIR.finditer(text):
         if m["value"] is None:
+            named, each = _items(text, m)
+            weight = name_score(named) if each else 0.0
+            if weight:
+                # items stand each for themselves; words that name something are no secrets
+                node(None, [node(x, [], 0.0, 0.0) for x in each if not _WORDS.fullmatch(text, *x)], weight, 0.0)
             continue
         name, base, parts, whole = m["name"], m.start("value"), [], None
         for t in _TERM.finditer(m["value"]):
             a, b, term = base + t.start(), base + t.end(), t[0]
-            if term[0] not in "\"'" and term in bound:
+            quote = _QUOTE.match(term)
+            if not quote and term in bound:
                 part, seen = bound[term]
             else:
-                a, b = (a + 1, b - 1) if term[0] in "\"'" else (a, b)
+                a, b = (a + quote.end(), b - len(quote[1])) if quote else (a, b)
                 part, seen = node((a, b), [], 0.0, 0.0), look(text[a:b])
-                if term[0] not in "\"'" and _NAME.fullmatch(term):
+                if not quote and _NAME.fullmatch(term):
                     waiting.setdefault(term, []).append(part)
             parts.append(part)
             whole = seen if whole is None else together(whole, seen)
         whole = whole or look("")
         weight = name_score(name)
-        value = node(None, parts, weight, weight * literal_score(whole) if weight else 0.0)
+        score = weight * literal_score(whole) if weight else 0.0
+        if weight and len(parts) == 1 and spans[parts[0]] and name_holds_phrase(name) and _PHRASE.fullmatch(text, *spans[parts[0]]):
+            score = max(score, PHRASE_SCORE)
+        value = node(None, parts, weight, score)
         bound[name] = value, whole
         for use in waiting.pop(name, ()):
             if use != parts[0] or len(parts) > 1:  # not the name on its own right side
@@ -177,13 +258,13 @@ def literals(text: str) -> list[tuple[int, int, float]]:
         below[use] = [*below[use], value]
     _carried(weights, below)
     _carried(scores, below)
-    out = []
+    out: dict[tuple[int, int], float] = {}
     for i, span in enumerate(spans):
         if span is not None and weights[i] and span[1] > span[0]:
             score = max(scores[i], weights[i] * literal_score(text[span[0] : span[1]]))
             if score >= SCORE:
-                out.append((*span, score))
-    return sorted(out)
+                out[span] = max(score, out.get(span, 0.0))
+    return sorted((*span, score) for span, score in out.items())
 
 
 def spans_of(text: str | None) -> list[tuple[str, int, int, float]]:
