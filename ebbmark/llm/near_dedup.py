@@ -226,9 +226,11 @@ def _across(lists: DataFrame, comp: DataFrame, matches: int, percent: int, crowd
     right = mixed.select("key", F.pmod(F.xxhash64("v"), "blocks").cast("int").alias("block"), *(F.col(c).alias(f"r_{c}") for c in ("v", "comp", "keys", "bits", "size", "main")))
     left = mixed.filter("comp <> main").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *(F.col(c).alias(f"l_{c}") for c in ("v", "comp", "keys", "bits", "size")))
     meets = (F.col("l_comp") != F.col("r_comp")) & ((F.col("r_comp") == F.col("r_main")) | (F.col("l_v") < F.col("r_v")))
-    alike = _may_link("l_", "r_", percent) & (F.size(F.array_intersect("l_keys", "r_keys")) >= matches)
-    pairs = left.join(right, ["key", "block"]).filter(meets & alike).select(F.least("l_v", "r_v").alias("x"), F.greatest("l_v", "r_v").alias("y")).distinct()
-    return pairs, crowded
+    alike = F.size(F.array_intersect("l_keys", "r_keys")) >= matches
+    pairs = left.join(right, ["key", "block"]).filter(meets & _may_link("l_", "r_", percent)).withColumns({"x": F.least("l_v", "r_v"), "y": F.greatest("l_v", "r_v")})
+    if crowd is None:  # two texts meet under many keys of the fine signature: each pair counts its matches once
+        pairs = pairs.select("x", "y", "l_keys", "r_keys").dropDuplicates(["x", "y"])
+    return pairs.filter(alike).select("x", "y").distinct(), crowded
 
 
 def deduplicated(docs: DataFrame, **how) -> DataFrame:
