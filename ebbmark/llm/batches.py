@@ -1,13 +1,26 @@
-"""Bounds on what one Arrow batch holds, so that very long texts do not fill a Python worker, and on what stays on disk."""
+"""Bounds on what one Arrow batch holds, so that very long texts do not fill a Python worker, on what a worker keeps, and on what stays on disk."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
 _SWEEP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_held: dict[tuple, object] = {}
+
+
+def held(make: Callable, *args):
+    """What make(*args) gives, kept in this Python worker for later tasks until another is asked for.
+
+    Spark hands a worker from one job to the next, so memories that each outlive their job would add up.
+    """
+    key = (make, *args)
+    if key not in _held:
+        _held.clear()  # the old one goes before the new one grows
+        _held[key] = make(*args)
+    return _held[key]
 
 
 def bounded(spark: SparkSession, rows: int = 500, mb: int = 4) -> SparkSession:

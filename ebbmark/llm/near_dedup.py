@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ebbmark.core.tables import small, table
-from ebbmark.llm.batches import bounded
+from ebbmark.llm.batches import bounded, held
 from ebbmark.llm.components import components
 from ebbmark.llm.words import WordHashes, shingles
 
@@ -55,10 +55,10 @@ def _signer(k: int, coords: int):
     mul = rng.integers(1, 2**63, coords, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     add = rng.integers(0, 2**63, coords, dtype=np.uint64)
     place = np.arange(coords, dtype=np.int64) << 32
-    cache = WordHashes()
 
     @F.pandas_udf("n_shingles long, cls binary, keys array<long>, bits array<long>")
     def sign(texts: pd.Series) -> pd.DataFrame:
+        cache = held(WordHashes)
         sets = [shingles(cache.of(t.encode().lower().split()), k) if t else shingles(np.empty(0, np.uint64), k) for t in texts]
         sizes = np.array([len(s) for s in sets], dtype=np.int64)
         full = np.flatnonzero(sizes)
@@ -83,11 +83,9 @@ def _signer(k: int, coords: int):
 
 
 def _confirmer(k: int, percent: int):
-    cache = WordHashes()
-
     @F.pandas_udf("boolean")
     def linked(left: pd.Series, right: pd.Series) -> pd.Series:
-        seen: dict[str, np.ndarray] = {}
+        cache, seen = held(WordHashes), {}
 
         def of(t: str) -> np.ndarray:
             if t not in seen:

@@ -26,7 +26,6 @@ row each and are cut like others; further columns are not used.
 from __future__ import annotations
 
 import bisect
-import functools
 import json
 from collections.abc import Iterator
 from fractions import Fraction
@@ -39,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ebbmark.core.tables import table
-from ebbmark.llm.batches import bounded
+from ebbmark.llm.batches import bounded, held
 
 OWN_QUEUES, SHARED_QUEUES, SLICES = 192, 64, 1024
 
@@ -229,12 +228,6 @@ class Encoder:
         return out
 
 
-@functools.lru_cache(maxsize=2)
-def _encoder(path: str, end_id: int) -> Encoder:
-    """One encoder for all tasks of a Python worker."""
-    return Encoder(path, end_id)
-
-
 def _tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """(part, doc_id, source, before, n, ids): ids as little-endian unsigned 32-bit integers; before
     counts the tokens of the same source that come earlier in the same partition."""
@@ -245,7 +238,7 @@ def _tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         part, sums = TaskContext.get().partitionId(), {}
         for b in batches:
             col = {n: b.column(i) for i, n in enumerate(b.schema.names)}
-            ids, sizes = _encoder(tokenizer, end_id).encode(col["text"])
+            ids, sizes = held(Encoder, tokenizer, end_id).encode(col["text"])
             before, sources = [], [s or "" for s in col["source"].to_pylist()]
             for s, n in zip(sources, sizes.tolist()):
                 before.append(sums.get(s, 0))

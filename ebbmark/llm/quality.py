@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ebbmark.core.tables import small, table
-from ebbmark.llm.batches import bounded
+from ebbmark.llm.batches import bounded, held
 from ebbmark.llm.words import WordHashes, windows
 
 SYMBOLS = "#*$%&|<>"
@@ -53,9 +53,7 @@ COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_rep
 
 
 def _counter():
-    cache = WordHashes()
-
-    def count(text: str | None) -> tuple:
+    def count(text: str | None, cache: WordHashes) -> tuple:
         text = text or ""
         raw = text.encode()
         words = raw.split()
@@ -88,7 +86,8 @@ def _counter():
 
     @F.pandas_udf(COUNTS)
     def counts(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([count(t) for t in texts], columns=names).astype("int64")
+        cache = held(WordHashes)
+        return pd.DataFrame([count(t, cache) for t in texts], columns=names).astype("int64")
 
     return counts.asNondeterministic()
 
