@@ -200,11 +200,12 @@ def _across(lists: DataFrame, comp: DataFrame, matches: int, percent: int, crowd
     Within a posting list the largest component meets all others but not itself, so a list that one
     group of copies fills costs its other members times its length; both sides are dealt in blocks.
     Lists with more than ``crowd`` classes outside the largest component give no pairs here.
+    A class is in as many lists as its prefix has keys, so what travels there is its bitmap; all its keys
+    are joined only to the pairs that pass the bitmap test, each of them once.
     """
     rows = lists.join(comp, "v", "left").select(
         "v",
         F.coalesce("comp", "v").alias("comp"),
-        F.col("posted.key").alias("keys"),
         "bits",
         "size",
         F.explode(F.slice("posted.key", 1, F.size("posted") - F.lit(matches - 1))).alias("key"),
@@ -221,14 +222,13 @@ def _across(lists: DataFrame, comp: DataFrame, matches: int, percent: int, crowd
     full = F.lit(False) if crowd is None else F.col("others") > crowd
     crowded = table(rows.select("v", "key").join(sizes.filter(full).select("key"), "key").select("v").distinct(), "crowded")
     mixed = table(rows.join(sizes.filter(~full).drop("others"), "key"), "mixed")
-    right = mixed.select("key", F.pmod(F.xxhash64("v"), "blocks").cast("int").alias("block"), *(F.col(c).alias(f"r_{c}") for c in ("v", "comp", "keys", "bits", "size", "main")))
-    left = mixed.filter("comp <> main").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *(F.col(c).alias(f"l_{c}") for c in ("v", "comp", "keys", "bits", "size")))
+    right = mixed.select("key", F.pmod(F.xxhash64("v"), "blocks").cast("int").alias("block"), *(F.col(c).alias(f"r_{c}") for c in ("v", "comp", "bits", "size", "main")))
+    left = mixed.filter("comp <> main").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *(F.col(c).alias(f"l_{c}") for c in ("v", "comp", "bits", "size")))
     meets = (F.col("l_comp") != F.col("r_comp")) & ((F.col("r_comp") == F.col("r_main")) | (F.col("l_v") < F.col("r_v")))
-    alike = F.size(F.array_intersect("l_keys", "r_keys")) >= matches
-    pairs = left.join(right, ["key", "block"]).filter(meets & _may_link("l_", "r_", percent)).withColumns({"x": F.least("l_v", "r_v"), "y": F.greatest("l_v", "r_v")})
-    if crowd is None:  # two texts meet under many keys of the fine signature: each pair counts its matches once
-        pairs = pairs.select("x", "y", "l_keys", "r_keys").dropDuplicates(["x", "y"])
-    return pairs.filter(alike).select("x", "y").distinct(), crowded
+    met = left.join(right, ["key", "block"]).filter(meets & _may_link("l_", "r_", percent)).select(F.least("l_v", "r_v").alias("x"), F.greatest("l_v", "r_v").alias("y"))
+    side = lambda k: lists.select(F.col("v").alias(k), F.col("posted.key").alias(f"{k}_keys"))
+    alike = F.size(F.array_intersect("x_keys", "y_keys")) >= matches
+    return table(met.distinct(), "met").join(side("x"), "x").join(side("y"), "y").filter(alike).select("x", "y"), crowded
 
 
 def deduplicated(docs: DataFrame, **how) -> DataFrame:
