@@ -33,7 +33,7 @@ import math
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ebbmark.core.tables import small, table
@@ -46,6 +46,8 @@ BLOCK, LEADERS, SALTS = 512, 3, 16
 CROWD = 256
 #: Coordinates of the second signature.
 FINE = 256
+#: Keys of a coordinate whose counts reach the posts without a join.
+TOPS = 4
 #: 64-bit words of a parity bitmap.
 WORDS = 16
 
@@ -164,10 +166,22 @@ def _lists(keyed: DataFrame, classes: DataFrame, matches: int) -> DataFrame:
 
     Classes with fewer than ``matches`` such keys link with none and are left out.
     """
-    posts = keyed.select("v", F.explode("keys").alias("key"))
     # counts are written before they meet the posts: then both sides are plain shuffles, split where a key is hot
-    met = posts.join(table(posts.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "counts"), "key")
-    lists = met.groupBy("v").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("posted"), F.sum("n").alias("common"))
+    counts = table(keyed.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "counts")
+    # the TOPS most common keys of each coordinate go to the posts as a small constant, all others by a join
+    rank = F.row_number().over(Window.partitionBy("at").orderBy(F.desc("n"), "key"))
+    found = counts.withColumn("at", F.shiftright("key", 32).cast("int")).withColumn("rank", rank).filter(F.col("rank") <= TOPS).collect()
+    tops = [[] for _ in range(max((r["at"] for r in found), default=-1) + 1)]
+    for r in found:
+        tops[r["at"]].append((r["n"], r["key"]))
+    known = keyed.sparkSession.createDataFrame([(tops,)], "tops array<array<struct<n: bigint, key: bigint>>>")
+    of = F.transform("keys", lambda k, at: F.filter(F.coalesce(F.get("tops", at), F.array().cast("array<struct<n: bigint, key: bigint>>")), lambda t: t["key"] == k))
+    keyed = keyed.select("v", "keys").crossJoin(F.broadcast(known)).select("v", "keys", F.flatten(of).alias("top"))
+    posts = keyed.select("v", F.explode(F.array_except("keys", "top.key")).alias("key"))
+    rest = posts.join(counts, "key").groupBy("v").agg(F.collect_list(F.struct("n", "key")).alias("rest"))
+    posted = F.array_sort(F.when(F.col("rest").isNull(), F.col("top")).otherwise(F.concat("top", "rest")))
+    lists = keyed.select("v", "top").join(rest, "v", "left").select("v", posted.alias("posted"))
+    lists = lists.withColumn("common", F.aggregate("posted.n", F.lit(0).cast("long"), lambda total, n: total + n))
     return table(lists.filter(F.size("posted") >= matches).join(classes.select("v", F.col("n_shingles").alias("size"), "bits"), "v"), "lists")
 
 
