@@ -6,18 +6,20 @@ ANCHOR-byte string in it with the least hash, so equal windows have equal anchor
 1. Each shard sends its distinct anchors as sorted runs, cut into ranges of the hash. A range merges its runs and
    finds by binary search, for each run, which anchors occur more than once in the corpus. A window whose anchor
    does not is unique.
-2. The windows that share such an anchor at one place are a piece of text of at most 2 * LENGTH - ANCHOR bytes.
-   Each shard sends its distinct pieces, with the least doc_id that holds them, to the range of their anchor.
-   Windows of anchors with more than HOT occurrences go one by one to the range of their own hash, so that no
-   range collects what surrounds a passage that a large part of the corpus repeats.
+2. Up to LENGTH - ANCHOR + 1 neighbouring windows that share such an anchor are a piece of text. Each shard sends its
+   distinct pieces, with the least doc_id that holds them, to the range of their anchor. Windows of anchors with
+   more than HOT occurrences go one by one to the range of their own hash, so that no range collects what
+   surrounds a passage that a large part of the corpus repeats.
 3. A range cuts its distinct pieces into shards of SUFFIX_BYTES and builds each one's suffix array: suffixes are
-   sorted by eight bytes and refined by doubling, unsorted groups only (Larsson and Sadakane), to LENGTH bytes;
-   common prefixes with the neighbour come from Kasai's rule, a suffix keeps its predecessor's less one, in text
-   order for all at once. Neighbours that share LENGTH bytes are one window. The shards' sorted windows are merged
-   by binary search, and the least doc_id of each window goes back to the shards of the texts.
+   sorted by eight bytes and refined by the eight after them, unsorted groups only, to LENGTH bytes; common
+   prefixes with the neighbour come from Kasai's rule, a suffix keeps its predecessor's less one, in text order
+   for all at once. Neighbours that share LENGTH bytes are one window. The shards' windows are merged by one sort of
+   their hashes and compared byte by byte, and the least doc_id of each window goes back to the shards of the texts.
 4. A window in a document over that doc_id is removed; the covered bytes are merged and cut out.
 
 Runs, pieces and answers are at most one a shard for what is equal, so copies and hot passages cost a row a shard.
+Every shard meets every range in one row, whose number grows with the square of the corpus: shards and ranges are
+as large as a task's memory allows, and a shard is worked through in blocks.
 
 Nulls and edges: a null text is empty; a document with null doc_id neither removes nor loses anything; rows that
 repeat a doc_id do not remove from each other; texts shorter than LENGTH stay; an empty table gives no rows; a
@@ -42,12 +44,14 @@ from ebbmark.core.tables import table
 from ebbmark.llm import textbytes as tb
 from ebbmark.llm.batches import bounded, swept
 
-LENGTH, ANCHOR = 50, 16
+LENGTH, ANCHOR = 50, 20
 #: Bytes of texts in a shard and of pieces in a suffix array, anchors of a range, occurrences of a hot anchor.
-SHARD_BYTES, SUFFIX_BYTES, RANGE, HOT = 4 << 20, 256 << 10, 1 << 17, 1 << 14
+SHARD_BYTES, SUFFIX_BYTES, RANGE, HOT = 32 << 20, 256 << 10, 1 << 19, 1 << 16
+#: Places of a shard that are hashed at once, pieces that are, and bytes of output rows that go to Spark at once.
+BLOCK, PIECES, OUT_BYTES = 1 << 17, 1 << 15, 4 << 20
 _WIDE = LENGTH - ANCHOR + 1
 #: The low bits of an anchor in a run hold the logarithm of its occurrences in the shard.
-_LOW = np.uint64(15)
+_LOW = np.uint64(31)
 
 
 def _zip(x: np.ndarray | bytes) -> bytes:
@@ -77,33 +81,63 @@ def _padded(body: bytes) -> np.ndarray:
 
 
 def pieces(body: np.ndarray, starts: np.ndarray, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, windows, anchor hash) of each maximal run of windows with one anchor; ``skip``: documents without."""
+    """(first window, windows, anchor hash) of each run of up to _WIDE windows with one anchor; ``skip``: documents without."""
     n = len(body) - tb.PAD
     view = tb.eights(body)
-    h = view[:n] * tb._M1
-    h ^= h >> np.uint64(32)
-    h = (h + view[8 : n + 8]) * tb._M2
-    h ^= h >> np.uint64(29)
-    h *= tb._P
-    h ^= h >> np.uint64(32)
-    low, at, width = h, np.arange(n, dtype=np.int32), 1
-    while 2 * width <= _WIDE:  # the least hash of 2, 4, 8 ... places, the first of equals
-        less = low[width:] < low[:-width]
-        low, at, width = np.where(less, low[width:], low[:-width]), np.where(less, at[width:], at[:-width]), 2 * width
-    more = _WIDE - width
-    less = low[more:] < low[: len(low) - more]
-    at = np.where(less, at[more:], at[: len(at) - more])
     last = starts[1:] - 1 - LENGTH  # the last window of each document
-    ok = np.zeros(n + 1, np.int8)
     real = (last >= starts[:-1]) & ~skip
-    ok[starts[:-1][real]] += 1
-    ok[last[real] + 1] -= 1
-    inside = np.cumsum(ok[:n], dtype=np.int8)[: len(at)].astype(bool)
-    p = np.flatnonzero(inside)
-    a = at[p]
-    cut = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (p[1:] != p[:-1] + 1)])) if len(p) else np.empty(0, np.int64)
+    edge = np.zeros(n + 1, np.int8)
+    edge[starts[:-1][real]] += 1
+    edge[last[real] + 1] -= 1
+    inside = np.cumsum(edge, dtype=np.int8, out=edge).view(bool)
+    found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64))]
+    for a in range(0, max(n - LENGTH + 1, 0), BLOCK):
+        b = min(a + BLOCK, n - LENGTH + 1)
+        ok, stop = inside[a:b], b + _WIDE - 1
+        low = view[a:stop] * tb._M1
+        for at in (8, ANCHOR - 8):
+            low ^= low >> np.uint64(32)
+            low += view[a + at : stop + at]
+            low *= tb._M2
+        low ^= low >> np.uint64(29)
+        low *= tb._P
+        low ^= low >> np.uint64(32)
+        width = 1
+        while 2 * width <= _WIDE:  # the least hash of 2, 4, 8 ... places
+            low, width = np.minimum(low[width:], low[:-width]), 2 * width
+        low = np.minimum(low[_WIDE - width :], low[: len(low) - (_WIDE - width)])
+        new = ok.copy()
+        new[1:] &= (low[1:] != low[:-1]) | ~ok[:-1]
+        first = np.flatnonzero(new)
+        ends = np.flatnonzero(ok & ~np.append(ok[1:], False)) + 1
+        windows = np.minimum(np.append(first[1:], b - a)[: len(first)], ends[np.searchsorted(ends, first, "right")]) - first
+        if len(windows) and windows.max() > _WIDE:  # what repeats itself
+            parts = -(-windows // _WIDE)
+            begin = _spread(np.zeros(len(parts), np.int64), parts) * _WIDE
+            first, windows = np.repeat(first, parts) + begin, np.minimum(np.repeat(windows, parts) - begin, _WIDE)
+        found.append((first + a, windows, low[first]))
+    first, windows, keys = (np.concatenate(x) for x in zip(*found))
     # least hashes are small; mixed again they fall evenly into ranges
-    return p[cut], np.diff(np.append(cut, len(p))), tb.mix(h[a[cut]]) & ~_LOW
+    return first, windows, tb.mix(keys) & ~_LOW
+
+
+def _hashes(body: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of body[first : first + size] for each piece, of LENGTH to LENGTH + _WIDE - 1 bytes."""
+    view = tb.eights(body)
+    one, two = np.empty(len(first), np.uint64), np.empty(len(first), np.uint64)
+    whole = [*range(0, LENGTH - 7, 8), LENGTH - 8]
+    for a in range(0, len(first), PIECES):
+        at, n = first[a : a + PIECES], size[a : a + PIECES]
+        x, y = tb.mix(n.astype(np.uint64)), tb.mix(n.astype(np.uint64) + tb._P)
+        # the bytes that every piece has, then the rest from its end; with the size this tells all texts apart
+        for step in [*whole, *(np.maximum(n - back, LENGTH - 8) for back in range(8, _WIDE + 7, 8))]:
+            word = view[at + step]
+            x = (x ^ word) * tb._M1
+            x ^= x >> np.uint64(31)
+            y = (y + word) * tb._M2
+            y ^= y >> np.uint64(29)
+        one[a : a + PIECES], two[a : a + PIECES] = tb.mix(x), tb.mix(y)
+    return one, two
 
 
 def _opened(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -112,8 +146,8 @@ def _opened(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return _padded(row.body), np.asarray(row.starts, np.int64), np.array([0 if x else int(i) for i, x in zip(row.ids, null)], np.int64), null
 
 
-def _ranged(keys: np.ndarray, bits: int) -> np.ndarray:
-    return (keys >> np.uint64(63 - bits) >> np.uint64(1)).astype(np.int64)
+def _ranged(keys: np.ndarray, ranges: int) -> np.ndarray:
+    return ((keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
 
 
 def _cuts(sorted_: np.ndarray) -> np.ndarray:
@@ -126,7 +160,7 @@ def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
 
 
-def _anchors(shards: DataFrame, bits: int) -> DataFrame:
+def _anchors(shards: DataFrame, ranges: int) -> DataFrame:
     """(rng, shard, run): the sorted distinct anchors of each shard by range."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -134,8 +168,8 @@ def _anchors(shards: DataFrame, bits: int) -> DataFrame:
             for row in pdf.itertuples():
                 body, starts, _, null = _opened(row)
                 keys, count = np.unique(pieces(body, starts, null)[2], return_counts=True)
-                keys = keys | np.minimum(np.frexp(count.astype(float))[1] - 1, 15).astype(np.uint64)
-                rng = _ranged(keys, bits)
+                keys = keys | np.minimum(np.frexp(count.astype(float))[1] - 1, int(_LOW)).astype(np.uint64)
+                rng = _ranged(keys, ranges)
                 cuts = _cuts(rng)
                 yield pd.DataFrame({"rng": rng[cuts[:-1]], "shard": row.shard, "run": [keys[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]})
 
@@ -156,8 +190,9 @@ def _marked(runs: DataFrame) -> DataFrame:
     return runs.groupBy("rng").applyInPandas(run, "rng int, shard long, marks binary")
 
 
-def _sent(shards: DataFrame, marks: DataFrame, bits: int) -> DataFrame:
+def _sent(shards: DataFrame, marks: DataFrame, ranges: int) -> DataFrame:
     """(rng, shard, windows, texts, lows, piece, first): distinct pieces with their least doc_id, and all their places."""
+    columns, bits = ["rng", "shard", "windows", "texts", "lows", "piece", "first"], np.uint64((ranges - 1).bit_length())
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -167,20 +202,26 @@ def _sent(shards: DataFrame, marks: DataFrame, bits: int) -> DataFrame:
                 mark = np.frombuffer(b"".join(x["marks"] for x in sorted(row.found, key=lambda x: x["rng"])), np.uint8)[np.unique(keys, return_inverse=True)[1]]
                 hot = mark == 2
                 alone = _spread(first[hot], windows[hot])
-                first, windows, keys = (np.concatenate([x[mark == 1], y]) for x, y in ((first, alone), (windows, np.ones(len(alone), np.int64)), (keys, tb.hashed(body, alone, alone + LENGTH, 3))))
-                size = windows + LENGTH - 1
-                one, two = (tb.hashed(body, first, first + size, s) for s in (1, 2))
-                doc = np.searchsorted(starts, first, "right") - 1
-                order = np.lexsort((ids[doc], two, one, _ranged(keys, bits)))
-                one, two, rng = one[order], two[order], _ranged(keys[order], bits)
-                fresh = np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1]) | (rng[1:] != rng[:-1])])[: len(one)]
+                first, windows, keys = (np.concatenate([x[mark == 1], y]) for x, y in ((first, alone), (windows, np.ones(len(alone), np.int64)), (keys, _hashes(body, alone, np.full(len(alone), LENGTH))[0])))
+                size, rng = windows + LENGTH - 1, _ranged(keys, ranges)
+                one, two = _hashes(body, first, size)
+                if bits:  # sorted by range, then by hash
+                    one = (rng.astype(np.uint64) << (np.uint64(64) - bits)) | (one >> bits)
+                order = np.argsort(one)
+                one, two = one[order], two[order]
+                fresh = np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])])[: len(one)]
                 head, number = order[fresh], np.cumsum(fresh) - 1
-                cuts = _cuts(rng[fresh])
-                out = []
+                least = np.minimum.reduceat(ids[np.searchsorted(starts, first, "right") - 1][order], np.flatnonzero(fresh)) if len(order) else ids[:0]
+                cuts = _cuts(rng[head])
+                out, held = [], 0
                 for a, b in zip(cuts, cuts[1:]):
                     mine, (x, y) = head[a:b], np.searchsorted(number, (a, b))
-                    out.append((int(rng[fresh][a]), row.shard, windows[mine].astype(np.uint8).tobytes(), _zip(body[_spread(first[mine], size[mine])]), _zip(ids[doc[mine]]), _zip((number[x:y] - a).astype(np.uint32)), _zip(first[order[x:y]].astype(np.uint32))))
-                yield pd.DataFrame(out, columns=["rng", "shard", "windows", "texts", "lows", "piece", "first"])
+                    out.append((int(rng[mine[0]]), row.shard, windows[mine].astype(np.uint8).tobytes(), _zip(body[_spread(first[mine], size[mine])]), _zip(least[a:b]), _zip((number[x:y] - a).astype(np.uint32)), _zip(first[order[x:y]].astype(np.uint32))))
+                    held += sum(map(len, out[-1][2:]))
+                    if held >= OUT_BYTES:
+                        yield pd.DataFrame(out, columns=columns)
+                        out, held = [], 0
+                yield pd.DataFrame(out, columns=columns)
 
     found = marks.groupBy("shard").agg(F.collect_list(F.struct("rng", "marks")).alias("found"))
     return shards.join(found, "shard").mapInPandas(run, "rng int, shard long, windows binary, texts binary, lows binary, piece binary, first binary")
@@ -189,31 +230,24 @@ def _sent(shards: DataFrame, marks: DataFrame, bits: int) -> DataFrame:
 def suffix_array(body: np.ndarray, left: np.ndarray) -> np.ndarray:
     """Places with ``left`` >= LENGTH bytes before their piece ends, sorted by LENGTH bytes.
 
-    Larsson and Sadakane's refinement: a suffix's rank is where its group begins; groups of more than one are
-    sorted by the rank of the suffix as many bytes further on as they are equal in.
+    Sorted by eight bytes; groups of more than one are sorted by the eight bytes after those that they share.
     """
-    at = np.flatnonzero(left >= 8)
-    words = tb.eights(body)[at].byteswap()
+    at = np.flatnonzero(left >= LENGTH)
+    view = tb.eights(body)
+    words = view[at].byteswap()
     order = np.argsort(words)
     sa, words = at[order], words[order]
-    fresh = np.concatenate([[True], words[1:] != words[:-1]])[: len(sa)]
-    rank = np.zeros(len(left), np.int64)
-    begin = np.flatnonzero(fresh)
-    rank[sa] = np.repeat(begin, np.diff(np.append(begin, len(sa))))
-    for depth, shift in ((8, 8), (16, 16), (32, LENGTH - 32)):
-        group = rank[sa]
-        alone = np.concatenate([[True], group[1:] != group[:-1], [True]])
-        todo = np.flatnonzero(~(alone[:-1] & alone[1:]))
-        todo_at = sa[todo]
-        # a suffix that ends sooner goes first; no window needs its rank
-        further = np.where(left[todo_at] >= depth + shift, rank[np.minimum(todo_at + shift, len(rank) - 1)], -1)
-        by = np.lexsort((further, group[todo]))
-        sa[todo], group, further = todo_at[by], group[todo][by], further[by]
-        fresh = np.concatenate([[True], (group[1:] != group[:-1]) | (further[1:] != further[:-1])])[: len(todo)]
-        begin = np.flatnonzero(fresh)
-        new = np.repeat(todo[begin], np.diff(np.append(begin, len(todo))))
-        rank[sa[todo]] = new
-    return sa[left[sa] >= LENGTH]
+    fresh = np.concatenate([[True], words[1:] != words[:-1], [True]])[: len(sa) + 1]
+    for depth in (*range(8, LENGTH - 8, 8), LENGTH - 8):
+        todo = np.flatnonzero(~(fresh[:-1] & fresh[1:]))
+        if not len(todo):
+            break
+        group, there = np.cumsum(fresh[todo]), sa[todo]
+        further = view[there + depth].byteswap()
+        by = np.lexsort((further, group))
+        sa[todo], further = there[by], further[by]
+        fresh[todo[1:]] |= further[1:] != further[:-1]
+    return sa
 
 
 def common_prefixes(body: np.ndarray, left: np.ndarray, sa: np.ndarray) -> np.ndarray:
@@ -266,7 +300,7 @@ def least_ids(texts: np.ndarray, sizes: np.ndarray, lows: np.ndarray, limit: int
         begin = np.flatnonzero(fresh)
         least = np.minimum.reduceat(owner[sa], begin)
         head = sa[begin]
-        h = tb.hashed(body, head, head + LENGTH, 5)
+        h = _hashes(body, head, np.full(len(head), LENGTH))[0]
         order = np.argsort(h)
         known.append((h[order], head[order] + base, least[order]))
         place = np.empty(len(left), np.int64)
@@ -274,25 +308,35 @@ def least_ids(texts: np.ndarray, sizes: np.ndarray, lows: np.ndarray, limit: int
         where[order] = np.arange(len(order))
         place[sa] = where[np.cumsum(fresh) - 1]
         groups.append(place[left >= LENGTH])
-    row = np.arange(LENGTH)
-    for i, (h, head, least) in enumerate(known):  # each shard's windows are looked up in the shards after it
-        for other_h, other_head, other in known[i + 1 :]:
-            spot = np.minimum(np.searchsorted(other_h, h), len(other_h) - 1)
-            hit = np.flatnonzero(other_h[spot] == h)
-            hit = np.concatenate([x[(texts[head[x][:, None] + row] == texts[other_head[spot[x]][:, None] + row]).all(axis=1)] for x in np.array_split(hit, len(hit) // 8192 + 1)])
-            both = np.minimum(least[hit], other[spot[hit]])
-            least[hit] = both
-            other[spot[hit]] = both
-    # what a later shard learnt from one before goes back to those before it
-    for i in range(len(known) - 1, -1, -1):
-        h, _, least = known[i]
-        for other_h, _, other in known[:i]:
-            spot = np.minimum(np.searchsorted(other_h, h), len(other_h) - 1)
-            hit = np.flatnonzero(other_h[spot] == h)
-            other[spot[hit]] = np.minimum(other[spot[hit]], least[hit])
+    if len(known) > 1:
+        _merged(texts, known)
     return np.concatenate([k[2][g] for k, g in zip(known, groups)]) if known else np.empty(0, np.int64)
 
 
+def _merged(texts: np.ndarray, known: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
+    """Sets the least of each window in each shard to the least of the shards that have it."""
+    h, head, least = (np.concatenate(x) for x in zip(*known))
+    order = np.argsort(h)
+    h = h[order]
+    fresh = np.concatenate([[True], h[1:] != h[:-1], [True]])
+    todo = np.flatnonzero(~(fresh[:-1] & fresh[1:]))
+    order, fresh = order[todo], fresh[todo]
+    group, begin, row = np.cumsum(fresh) - 1, np.flatnonzero(fresh), np.arange(LENGTH)
+    other = np.zeros(len(order), bool)  # windows of one hash that are not the first one's
+    for a in range(0, len(order), PIECES):
+        part = slice(a, a + PIECES)
+        other[part] = (texts[head[order[part]][:, None] + row] != texts[head[order[begin[group[part]]]][:, None] + row]).any(axis=1)
+    if other.any():
+        unlike = np.flatnonzero(other)
+        group[unlike] = len(begin) + np.unique(np.ascontiguousarray(texts[head[order[unlike]][:, None] + row]).view(f"V{LENGTH}").ravel(), return_inverse=True)[1]
+    best = np.full(len(order) + len(begin), np.iinfo(np.int64).max)
+    np.minimum.at(best, group, least[order])
+    least[order] = best[group]
+    ends = np.cumsum([len(k[2]) for k in known])
+    for k, a, b in zip(known, np.append(0, ends), ends):
+        k[2][:] = least[a:b]
+
+
 def _answered(sent: DataFrame) -> DataFrame:
     """(rng, shard, n, runs, mins): for each piece of a shard, how many stretches of windows have one least doc_id, and these."""
 
@@ -302,13 +346,14 @@ def _answered(sent: DataFrame) -> DataFrame:
         texts = np.frombuffer(b"".join(map(_unzip, pdf["texts"])) + bytes(tb.PAD), np.uint8)
         lows = np.frombuffer(b"".join(map(_unzip, pdf["lows"])), np.int64)
         ends = np.cumsum(sizes)
-        key = np.stack([tb.hashed(texts, ends - sizes, ends, s) for s in (1, 2)])
-        order = np.lexsort((lows, key[1], key[0]))
-        fresh = np.concatenate([[True], (key[:, order[1:]] != key[:, order[:-1]]).any(axis=0)])
+        one, two = _hashes(texts, ends - sizes, sizes)
+        order = np.argsort(one)
+        one, two = one[order], two[order]
+        fresh = np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])])
         head, same = order[fresh], np.empty(len(order), np.int64)
         same[order] = np.cumsum(fresh) - 1
         own = sizes[head] - LENGTH + 1
-        least = least_ids(texts[_spread(ends[head] - sizes[head], sizes[head])], sizes[head], lows[head])
+        least = least_ids(texts[_spread(ends[head] - sizes[head], sizes[head])], sizes[head], np.minimum.reduceat(lows[order], np.flatnonzero(fresh)))
         piece = np.repeat(np.arange(len(head)), own)
         begin = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (piece[1:] != piece[:-1])]))
         count = np.bincount(piece[begin], minlength=len(head))
@@ -330,8 +375,9 @@ def _cut(shards: DataFrame, answers: DataFrame) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             for row in pdf.itertuples():
-                body, starts, ids, null = _opened(row)
-                edge = np.zeros(len(body) + 1, np.int32)
+                body, starts, null = _unzip(row.body), np.asarray(row.starts, np.int64), [i is None or i != i for i in row.ids]
+                ids = np.array([0 if x else int(i) for i, x in zip(row.ids, null)], np.int64)
+                gone = [(np.empty(0, np.int64), np.empty(0, np.int64))]
                 for x in row.found if row.found is not None else ():
                     piece, first = np.frombuffer(_unzip(x["piece"]), np.uint32).astype(np.int64), np.frombuffer(_unzip(x["first"]), np.uint32).astype(np.int64)
                     n, lengths, mins = np.frombuffer(x["n"], np.uint8).astype(np.int64), np.frombuffer(x["runs"], np.uint8).astype(np.int64), np.frombuffer(_unzip(x["mins"]), np.int64)
@@ -340,18 +386,23 @@ def _cut(shards: DataFrame, answers: DataFrame) -> DataFrame:
                     into -= np.repeat(into[at], n)
                     take = _spread(at[piece], n[piece])
                     begin = np.repeat(first, n[piece]) + into[take]
-                    gone = mins[take] < ids[np.searchsorted(starts, begin, "right") - 1]
-                    np.add.at(edge, begin[gone], 1)
-                    np.add.at(edge, begin[gone] + lengths[take][gone] + LENGTH - 1, -1)
-                out = np.cumsum(edge)[: len(body)] > 0
-                a, b = tb.runs(out)
-                doc = np.searchsorted(starts, a, "right") - 1
-                spans = [[] for _ in ids]
-                for d, x, y in zip(doc, a - starts[doc], b - starts[doc]):
-                    spans[d].append((x, y))
-                stay = body.tobytes() if not len(a) else None
-                kept = [(stay[x:y] if stay is not None else body[x:y][~out[x:y]].tobytes()) for x, y in zip(starts[:-1], starts[1:] - 1)]
-                yield pd.DataFrame({"doc_id": pd.array([None if x else i for i, x in zip(ids, null)], "Int64"), "n_bytes": np.diff(starts) - 1, "removed": spans, "kept": kept})
+                    out = mins[take] < ids[np.searchsorted(starts, begin, "right") - 1]
+                    gone.append((begin[out], begin[out] + lengths[take][out] + LENGTH - 1))
+                begin, end = (np.concatenate(x) for x in zip(*gone))
+                order = np.argsort(begin)
+                begin, end = begin[order], np.maximum.accumulate(end[order])
+                cuts = np.flatnonzero(np.concatenate([[True], begin[1:] > end[:-1], [True]])) if len(begin) else np.zeros(1, np.int64)
+                begin, end = begin[cuts[:-1]], end[cuts[1:] - 1]
+                own = np.searchsorted(begin, starts)  # the spans of each document
+                part = starts[:-1] // OUT_BYTES
+                cuts = _cuts(part)
+                for x, y in zip(cuts, cuts[1:]):
+                    spans, kept = [], []
+                    for d in range(x, y):
+                        s, a, b = int(starts[d]), begin[own[d] : own[d + 1]].tolist(), end[own[d] : own[d + 1]].tolist()
+                        spans.append([(i - s, j - s) for i, j in zip(a, b)])
+                        kept.append(b"".join(body[i:j] for i, j in zip([s, *b], [*a, int(starts[d + 1]) - 1])))
+                    yield pd.DataFrame({"doc_id": pd.array([None if z else i for i, z in zip(ids[x:y], null[x:y])], "Int64"), "n_bytes": np.diff(starts[x : y + 1]) - 1, "removed": spans, "kept": kept})
 
     return shards.join(answers, "shard", "left").mapInPandas(run, "doc_id long, n_bytes long, removed array<struct<start:long,end:long>>, kept binary")
 
@@ -362,9 +413,9 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     with swept(spark):
         shards = table(_sharded(docs), "shards")
         size = shards.agg(F.sum("size")).first()[0] or 0
-        bits = max(0, math.ceil(math.log2(max(1.0, 2 * size / (_WIDE + 1) / RANGE))))
-        marks = table(_marked(_anchors(shards, bits)), "marks")
-        sent = table(_sent(shards, marks, bits), "pieces")
+        ranges = max(1, math.ceil(2 * size / (_WIDE + 1) / RANGE))
+        marks = table(_marked(_anchors(shards, ranges)), "marks")
+        sent = table(_sent(shards, marks, ranges), "pieces")
         answers = table(_answered(sent), "answers")
     places = sent.select("rng", "shard", "piece", "first").join(answers, ["rng", "shard"])
     found = places.groupBy("shard").agg(F.collect_list(F.struct("piece", "first", "n", "runs", "mins")).alias("found"))
