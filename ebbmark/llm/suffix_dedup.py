@@ -19,7 +19,8 @@ ANCHOR-byte string in it with the least hash, so equal windows have equal anchor
 
 Runs, pieces and answers are at most one a shard for what is equal, so copies and hot passages cost a row a shard.
 Every shard meets every range in one row, whose number grows with the square of the corpus: shards and ranges are
-as large as a task's memory allows, and a shard is worked through in blocks.
+as large as a task's memory allows, and a shard is worked through in blocks. A shard's texts are in rows of ROW_BYTES,
+as rows of many megabytes would fill the executors' heaps.
 
 Nulls and edges: a null text is empty; a document with null doc_id neither removes nor loses anything; rows that
 repeat a doc_id do not remove from each other; texts shorter than LENGTH stay; an empty table gives no rows; a
@@ -35,6 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -46,9 +48,9 @@ from ebbmark.llm.batches import bounded, swept
 
 LENGTH, ANCHOR = 50, 20
 #: Bytes of texts in a shard and of pieces in a suffix array, anchors of a range, occurrences of a hot anchor.
-SHARD_BYTES, SUFFIX_BYTES, RANGE, HOT = 32 << 20, 256 << 10, 1 << 19, 1 << 16
-#: Places of a shard that are hashed at once, pieces that are, and bytes of output rows that go to Spark at once.
-BLOCK, PIECES, OUT_BYTES = 1 << 17, 1 << 15, 4 << 20
+SHARD_BYTES, SUFFIX_BYTES, RANGE, HOT = 16 << 20, 256 << 10, 1 << 18, 1 << 16
+#: Places of a shard that are hashed at once, pieces that are, and bytes of texts in a row.
+BLOCK, PIECES, ROW_BYTES = 1 << 17, 1 << 15, 512 << 10
 _WIDE = LENGTH - ANCHOR + 1
 #: The low bits of an anchor in a run hold the logarithm of its occurrences in the shard.
 _LOW = np.uint64(31)
@@ -63,21 +65,21 @@ def _unzip(x: bytes) -> bytes:
 
 
 def _sharded(docs: DataFrame) -> DataFrame:
-    """(shard, ids, starts, body, size): joined texts, each followed by a line break."""
-    kinds = {"shard": pa.int64(), "ids": pa.list_(pa.int64()), "starts": pa.list_(pa.int64()), "body": pa.binary(), "size": pa.int64()}
+    """(shard, part, ids, null, starts, body, size): joined texts, each followed by a line break, in some rows a shard."""
+    kinds = {"shard": pa.int64(), "part": pa.int32(), "ids": pa.binary(), "null": pa.binary(), "starts": pa.binary(), "body": pa.binary(), "size": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 32
-        for i, part in enumerate(tb.gathered(batches, SHARD_BYTES)):
-            body, starts = tb.joined(part["text"])
-            row = {"shard": first + i, "ids": part["doc_id"].to_pylist(), "starts": starts, "body": _zip(body[: -tb.PAD]), "size": len(body) - tb.PAD}
-            yield pa.RecordBatch.from_arrays([pa.array([row[k]], t) for k, t in kinds.items()], names=list(kinds))
+        for i, texts in enumerate(tb.gathered(batches, SHARD_BYTES)):
+            body, starts = tb.joined(texts["text"])
+            ids, null = (x.to_numpy() for x in (pc.fill_null(texts["doc_id"], 0), pc.is_null(texts["doc_id"])))
+            cuts = _cuts(starts[:-1] // ROW_BYTES)
+            for part, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                inner = body[starts[a] : starts[b]]
+                row = {"shard": first + i, "part": part, "ids": ids[a:b].tobytes(), "null": null[a:b].tobytes(), "starts": (starts[a:b] - starts[a]).tobytes(), "body": _zip(inner), "size": len(inner)}
+                yield pa.RecordBatch.from_arrays([pa.array([row[k]], t) for k, t in kinds.items()], names=list(kinds))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "shard long, ids array<long>, starts array<long>, body binary, size long")
-
-
-def _padded(body: bytes) -> np.ndarray:
-    return np.concatenate([np.frombuffer(_unzip(body), np.uint8), np.zeros(tb.PAD, np.uint8)])
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "shard long, part int, ids binary, null binary, starts binary, body binary, size long")
 
 
 def pieces(body: np.ndarray, starts: np.ndarray, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -140,10 +142,14 @@ def _hashes(body: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.n
     return one, two
 
 
-def _opened(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(body, starts, ids, null) of a shard."""
-    null = np.array([i is None or i != i for i in row.ids], bool)
-    return _padded(row.body), np.asarray(row.starts, np.int64), np.array([0 if x else int(i) for i, x in zip(row.ids, null)], np.int64), null
+def _opened(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(body, starts and the end, ids, null) of a shard."""
+    rows = rows.sort_values("part")
+    body = np.frombuffer(b"".join(map(_unzip, rows["body"])) + bytes(tb.PAD), np.uint8)
+    ids, null = np.frombuffer(b"".join(rows["ids"]), np.int64), np.frombuffer(b"".join(rows["null"]), bool)
+    begin = np.cumsum(rows["size"].to_numpy()) - rows["size"].to_numpy()
+    starts = np.concatenate([*(np.frombuffer(x, np.int64) + a for x, a in zip(rows["starts"], begin)), [len(body) - tb.PAD]])
+    return body, starts, ids, null
 
 
 def _ranged(keys: np.ndarray, ranges: int) -> np.ndarray:
@@ -163,17 +169,15 @@ def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 def _anchors(shards: DataFrame, ranges: int) -> DataFrame:
     """(rng, shard, run): the sorted distinct anchors of each shard by range."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for row in pdf.itertuples():
-                body, starts, _, null = _opened(row)
-                keys, count = np.unique(pieces(body, starts, null)[2], return_counts=True)
-                keys = keys | np.minimum(np.frexp(count.astype(float))[1] - 1, int(_LOW)).astype(np.uint64)
-                rng = _ranged(keys, ranges)
-                cuts = _cuts(rng)
-                yield pd.DataFrame({"rng": rng[cuts[:-1]], "shard": row.shard, "run": [keys[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]})
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        body, starts, _, null = _opened(pdf)
+        keys, count = np.unique(pieces(body, starts, null)[2], return_counts=True)
+        keys = keys | np.minimum(np.frexp(count.astype(float))[1] - 1, int(_LOW)).astype(np.uint64)
+        rng = _ranged(keys, ranges)
+        cuts = _cuts(rng)
+        return pd.DataFrame({"rng": rng[cuts[:-1]], "shard": pdf["shard"].iloc[0], "run": [keys[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]})
 
-    return shards.mapInPandas(run, "rng int, shard long, run binary")
+    return shards.groupBy("shard").applyInPandas(run, "rng int, shard long, run binary")
 
 
 def _marked(runs: DataFrame) -> DataFrame:
@@ -194,37 +198,32 @@ def _sent(shards: DataFrame, marks: DataFrame, ranges: int) -> DataFrame:
     """(rng, shard, windows, texts, lows, piece, first): distinct pieces with their least doc_id, and all their places."""
     columns, bits = ["rng", "shard", "windows", "texts", "lows", "piece", "first"], np.uint64((ranges - 1).bit_length())
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for row in pdf.itertuples():
-                body, starts, ids, null = _opened(row)
-                first, windows, keys = pieces(body, starts, null)
-                mark = np.frombuffer(b"".join(x["marks"] for x in sorted(row.found, key=lambda x: x["rng"])), np.uint8)[np.unique(keys, return_inverse=True)[1]]
-                hot = mark == 2
-                alone = _spread(first[hot], windows[hot])
-                first, windows, keys = (np.concatenate([x[mark == 1], y]) for x, y in ((first, alone), (windows, np.ones(len(alone), np.int64)), (keys, _hashes(body, alone, np.full(len(alone), LENGTH))[0])))
-                size, rng = windows + LENGTH - 1, _ranged(keys, ranges)
-                one, two = _hashes(body, first, size)
-                if bits:  # sorted by range, then by hash
-                    one = (rng.astype(np.uint64) << (np.uint64(64) - bits)) | (one >> bits)
-                order = np.argsort(one)
-                one, two = one[order], two[order]
-                fresh = np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])])[: len(one)]
-                head, number = order[fresh], np.cumsum(fresh) - 1
-                least = np.minimum.reduceat(ids[np.searchsorted(starts, first, "right") - 1][order], np.flatnonzero(fresh)) if len(order) else ids[:0]
-                cuts = _cuts(rng[head])
-                out, held = [], 0
-                for a, b in zip(cuts, cuts[1:]):
-                    mine, (x, y) = head[a:b], np.searchsorted(number, (a, b))
-                    out.append((int(rng[mine[0]]), row.shard, windows[mine].astype(np.uint8).tobytes(), _zip(body[_spread(first[mine], size[mine])]), _zip(least[a:b]), _zip((number[x:y] - a).astype(np.uint32)), _zip(first[order[x:y]].astype(np.uint32))))
-                    held += sum(map(len, out[-1][2:]))
-                    if held >= OUT_BYTES:
-                        yield pd.DataFrame(out, columns=columns)
-                        out, held = [], 0
-                yield pd.DataFrame(out, columns=columns)
-
-    found = marks.groupBy("shard").agg(F.collect_list(F.struct("rng", "marks")).alias("found"))
-    return shards.join(found, "shard").mapInPandas(run, "rng int, shard long, windows binary, texts binary, lows binary, piece binary, first binary")
+    def run(pdf: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        if found.empty:
+            return pd.DataFrame(columns=columns)
+        body, starts, ids, null = _opened(pdf)
+        first, windows, keys = pieces(body, starts, null)
+        mark = np.frombuffer(b"".join(found.sort_values("rng")["marks"]), np.uint8)[np.unique(keys, return_inverse=True)[1]]
+        hot = mark == 2
+        alone = _spread(first[hot], windows[hot])
+        first, windows, keys = (np.concatenate([x[mark == 1], y]) for x, y in ((first, alone), (windows, np.ones(len(alone), np.int64)), (keys, _hashes(body, alone, np.full(len(alone), LENGTH))[0])))
+        size, rng = windows + LENGTH - 1, _ranged(keys, ranges)
+        one, two = _hashes(body, first, size)
+        if bits:  # sorted by range, then by hash
+            one = (rng.astype(np.uint64) << (np.uint64(64) - bits)) | (one >> bits)
+        order = np.argsort(one)
+        one, two = one[order], two[order]
+        fresh = np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])])[: len(one)]
+        head, number = order[fresh], np.cumsum(fresh) - 1
+        least = np.minimum.reduceat(ids[np.searchsorted(starts, first, "right") - 1][order], np.flatnonzero(fresh)) if len(order) else ids[:0]
+        cuts = _cuts(rng[head])
+        out = []
+        for a, b in zip(cuts, cuts[1:]):
+            mine, (x, y) = head[a:b], np.searchsorted(number, (a, b))
+            out.append((int(rng[mine[0]]), pdf["shard"].iloc[0], windows[mine].astype(np.uint8).tobytes(), _zip(body[_spread(first[mine], size[mine])]), _zip(least[a:b]), _zip((number[x:y] - a).astype(np.uint32)), _zip(first[order[x:y]].astype(np.uint32))))
+        return pd.DataFrame(out, columns=columns)
+
+    return shards.groupBy("shard").cogroup(marks.groupBy("shard")).applyInPandas(run, "rng int, shard long, windows binary, texts binary, lows binary, piece binary, first binary")
 
 
 def suffix_array(body: np.ndarray, left: np.ndarray) -> np.ndarray:
@@ -302,20 +301,24 @@ def least_ids(texts: np.ndarray, sizes: np.ndarray, lows: np.ndarray, limit: int
         head = sa[begin]
         h = _hashes(body, head, np.full(len(head), LENGTH))[0]
         order = np.argsort(h)
-        known.append((h[order], head[order] + base, least[order]))
-        place = np.empty(len(left), np.int64)
+        known.append((h[order], (head[order] + base).astype(np.int32), least[order]))
+        place = np.empty(len(left), np.int32)
         where = np.empty(len(order), np.int64)
         where[order] = np.arange(len(order))
         place[sa] = where[np.cumsum(fresh) - 1]
         groups.append(place[left >= LENGTH])
-    if len(known) > 1:
-        _merged(texts, known)
-    return np.concatenate([k[2][g] for k, g in zip(known, groups)]) if known else np.empty(0, np.int64)
+    if not known:
+        return np.empty(0, np.int64)
+    ends = np.cumsum([len(k[0]) for k in known])
+    h, head, least = (np.concatenate(x) for x in zip(*known))
+    known.clear()
+    if len(groups) > 1:
+        _merge(texts, h, head, least)
+    return np.concatenate([least[a:b][g] for a, b, g in zip(np.append(0, ends), ends, groups)])
 
 
-def _merged(texts: np.ndarray, known: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
-    """Sets the least of each window in each shard to the least of the shards that have it."""
-    h, head, least = (np.concatenate(x) for x in zip(*known))
+def _merge(texts: np.ndarray, h: np.ndarray, head: np.ndarray, least: np.ndarray) -> None:
+    """Sets ``least`` of each window, of hash ``h`` at ``head``, to the least of all windows with its bytes."""
     order = np.argsort(h)
     h = h[order]
     fresh = np.concatenate([[True], h[1:] != h[:-1], [True]])
@@ -332,9 +335,6 @@ def _merged(texts: np.ndarray, known: list[tuple[np.ndarray, np.ndarray, np.ndar
     best = np.full(len(order) + len(begin), np.iinfo(np.int64).max)
     np.minimum.at(best, group, least[order])
     least[order] = best[group]
-    ends = np.cumsum([len(k[2]) for k in known])
-    for k, a, b in zip(known, np.append(0, ends), ends):
-        k[2][:] = least[a:b]
 
 
 def _answered(sent: DataFrame) -> DataFrame:
@@ -370,41 +370,35 @@ def _answered(sent: DataFrame) -> DataFrame:
 
 
 def _cut(shards: DataFrame, answers: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, removed, kept) of every document; answers(shard, found) may lack shards."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for row in pdf.itertuples():
-                body, starts, null = _unzip(row.body), np.asarray(row.starts, np.int64), [i is None or i != i for i in row.ids]
-                ids = np.array([0 if x else int(i) for i, x in zip(row.ids, null)], np.int64)
-                gone = [(np.empty(0, np.int64), np.empty(0, np.int64))]
-                for x in row.found if row.found is not None else ():
-                    piece, first = np.frombuffer(_unzip(x["piece"]), np.uint32).astype(np.int64), np.frombuffer(_unzip(x["first"]), np.uint32).astype(np.int64)
-                    n, lengths, mins = np.frombuffer(x["n"], np.uint8).astype(np.int64), np.frombuffer(x["runs"], np.uint8).astype(np.int64), np.frombuffer(_unzip(x["mins"]), np.int64)
-                    into = np.cumsum(lengths) - lengths
-                    at = np.cumsum(n) - n
-                    into -= np.repeat(into[at], n)
-                    take = _spread(at[piece], n[piece])
-                    begin = np.repeat(first, n[piece]) + into[take]
-                    out = mins[take] < ids[np.searchsorted(starts, begin, "right") - 1]
-                    gone.append((begin[out], begin[out] + lengths[take][out] + LENGTH - 1))
-                begin, end = (np.concatenate(x) for x in zip(*gone))
-                order = np.argsort(begin)
-                begin, end = begin[order], np.maximum.accumulate(end[order])
-                cuts = np.flatnonzero(np.concatenate([[True], begin[1:] > end[:-1], [True]])) if len(begin) else np.zeros(1, np.int64)
-                begin, end = begin[cuts[:-1]], end[cuts[1:] - 1]
-                own = np.searchsorted(begin, starts)  # the spans of each document
-                part = starts[:-1] // OUT_BYTES
-                cuts = _cuts(part)
-                for x, y in zip(cuts, cuts[1:]):
-                    spans, kept = [], []
-                    for d in range(x, y):
-                        s, a, b = int(starts[d]), begin[own[d] : own[d + 1]].tolist(), end[own[d] : own[d + 1]].tolist()
-                        spans.append([(i - s, j - s) for i, j in zip(a, b)])
-                        kept.append(b"".join(body[i:j] for i, j in zip([s, *b], [*a, int(starts[d + 1]) - 1])))
-                    yield pd.DataFrame({"doc_id": pd.array([None if z else i for i, z in zip(ids[x:y], null[x:y])], "Int64"), "n_bytes": np.diff(starts[x : y + 1]) - 1, "removed": spans, "kept": kept})
-
-    return shards.join(answers, "shard", "left").mapInPandas(run, "doc_id long, n_bytes long, removed array<struct<start:long,end:long>>, kept binary")
+    """(doc_id, n_bytes, removed, kept) of every document; answers(shard, piece, first, n, runs, mins) may lack shards."""
+
+    def run(pdf: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        body, starts, ids, null = _opened(pdf)
+        gone = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+        for x in found.itertuples():
+            piece, first = np.frombuffer(_unzip(x.piece), np.uint32).astype(np.int64), np.frombuffer(_unzip(x.first), np.uint32).astype(np.int64)
+            n, lengths, mins = np.frombuffer(x.n, np.uint8).astype(np.int64), np.frombuffer(x.runs, np.uint8).astype(np.int64), np.frombuffer(_unzip(x.mins), np.int64)
+            into = np.cumsum(lengths) - lengths
+            at = np.cumsum(n) - n
+            into -= np.repeat(into[at], n)
+            take = _spread(at[piece], n[piece])
+            begin = np.repeat(first, n[piece]) + into[take]
+            out = mins[take] < ids[np.searchsorted(starts, begin, "right") - 1]
+            gone.append((begin[out], begin[out] + lengths[take][out] + LENGTH - 1))
+        begin, end = (np.concatenate(x) for x in zip(*gone))
+        order = np.argsort(begin)
+        begin, end = begin[order], np.maximum.accumulate(end[order])
+        cuts = np.flatnonzero(np.concatenate([[True], begin[1:] > end[:-1], [True]])) if len(begin) else np.zeros(1, np.int64)
+        begin, end = begin[cuts[:-1]], end[cuts[1:] - 1]
+        own = np.searchsorted(begin, starts)  # the spans of each document
+        body, spans, kept = body.data, [], []
+        for d in range(len(ids)):
+            s, a, b = int(starts[d]), begin[own[d] : own[d + 1]].tolist(), end[own[d] : own[d + 1]].tolist()
+            spans.append([(i - s, j - s) for i, j in zip(a, b)])
+            kept.append(b"".join(body[i:j] for i, j in zip([s, *b], [*a, int(starts[d + 1]) - 1])))
+        return pd.DataFrame({"doc_id": pd.Series(ids, dtype="Int64").mask(null), "n_bytes": np.diff(starts) - 1, "removed": spans, "kept": kept})
+
+    return shards.groupBy("shard").cogroup(answers.groupBy("shard")).applyInPandas(run, "doc_id long, n_bytes long, removed array<struct<start:long,end:long>>, kept binary")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -417,9 +411,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
         marks = table(_marked(_anchors(shards, ranges)), "marks")
         sent = table(_sent(shards, marks, ranges), "pieces")
         answers = table(_answered(sent), "answers")
-    places = sent.select("rng", "shard", "piece", "first").join(answers, ["rng", "shard"])
-    found = places.groupBy("shard").agg(F.collect_list(F.struct("piece", "first", "n", "runs", "mins")).alias("found"))
-    return _cut(shards, found)
+    return _cut(shards, sent.select("rng", "shard", "piece", "first").join(answers, ["rng", "shard"]))
 
 
 SQL = r"""
